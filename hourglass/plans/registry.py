@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from hourglass.plans import demand_oracles, demand_queries
+from hourglass.plans import (attribution_oracles, attribution_queries, demand_oracles,
+                             demand_queries)
 
 QUERIES = {}
 QUERIES.update(demand_queries.QUERIES)
+QUERIES.update(attribution_queries.QUERIES)
 
 ORACLES = {}
 ORACLES.update(demand_oracles.ORACLES)
+ORACLES.update(attribution_oracles.ORACLES)
