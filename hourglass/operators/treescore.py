@@ -1,0 +1,114 @@
+"""Vectorised scoring of fitted decision trees inside Spark tasks.
+
+MLlib scores one tree per projection and decodes the feature vector for
+each tree and row. For a per-row spread of tree predictions the trees are
+instead flattened once into node arrays (from ``toDebugString``), shipped
+with a broadcast variable, and each Arrow batch descends all trees level by
+level with numpy: a few array operations per tree level, no per-row Python.
+This module only uses numpy / pandas and is shipped by value.
+"""
+
+from __future__ import annotations
+
+import re
+import sys
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_SPLIT = re.compile(r"^\((?:feature (\d+)) (<=|>|in|not in) (.+)\)$")
+
+
+def parse_tree(debug_string: str, n_categories: int) -> dict:
+    """Node arrays of one tree: feature, threshold, categorical mask, children, value."""
+    lines = [ln.strip() for ln in debug_string.splitlines()[1:] if ln.strip()]
+    feat, thr, is_cat, left, right, value, cats = [], [], [], [], [], [], []
+    pos = 0
+
+    def new_node() -> int:
+        for arr, v in ((feat, -1), (thr, 0.0), (is_cat, False), (left, -1), (right, -1),
+                       (value, 0.0), (cats, None)):
+            arr.append(v)
+        return len(feat) - 1
+
+    def build() -> int:
+        nonlocal pos
+        line = lines[pos]
+        pos += 1
+        i = new_node()
+        if line.startswith("Predict:"):
+            value[i] = float(line.split(":", 1)[1])
+            return i
+        m = _SPLIT.match(line[3:])
+        if not line.startswith("If ") or not m:
+            raise ValueError(f"unexpected tree line {line!r}")
+        f, op, val = int(m.group(1)), m.group(2), m.group(3)
+        feat[i] = f
+        if op in ("in", "not in"):
+            is_cat[i] = True
+            members = {int(float(v)) for v in val.strip("{}").split(",") if v}
+            mask = np.zeros(n_categories, dtype=bool)
+            mask[list(members)] = True
+            cats[i] = mask if op == "in" else ~mask   # True -> go left
+        else:
+            thr[i] = float(val)
+        left[i] = build()
+        if not lines[pos].startswith("Else "):
+            raise ValueError(f"unexpected tree line {lines[pos]!r}")
+        pos += 1
+        right[i] = build()
+        return i
+
+    build()
+    n = len(feat)
+    catmask = np.zeros((n, n_categories), dtype=bool)
+    for i, m in enumerate(cats):
+        if m is not None:
+            catmask[i] = m
+    return {"feat": np.array(feat), "thr": np.array(thr), "is_cat": np.array(is_cat),
+            "left": np.array(left), "right": np.array(right), "value": np.array(value),
+            "catmask": catmask}
+
+
+def score_trees(trees: list[dict], x: np.ndarray) -> np.ndarray:
+    """Predictions of every tree for every row: shape (rows, trees).
+
+    ``x`` holds the features by column index; categorical features hold
+    their category index (as float).
+    """
+    rows = np.arange(x.shape[0])
+    out = np.empty((x.shape[0], len(trees)))
+    for t, tr in enumerate(trees):
+        node = np.zeros(x.shape[0], dtype=np.int64)
+        while True:
+            f = tr["feat"][node]
+            inner = f >= 0
+            if not inner.any():
+                break
+            fi = np.where(inner, f, 0)
+            xv = x[rows, fi]
+            cat = tr["is_cat"][node]
+            go_left_cont = xv <= tr["thr"][node]
+            ci = np.clip(xv, 0, tr["catmask"].shape[1] - 1).astype(np.int64)
+            go_left_cat = tr["catmask"][node, ci]
+            go_left = np.where(cat, go_left_cat, go_left_cont)
+            nxt = np.where(go_left, tr["left"][node], tr["right"][node])
+            node = np.where(inner, nxt, node)
+        out[:, t] = tr["value"][node]
+    return out
+
+
+def member_scorer(broadcast_trees):
+    """A pandas UDF: feature columns -> array of per-tree predictions."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<double>")
+    def score(*cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+        preds = score_trees(broadcast_trees.value, x)
+        return pd.Series(list(preds))
+
+    return score
