@@ -118,3 +118,28 @@ def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int
         mean.alias("yhat"),
         _percentile_sorted(members, lo_q).alias("yhat_lower"),
         _percentile_sorted(members, hi_q).alias("yhat_upper"))
+
+
+def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple = (),
+                      interval_width: float = 0.80, yearly: bool = True) -> DataFrame:
+    """Per-station additive model (27 output columns, see ``operators.additive``).
+
+    Holidays enter as a per-row array of holiday names (the holiday table is
+    bounded, grouped by date and broadcast), replacing the reference's
+    broadcast pandas variable. One ``applyInPandas`` call per station; a
+    station's rows are bounded by the calendar length.
+    """
+    import functools
+
+    from hourglass.operators import additive
+    from hourglass.operators.joins import broadcast_bounded_by_construction
+
+    hd = broadcast_bounded_by_construction(holidays.groupBy(F.to_date("date").alias("__hd")).agg(
+        F.array_sort(F.collect_set("holiday")).alias("holiday_names")))
+    cols = ["station_id", "ds", "y", "is_historical", *regressors]
+    p = (panel.select(*cols).join(hd, F.to_date(panel["ds"]) == hd["__hd"], "left").drop("__hd")
+         .withColumn("y", F.col("y").cast("double")))
+    seas = additive.SEASONALITIES if yearly else tuple(s for s in additive.SEASONALITIES if s[0] != "yearly")
+    fn = functools.partial(additive.fit_predict, regressors=tuple(regressors),
+                           interval_width=interval_width, seasonalities=seas)
+    return p.groupBy("station_id").applyInPandas(fn, additive.OUTPUT_SCHEMA)

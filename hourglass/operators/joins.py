@@ -23,6 +23,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= max_rows else df
 
 
+def broadcast_bounded_by_construction(df: DataFrame) -> DataFrame:
+    """Broadcast a dimension whose size is bounded by how it is built, not by
+    the data volume: an hourly calendar (24 x days of the span), a holiday
+    table (at most 13 rows per calendar year), a top-n selection (n rows),
+    a one-row aggregate. No counting job is run for these."""
+    return F.broadcast(df)
+
+
 def range_join(points: DataFrame, intervals: DataFrame, point_col: str,
                start_col: str, end_col: str, how: str = "inner",
                points_bounded: bool = False) -> DataFrame:
@@ -34,9 +42,10 @@ def range_join(points: DataFrame, intervals: DataFrame, point_col: str,
     join instead of a broadcast nested-loop join, and work scales with the
     output, not with points x intervals.
 
-    ``points_bounded=True`` declares the point side a bounded dimension (for
-    example an hourly calendar): it is broadcast after a size check, and the
-    interval side is never shuffled.
+    ``points_bounded=True`` declares the point side a dimension bounded by
+    construction (for example an hourly calendar): it is broadcast and the
+    interval side is never shuffled. Otherwise both sides hash-partition on
+    the day.
     """
     bin_col = "__rj_day"
     iv = intervals.withColumn(
@@ -45,7 +54,7 @@ def range_join(points: DataFrame, intervals: DataFrame, point_col: str,
     )
     pt = points.withColumn(bin_col, F.to_date(F.col(point_col)))
     if points_bounded:
-        pt = bounded_broadcast(pt)
+        pt = broadcast_bounded_by_construction(pt)
     cond = [bin_col]
     joined = iv.join(pt, on=cond, how=how)
     return joined.filter(F.col(point_col).between(F.col(start_col), F.col(end_col))).drop(bin_col)

@@ -1,8 +1,8 @@
 """Dense (entity x hour) model inputs: history plus a forecast horizon.
 
 Only the selected entities (the top-n most active; at most n rows) are
-expanded, so the panel is bounded by n x calendar hours. The calendar is
-a bounded dimension and is broadcast; the per-entity hours come from the
+expanded, so the panel is bounded by n x calendar hours. The calendar and
+the holidays are bounded by construction and broadcast; the per-entity hours come from the
 binned range join, never from a nested loop.
 """
 
@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.time import day_of_week
-from hourglass.operators.joins import bounded_broadcast, range_join
+from hourglass.operators.joins import (bounded_broadcast, broadcast_bounded_by_construction,
+                                       range_join)
 
 
 def forecast_panel(selected: DataFrame, rentals: DataFrame, hours: DataFrame,
@@ -29,7 +30,7 @@ def forecast_panel(selected: DataFrame, rentals: DataFrame, hours: DataFrame,
     grid = range_join(hours, sel, "hour", "start_date", "__until", points_bounded=True)
     # The selection is small by construction (top-n), so the rentals are
     # reduced to its stations by a broadcast semi-join before the shuffle.
-    ids = bounded_broadcast(selected.select("station_id"))
+    ids = broadcast_bounded_by_construction(selected.select("station_id"))
     r = rentals.join(ids, "station_id", "left_semi")
     p = grid.join(r, ["station_id", "hour"], "left")
     return p.select("station_id", F.col("hour").alias("ds"),
@@ -51,7 +52,7 @@ def with_weather(panel: DataFrame, weather: DataFrame) -> DataFrame:
 
 
 def _holiday_flag(panel: DataFrame, holidays: DataFrame) -> DataFrame:
-    h = bounded_broadcast(holidays.select(F.to_date("date").alias("__hd")))
+    h = broadcast_bounded_by_construction(holidays.select(F.to_date("date").alias("__hd")))
     j = panel.join(h, F.to_date(panel["ds"]) == h["__hd"], "left")
     return j.withColumn("is_holiday", F.when(F.col("__hd").isNull(), 0).otherwise(1)).drop("__hd")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.time import day_of_week, hour_bucket
-from hourglass.operators.joins import bounded_broadcast
+from hourglass.operators.joins import broadcast_bounded_by_construction
 
 
 def _per_station(rentals: DataFrame, keys: list, order: list[str]) -> DataFrame:
@@ -60,12 +60,12 @@ def per_station_by_dow_hour(rentals: DataFrame) -> DataFrame:
 def per_station_holiday(rentals: DataFrame, holidays: DataFrame) -> DataFrame:
     """Day-of-week x hour profile on holidays, also per holiday occurrence.
 
-    The holiday table is bounded (a dozen rows a year) and broadcast after a
-    size check; the rentals are not shuffled for the join. Only holiday
+    The holiday table is bounded by construction (a dozen rows a year) and
+    broadcast; the rentals are not shuffled for the join. Only holiday
     rows are kept, so the LEFT JOIN of the reference reduces to an inner
     join (the non-holiday group is filtered out after aggregation there).
     """
-    h = bounded_broadcast(holidays.select(F.to_date("date").alias("__d")))
+    h = broadcast_bounded_by_construction(holidays.select(F.to_date("date").alias("__d")))
     j = rentals.join(h, F.to_date(rentals["hour"]) == h["__d"], "inner")
     g = j.groupBy(day_of_week("hour").alias("day_of_week"),
                   F.hour("hour").alias("hour_of_day")).agg(

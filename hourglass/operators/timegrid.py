@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.time import day_start
-from hourglass.operators.joins import bounded_broadcast
+from hourglass.operators.joins import broadcast_bounded_by_construction
 
 
 def calendar_bounds(stations: DataFrame, extend_days: int = 10) -> DataFrame:
@@ -57,9 +57,9 @@ def calendar_years(dates: DataFrame) -> DataFrame:
 def holiday_hours(holidays: DataFrame, hours: DataFrame) -> DataFrame:
     """Every calendar hour that falls on a holiday: (ds, holiday).
 
-    The holiday table is bounded (about a dozen rows per year), so it is
-    broadcast after a size check and the hourly side is not shuffled.
+    The holiday table is bounded by construction (about a dozen rows per
+    year), so it is broadcast and the hourly side is not shuffled.
     """
-    h = bounded_broadcast(holidays.select(F.to_date("date").alias("__d"), "holiday"))
+    h = broadcast_bounded_by_construction(holidays.select(F.to_date("date").alias("__d"), "holiday"))
     return (hours.join(h, F.to_date(hours["hour"]) == h["__d"])
             .select(hours["hour"].alias("ds"), "holiday"))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from hourglass.plans import (attribution_oracles, attribution_queries, demand_oracles,
-                             demand_queries)
+                             demand_queries, forecast_oracles, forecast_queries)
 
 QUERIES = {}
 QUERIES.update(demand_queries.QUERIES)
+QUERIES.update(forecast_queries.QUERIES)
 QUERIES.update(attribution_queries.QUERIES)
 
 ORACLES = {}
 ORACLES.update(demand_oracles.ORACLES)
+ORACLES.update(forecast_oracles.ORACLES)
 ORACLES.update(attribution_oracles.ORACLES)
