@@ -129,8 +129,6 @@ def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple =
     broadcast pandas variable. One ``applyInPandas`` call per station; a
     station's rows are bounded by the calendar length.
     """
-    import functools
-
     from hourglass.operators import additive
     from hourglass.operators.joins import broadcast_bounded_by_construction
 
@@ -140,6 +138,10 @@ def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple =
     p = (panel.select(*cols).join(hd, F.to_date(panel["ds"]) == hd["__hd"], "left").drop("__hd")
          .withColumn("y", F.col("y").cast("double")))
     seas = additive.SEASONALITIES if yearly else tuple(s for s in additive.SEASONALITIES if s[0] != "yearly")
-    fn = functools.partial(additive.fit_predict, regressors=tuple(regressors),
-                           interval_width=interval_width, seasonalities=seas)
-    return p.groupBy("station_id").applyInPandas(fn, additive.OUTPUT_SCHEMA)
+    fit = additive.fit_predict  # captured as a function: shipped by value
+    regs = tuple(regressors)
+
+    def per_station(pdf):
+        return fit(pdf, regressors=regs, interval_width=interval_width, seasonalities=seas)
+
+    return p.groupBy("station_id").applyInPandas(per_station, additive.OUTPUT_SCHEMA)
