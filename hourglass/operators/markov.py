@@ -130,12 +130,12 @@ def conversion_paths(matrix: DataFrame) -> DataFrame:
     """
     # Materialise the (small) matrix once: every step's plan then reads the
     # checkpoint instead of recomputing it from the touches.
-    m = bounded_broadcast(_checkpoint(matrix.select(F.col("start_state").alias("__s"),
-                                                    F.col("end_state").alias("__e"),
-                                                    F.col("transition_probability").alias("__p"))),
-                          MAX_MATRIX_ROWS)
+    stored = _checkpoint(matrix.select(F.col("start_state").alias("__s"),
+                                       F.col("end_state").alias("__e"),
+                                       F.col("transition_probability").alias("__p")))
+    m = bounded_broadcast(stored, MAX_MATRIX_ROWS)
     live_state = ~F.col("state").isin(*TERMINAL)
-    frontier = m.filter(F.col("__s") == START).select(
+    frontier = stored.filter(F.col("__s") == START).select(
         F.col("__e").alias("state"), F.array(F.lit(START), F.col("__e")).alias("visited"),
         F.col("__p").alias("probability")).persist()
     kept = [frontier]

@@ -1,0 +1 @@
+"""Incremental forms of batch operators (Structured Streaming)."""
