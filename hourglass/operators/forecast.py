@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourglass.session import ensure_checkpoint_dir
+from hourglass.session import reliable_checkpoint
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint (shared storage): survives executor loss, cuts lineage."""
+    return reliable_checkpoint(df)
 
 
 def _percentile_sorted(sorted_arr: Column, q: float) -> Column:
@@ -87,37 +87,41 @@ def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int
     from pyspark.ml.regression import RandomForestRegressor
 
     data = features.dropna(subset=feature_cols)
+    spark = data.sparkSession
     indexer = StringIndexer(inputCol=entity_col, outputCol="__entity", handleInvalid="keep",
                             stringOrderType="alphabetAsc").fit(data)
     n_entities = len(indexer.labelsArray[0]) + 1
     assembler = VectorAssembler(inputCols=["__entity"] + feature_cols, outputCol="__features")
-    # Materialise the model input once (reliable checkpoint): the forest makes
-    # several passes over it and the scoring pass reads it again.
-    prepared = _checkpoint(assembler.transform(indexer.transform(data)))
+    # Materialise the model input once (reliable checkpoint), spread over the
+    # cluster's cores: the forest makes several passes over it and the
+    # scoring pass reads it again.
+    parts = max(spark.sparkContext.defaultParallelism, 1)
+    prepared = _checkpoint(assembler.transform(indexer.transform(data)).repartition(parts))
     rf = RandomForestRegressor(featuresCol="__features", labelCol="y",
                                numTrees=num_trees, subsamplingRate=subsampling_rate,
                                bootstrap=True, featureSubsetStrategy="all", maxDepth=max_depth,
-                               maxBins=max(32, n_entities), seed=seed, maxMemoryInMB=1024,
-                               cacheNodeIds=True)
-    train = prepared.filter(F.col("is_historical") == 1).withColumn("y", F.col("y").cast("double"))
+                               maxBins=max(32, n_entities), seed=seed, maxMemoryInMB=1024)
+    train = (prepared.filter(F.col("is_historical") == 1)
+             .withColumn("y", F.col("y").cast("double")).persist())
     model = rf.fit(train)
-    # Per-tree predictions for the interval: trees flattened to node arrays,
-    # broadcast once, scored per Arrow batch with numpy (module treescore).
-    from hourglass.operators.treescore import member_scorer, parse_tree
-
-    trees = [parse_tree(t.toDebugString, n_entities) for t in model.trees]
-    score = member_scorer(data.sparkSession.sparkContext.broadcast(trees))
-    inputs = [F.col("__entity")] + [F.col(c).cast("double") for c in feature_cols]
-    scored = prepared.select("*", score(*inputs).alias("__members"))
-    members = F.array_sort(F.col("__members"))
-    mean = F.aggregate(F.col("__members"), F.lit(0.0), lambda acc, x: acc + x) / F.size("__members")
+    train.unpersist()
+    # Interval from the spread of the trees: the fitted trees are flattened
+    # to node arrays (one JVM call for the whole forest), broadcast once, and
+    # every Arrow batch is scored by numpy; mean and percentiles are computed
+    # there too (module treescore), so no per-tree column is materialised.
+    from hourglass.operators.treescore import band_scorer, parse_forest
+
+    trees = parse_forest(model._java_obj.toDebugString(), n_entities)
     lo_q, hi_q = interval_bounds(interval_width)
+    score = band_scorer(spark.sparkContext.broadcast(trees), 100 * lo_q, 100 * hi_q)
+    inputs = [F.col("__entity")] + [F.col(c).cast("double") for c in feature_cols]
+    scored = prepared.select("*", score(*inputs).alias("__band"))
     return scored.select(
         entity_col, "ds",
         F.when(F.col("is_historical") == 1, F.col("y")).cast("double").alias("y"),
-        mean.alias("yhat"),
-        _percentile_sorted(members, lo_q).alias("yhat_lower"),
-        _percentile_sorted(members, hi_q).alias("yhat_upper"))
+        F.col("__band.yhat").alias("yhat"),
+        F.col("__band.yhat_lower").alias("yhat_lower"),
+        F.col("__band.yhat_upper").alias("yhat_upper"))
 
 
 def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple = (),

@@ -29,7 +29,7 @@ from hourglass.operators.joins import bounded_broadcast
 from hourglass.operators.journeys import (CONVERSION, DEFAULT, NULL_STATE, START, TouchCols,
                                           journey_ends)
 from hourglass.operators.sequence import adjacent_pair_counts
-from hourglass.session import ensure_checkpoint_dir
+from hourglass.session import reliable_checkpoint
 
 # A matrix larger than this is not a channel matrix; it is not broadcast.
 MAX_MATRIX_ROWS = 1_000_000
@@ -101,8 +101,7 @@ def removed_matrix(matrix: DataFrame) -> DataFrame:
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (shared storage): survives executor loss, cuts lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return reliable_checkpoint(df)
 
 
 CHECKPOINT_EVERY = 4

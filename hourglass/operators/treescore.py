@@ -73,6 +73,12 @@ def parse_tree(debug_string: str, n_categories: int) -> dict:
             "catmask": catmask}
 
 
+def parse_forest(debug_string: str, n_categories: int) -> list[dict]:
+    """Split a forest's ``toDebugString`` (one JVM call for all trees) into trees."""
+    parts = re.split(r"^\s*Tree \d+ \(weight [^)]*\):\s*$", debug_string, flags=re.M)
+    return [parse_tree("header\n" + p, n_categories) for p in parts[1:]]
+
+
 def score_trees(trees: list[dict], x: np.ndarray) -> np.ndarray:
     """Predictions of every tree for every row: shape (rows, trees).
 
@@ -112,3 +118,18 @@ def member_scorer(broadcast_trees):
         return pd.Series(list(preds))
 
     return score
+
+
+def band_scorer(broadcast_trees, lower_pct: float, upper_pct: float):
+    """A pandas UDF: feature columns -> (mean, lower and upper percentile) of the
+    tree predictions (numpy's linear interpolation)."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("yhat double, yhat_lower double, yhat_upper double")
+    def score(*cols: pd.Series) -> pd.DataFrame:
+        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
+        preds = score_trees(broadcast_trees.value, x)
+        lo, hi = np.percentile(preds, [lower_pct, upper_pct], axis=1)
+        return pd.DataFrame({"yhat": preds.mean(axis=1), "yhat_lower": lo, "yhat_upper": hi})
+
+    return score

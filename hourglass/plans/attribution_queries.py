@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourglass.operators import journeys, markov
+from hourglass.plans.prepared import prepared
 from hourglass.sources import fixtures
 from hourglass.sources.sinks import upsert
 
@@ -16,8 +17,13 @@ def touches(spark, sf):
     return fixtures.touches(spark, sf)
 
 
+def transitions(spark, sf):
+    """Transition counts (prepared once per session; a few dozen rows)."""
+    return prepared(spark, sf, "transitions", lambda: markov.state_transitions(touches(spark, sf)))
+
+
 def matrix(spark, sf):
-    return markov.transition_matrix(markov.state_transitions(touches(spark, sf)))
+    return markov.transition_matrix(transitions(spark, sf))
 
 
 def q_visit_order(spark, sf):

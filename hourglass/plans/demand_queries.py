@@ -13,6 +13,7 @@ from hourglass.functions.holidays import us_holidays
 from hourglass.functions.time import hour_bucket, parse_timestamps
 from hourglass.operators import demand, profiles, timegrid
 from hourglass.operators.joins import range_join
+from hourglass.plans.prepared import prepared
 from hourglass.sources import fixtures
 
 # Fixture parameters. The data span 30 days, so the 30-day activity filter
@@ -25,11 +26,13 @@ FLOAT_PLACES = 8
 
 
 def rentals(spark, sf):
-    return demand.hourly_rentals(fixtures.trips(spark, sf))
+    """The hourly rentals table (prepared once per session, like the reference's table)."""
+    return prepared(spark, sf, "rentals", lambda: demand.hourly_rentals(fixtures.trips(spark, sf)))
 
 
 def history_rentals(spark, sf):
-    return demand.hourly_rentals(fixtures.history_trips(spark, sf))
+    return prepared(spark, sf, "history_rentals",
+                    lambda: demand.hourly_rentals(fixtures.history_trips(spark, sf)))
 
 
 def stations(spark, sf):
@@ -73,7 +76,7 @@ def q_parse_timestamps(spark, sf):
 
 
 def q_hourly_rentals(spark, sf):
-    return rentals(spark, sf)
+    return demand.hourly_rentals(fixtures.trips(spark, sf))
 
 
 def q_stations(spark, sf):

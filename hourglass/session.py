@@ -64,3 +64,20 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> st
         chosen = warehouse.rstrip("/") + "/_hourglass_checkpoints"
     sc.setCheckpointDir(chosen)  # Spark creates the folder on the file system
     return sc.getCheckpointDir()
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` to the shared checkpoint directory, computed once.
+
+    An eager checkpoint of an unpersisted frame runs the plan twice (once
+    for the action, once to write the files); caching it first makes the
+    write read the cached blocks. The cache is dropped afterwards; the
+    returned frame reads the checkpoint files (fault tolerant, no lineage).
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from hourglass.operators import additive, forecast, metrics, panel
-from hourglass.operators.treescore import parse_tree, score_trees
+from hourglass.operators.treescore import parse_forest, parse_tree, score_trees
 from hourglass.plans import demand_queries as dq
 from hourglass.plans import forecast_queries as fq
 
@@ -56,6 +56,8 @@ def test_forest_band_and_scorer_match_mllib(spark):
     mine = score_trees(trees, x).mean(axis=1)
     theirs = np.array([r.prediction for r in model.transform(va).collect()])
     assert np.allclose(mine, theirs, atol=1e-12)
+    whole = parse_forest(model._java_obj.toDebugString(), 1)
+    assert len(whole) == 5 and np.allclose(score_trees(whole, x).mean(axis=1), theirs, atol=1e-12)
 
 
 def test_additive_recovers_trend_and_daily_cycle():
