@@ -33,7 +33,7 @@ def broadcast_bounded_by_construction(df: DataFrame) -> DataFrame:
 
 def range_join(points: DataFrame, intervals: DataFrame, point_col: str,
                start_col: str, end_col: str, how: str = "inner",
-               points_bounded: bool = False) -> DataFrame:
+               points_bounded: bool = False, spread_partitions: int | None = None) -> DataFrame:
     """``points JOIN intervals ON point BETWEEN start AND end`` without a nested loop.
 
     Each interval is split into the calendar days it touches (one row per
@@ -45,13 +45,17 @@ def range_join(points: DataFrame, intervals: DataFrame, point_col: str,
     ``points_bounded=True`` declares the point side a dimension bounded by
     construction (for example an hourly calendar): it is broadcast and the
     interval side is never shuffled. Otherwise both sides hash-partition on
-    the day.
+    the day. ``spread_partitions`` hash-spreads the day pieces first: a few
+    long intervals (say 200 selected stations over years) would otherwise
+    make a single task generate the whole output.
     """
     bin_col = "__rj_day"
     iv = intervals.withColumn(
         bin_col,
         F.explode(F.sequence(F.to_date(F.col(start_col)), F.to_date(F.col(end_col)))),
     )
+    if spread_partitions:
+        iv = iv.repartition(spread_partitions, bin_col)
     pt = points.withColumn(bin_col, F.to_date(F.col(point_col)))
     if points_bounded:
         pt = broadcast_bounded_by_construction(pt)

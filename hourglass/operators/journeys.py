@@ -101,7 +101,15 @@ def last_touch(touches: DataFrame, c: TouchCols = DEFAULT) -> DataFrame:
 
 
 def touch_attribution(touches: DataFrame, c: TouchCols = DEFAULT) -> DataFrame:
-    """First- and last-touch rows together (model names differ, so a plain union)."""
-    ends = journey_ends(touches, c)
-    return (_touch_share(ends, "first_interaction", "first_touch")
-            .unionByName(_touch_share(ends, "last_interaction", "last_touch")))
+    """First- and last-touch rows together (model names differ, so no row is
+    lost to the reference's UNION). One pass: each converted journey yields
+    its first and its last channel, counted per model in one aggregate."""
+    conv = journey_ends(touches, c).filter(F.col("conversion") == 1)
+    both = conv.select(F.explode(F.array(
+        F.struct(F.lit("first_touch").alias("m"), F.col("first_interaction").alias("ch")),
+        F.struct(F.lit("last_touch").alias("m"), F.col("last_interaction").alias("ch")))).alias("x"))
+    counts = both.groupBy(F.col("x.m").alias("attribution_model"), F.col("x.ch").alias("channel")).agg(
+        F.count(F.lit(1)).alias("__n"))
+    total = F.sum("__n").over(Window.partitionBy("attribution_model"))  # a few rows per model
+    return counts.select("attribution_model", "channel",
+                         F.round(F.col("__n") / total, 2).alias("attribution_percent"))

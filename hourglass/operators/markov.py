@@ -48,13 +48,13 @@ def state_transitions(touches: DataFrame, c: TouchCols = DEFAULT) -> DataFrame:
     inner = adjacent_pair_counts(valid, c.user, [c.time, c.tie], c.channel).select(
         F.col("a").alias("start_state"), F.col("b").alias("end_state"), F.col("n"))
     ends = journey_ends(touches, c)
-    first = ends.select(F.lit(START).alias("start_state"),
-                        F.col("first_interaction").alias("end_state"), F.lit(1).cast("long").alias("n"))
-    final = ends.select(F.col("last_interaction").alias("start_state"),
-                        F.when(F.col("conversion") == 1, F.lit(CONVERSION))
-                        .otherwise(F.lit(NULL_STATE)).alias("end_state"),
-                        F.lit(1).cast("long").alias("n"))
-    return (inner.unionByName(first).unionByName(final)
+    end_state = F.when(F.col("conversion") == 1, F.lit(CONVERSION)).otherwise(F.lit(NULL_STATE))
+    # Both edges of every journey from one pass over the per-user aggregate.
+    edges = ends.select(F.explode(F.array(
+        F.struct(F.lit(START).alias("start_state"), F.col("first_interaction").alias("end_state")),
+        F.struct(F.col("last_interaction").alias("start_state"), end_state.alias("end_state")))).alias("x"))
+    outer = edges.select("x.start_state", "x.end_state", F.lit(1).cast("long").alias("n"))
+    return (inner.unionByName(outer)
             .groupBy("start_state", "end_state").agg(F.sum("n").alias("transitions")))
 
 

@@ -27,7 +27,9 @@ def forecast_panel(selected: DataFrame, rentals: DataFrame, hours: DataFrame,
     """
     sel = selected.select("station_id", "start_date", "end_date",
                           (F.col("end_date") + F.make_dt_interval(hours=F.lit(horizon))).alias("__until"))
-    grid = range_join(hours, sel, "hour", "start_date", "__until", points_bounded=True)
+    parts = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = range_join(hours, sel, "hour", "start_date", "__until", points_bounded=True,
+                      spread_partitions=parts)
     # The selection is small by construction (top-n), so the rentals are
     # reduced to its stations by a broadcast semi-join before the shuffle.
     ids = broadcast_bounded_by_construction(selected.select("station_id"))

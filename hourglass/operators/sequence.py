@@ -18,7 +18,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The per-partition function is shipped by value, so executors need not have
@@ -77,14 +77,22 @@ def adjacent_pair_counts(df: DataFrame, group_col: str, order_cols: list[str],
          .sortWithinPartitions("g", *order_cols)
          .select(F.spark_partition_id().alias("pid"), "g", "v"))
     out = s.mapInPandas(_pairs_in_partition, _OUT_SCHEMA)
-    # One exchange after the Python pass; both branches below read it (the
-    # exchange is reused), so the partitions are streamed only once.
-    agg = out.groupBy("kind", "pid", "g", "a", "b").agg(F.sum("n").alias("n"))
-    inner = agg.filter(F.col("kind") == _PAIR).select("a", "b", "n")
-    bounds = agg.filter(F.col("kind") != _PAIR)
-    w = Window.orderBy("pid", "kind")  # at most two rows per partition
-    stitched = (bounds.select("kind", "g", "a",
-                              F.lead("g").over(w).alias("ng"), F.lead("a").over(w).alias("nb"))
-                .filter((F.col("kind") == _TAIL) & (F.col("g") == F.col("ng")))
-                .select("a", F.col("nb").alias("b"), F.lit(1).cast("long").alias("n")))
-    return inner.unionByName(stitched).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    # One aggregate after the Python pass, so the partitions are streamed
+    # once: pair rows sum per (a, b); the boundary rows (two per partition)
+    # form a single group whose sorted list is stitched with array functions.
+    is_pair = F.col("kind") == _PAIR
+    agg = out.groupBy(F.when(is_pair, 0).otherwise(1).alias("k"),
+                      F.when(is_pair, F.col("a")).alias("a"),
+                      F.when(is_pair, F.col("b")).alias("b")).agg(
+        F.sum(F.when(is_pair, F.col("n"))).alias("n"),
+        F.collect_list(F.when(~is_pair, F.struct("pid", "kind", "g", "a"))).alias("bnd"))
+    bnd = F.array_sort("bnd")  # by partition, head before tail
+    steps = F.transform(F.sequence(F.lit(1), F.size(bnd) - 1),
+                        lambda i: F.struct(F.element_at(bnd, i).alias("x"), F.element_at(bnd, i + 1).alias("y")))
+    joined = F.filter(steps, lambda c: (c["x"]["kind"] == _TAIL) & (c["x"]["g"] == c["y"]["g"]))
+    stitched = F.transform(joined, lambda c: F.struct(c["x"]["a"].alias("a"), c["y"]["a"].alias("b"),
+                                                      F.lit(1).cast("long").alias("n")))
+    rows = (F.when(F.col("k") == 0, F.array(F.struct("a", "b", "n")))
+            .when(F.size(bnd) >= 2, stitched))
+    return (agg.select(F.explode(rows).alias("r"))
+            .groupBy(F.col("r.a").alias("a"), F.col("r.b").alias("b")).agg(F.sum("r.n").alias("n")))

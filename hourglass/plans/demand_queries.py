@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourglass.functions.holidays import us_holidays
-from hourglass.functions.time import hour_bucket, parse_timestamps
+from hourglass.functions.time import hour_bucket, hour_floor, parse_timestamps
 from hourglass.operators import demand, profiles, timegrid
 from hourglass.operators.joins import range_join
 from hourglass.plans.prepared import prepared
 from hourglass.sources import fixtures
+from hourglass.sources.sinks import insert_into
 
 # Fixture parameters. The data span 30 days, so the 30-day activity filter
 # of the reference keeps no station; 7 days keeps almost all.
@@ -23,6 +24,7 @@ YEARS_PER_STATION = (1996, 2000)   # reference: 2014-2019 on 2013-2020 data
 YEARS_DOW = (1996, 2001)           # reference: 2014-2020
 MOST_ACTIVE_N = 200
 FLOAT_PLACES = 8
+RENTALS_DDL = "station_id int, hour timestamp_ntz, rentals int"
 
 
 def rentals(spark, sf):
@@ -79,6 +81,17 @@ def q_hourly_rentals(spark, sf):
     return demand.hourly_rentals(fixtures.trips(spark, sf))
 
 
+def q_insert_rentals(spark, sf):
+    """INSERT INTO a typed rentals table (INTEGER count column)."""
+    counts = (fixtures.trips(spark, sf).groupBy("station_id", hour_floor("start_time").alias("hour"))
+              .agg(F.count(F.lit(1)).alias("rentals")))
+    return insert_into(counts, RENTALS_DDL)
+
+
+def q_calendar_bounds(spark, sf):
+    return timegrid.calendar_bounds(stations(spark, sf))
+
+
 def q_stations(spark, sf):
     return stations(spark, sf)
 
@@ -181,6 +194,8 @@ QUERIES = {
     "clean_trips": q_clean_trips,
     "parse_timestamps": q_parse_timestamps,
     "hourly_rentals": q_hourly_rentals,
+    "insert_rentals": q_insert_rentals,
+    "calendar_bounds": q_calendar_bounds,
     "stations": q_stations,
     "stations_active": q_stations_active,
     "calendar": q_calendar,
