@@ -122,6 +122,13 @@ def q_entity_hours(spark, sf):
                       "start_date", "end_date", points_bounded=True).select("station_id", "hour")
 
 
+def q_range_join(spark, sf):
+    """Calendar hours x every station's lifetime, general path: neither side
+    is assumed small, both are hash-partitioned on the day."""
+    return range_join(periods(spark, sf), stations(spark, sf), "hour",
+                      "start_date", "end_date").select("station_id", "hour")
+
+
 def q_hour_bucket(spark, sf):
     p = periods(spark, sf)
     return p.select("hour", hour_bucket("hour", 4).alias("hour_agg_4"),
@@ -203,6 +210,7 @@ QUERIES = {
     "us_holidays": q_us_holidays,
     "holiday_hours": q_holiday_hours,
     "entity_hours": q_entity_hours,
+    "range_join": q_range_join,
     "hour_bucket": q_hour_bucket,
     "bucket_rentals": q_bucket_rentals,
     "sparsity_1h": _sparsity(1),
