@@ -111,3 +111,20 @@ def test_upsert_semantics(spark):
     dup = spark.createDataFrame([("m", "a", 0.5), ("m", "a", 0.6)], schema)
     with pytest.raises(Exception):
         upsert(target, dup, keys).collect()
+
+
+def test_segmented_ranks_and_journeys_under_skew(spark):
+    # a hot user over many range partitions, with equal times straddling them
+    rows = [("hot", f"c{i % 4}", T0 + dt.timedelta(minutes=i // 3), i, int(i == 2999)) for i in range(3000)]
+    rows += [(f"u{i}", "c1", T0 + dt.timedelta(minutes=i), 10_000 + i, 0) for i in range(300)]
+    t = _touches(spark, rows)
+    w = Window.partitionBy("infinity_id").orderBy("dt")
+    ref = {(r.tie, r.vo) for r in t.select("tie", F.dense_rank().over(w).alias("vo")).collect()}
+    got = {(r.tie, r.visit_order) for r in journeys.visit_order(t, num_partitions=17).collect()}
+    assert got == ref
+    j = {r.uid: r for r in journeys.user_journeys(t, num_partitions=17).collect()}
+    hot = j["hot"]
+    assert hot.visiting_order == [i // 3 + 1 for i in range(3000)]
+    assert hot.path == "Start > " + " > ".join(f"c{i % 4}" for i in range(3000)) + " > Conversion"
+    assert hot.first_interaction == "c0" and hot.last_interaction == f"c{2999 % 4}" and hot.conversion == 1
+    assert j["u7"].path == "Start > c1 > Null" and j["u7"].visiting_order == [1]
