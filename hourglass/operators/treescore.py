@@ -107,19 +107,6 @@ def score_trees(trees: list[dict], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def member_scorer(broadcast_trees):
-    """A pandas UDF: feature columns -> array of per-tree predictions."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<double>")
-    def score(*cols: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-        preds = score_trees(broadcast_trees.value, x)
-        return pd.Series(list(preds))
-
-    return score
-
-
 def band_scorer(broadcast_trees, lower_pct: float, upper_pct: float):
     """A pandas UDF: feature columns -> (mean, lower and upper percentile) of the
     tree predictions (numpy's linear interpolation)."""
