@@ -148,4 +148,10 @@ def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple =
     def per_station(pdf):
         return fit(pdf, regressors=regs, interval_width=interval_width, seasonalities=seas)
 
-    return p.groupBy("station_id").applyInPandas(per_station, additive.OUTPUT_SCHEMA)
+    # The fit is CPU work per station on little data: AQE would coalesce the
+    # small shuffle into one task. An explicit hash repartition on the group
+    # key keeps one task per core, and the grouped map reuses it (no second
+    # exchange).
+    parts = max(p.sparkSession.sparkContext.defaultParallelism, 1)
+    return (p.repartition(parts, "station_id")
+            .groupBy("station_id").applyInPandas(per_station, additive.OUTPUT_SCHEMA))
