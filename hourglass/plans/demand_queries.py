@@ -13,7 +13,8 @@ from hourglass.functions.holidays import us_holidays
 from hourglass.functions.time import hour_bucket, hour_floor, parse_timestamps
 from hourglass.operators import demand, profiles, timegrid
 from hourglass.operators.joins import range_join
-from hourglass.plans.prepared import prepared
+from hourglass.plans.prepared import prepared, written_files
+from hourglass.sources import files
 from hourglass.sources import fixtures
 from hourglass.sources.sinks import insert_into
 
@@ -77,6 +78,42 @@ def q_parse_timestamps(spark, sf):
     return ev.select("event_id", parse_timestamps(text).alias("start_time"))
 
 
+def _raw_trips_text(spark, sf):
+    """Events as raw trip rows: every column text, start time in one of the
+    three layouts of the trip files (chosen by event id)."""
+    ev = fixtures.table(spark, sf, "events").select("event_id", "ts", "user_id")
+    fmt = F.col("event_id") % 3
+    text = (F.when(fmt == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+            .when(fmt == 1, F.date_format("ts", "MM/dd/yyyy HH:mm:ss"))
+            .otherwise(F.date_format("ts", "MM/dd/yyyy HH:mm")))
+    cols = {c: F.lit(None).cast("string") for c in files.TRIP_COLUMNS}
+    cols["start_time"] = text
+    cols["start_station_id"] = F.col("user_id").cast("string")
+    cols["bike_id"] = F.col("event_id").cast("string")
+    return ev.select(*[v.alias(k) for k, v in cols.items()])
+
+
+def q_read_trips_csv(spark, sf):
+    """CSV trip files (header, all text) -> parsed (station_id, start_time)."""
+    path = written_files(spark, sf, "trips_csv", lambda p: _raw_trips_text(spark, sf)
+                         .write.mode("overwrite").option("header", True).csv(p))
+    return files.read_trips(spark, path)
+
+
+def q_read_weather_csv(spark, sf):
+    """Hourly weather written in the weather files' layout and read back typed."""
+    def write(p):
+        w = fixtures.weather(spark, sf)
+        cols = {c: F.lit(None).cast("string") for c in files.WEATHER_COLUMNS}
+        cols["hour"] = F.date_format("hour", files.WEATHER_TIME_FORMAT)
+        for c in ("max_temp_f", "avg_temp_f", "precip_in"):
+            cols[c] = F.col(c).cast("string")
+        w.select(*[v.alias(k) for k, v in cols.items()]).write.mode("overwrite").option("header", True).csv(p)
+    path = written_files(spark, sf, "weather_csv", write)
+    r = files.read_weather(spark, path)
+    return r.select("hour", *[F.round(c, FLOAT_PLACES).alias(c) for c in ("max_temp_f", "avg_temp_f", "precip_in")])
+
+
 def q_hourly_rentals(spark, sf):
     return demand.hourly_rentals(fixtures.trips(spark, sf))
 
@@ -199,6 +236,8 @@ def _profile(k):
 
 QUERIES = {
     "clean_trips": q_clean_trips,
+    "read_trips_csv": q_read_trips_csv,
+    "read_weather_csv": q_read_weather_csv,
     "parse_timestamps": q_parse_timestamps,
     "hourly_rentals": q_hourly_rentals,
     "insert_rentals": q_insert_rentals,

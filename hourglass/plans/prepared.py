@@ -28,3 +28,24 @@ def prepared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Da
         df = reliable_checkpoint(build())
         _TABLES[key] = df
     return df
+
+
+def shared_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder for files the registered queries write (under the cluster's
+    checkpoint directory, i.e. shared storage; never a local temp folder)."""
+    from hourglass.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    tag = os.path.basename(os.path.abspath(sf_dir)).replace(".", "_")
+    return f"{base}/hourglass_files/{tag}/{name}"
+
+
+def written_files(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Write files once per session (``write(path)``) and return their folder."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), "files:" + name)
+    path = _TABLES.get(key)
+    if path is None:
+        path = shared_folder(spark, sf_dir, name)
+        write(path)
+        _TABLES[key] = path
+    return path
