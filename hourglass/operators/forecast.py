@@ -100,7 +100,7 @@ def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int
     rf = RandomForestRegressor(featuresCol="__features", labelCol="y",
                                numTrees=num_trees, subsamplingRate=subsampling_rate,
                                bootstrap=True, featureSubsetStrategy="all", maxDepth=max_depth,
-                               maxBins=max(32, n_entities), seed=seed, maxMemoryInMB=1024)
+                               maxBins=max(32, n_entities), seed=seed)
     train = (prepared.filter(F.col("is_historical") == 1)
              .withColumn("y", F.col("y").cast("double")).persist())
     model = rf.fit(train)
