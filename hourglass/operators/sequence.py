@@ -2,64 +2,20 @@
 
 ``lead()`` over ``Window.partitionBy(group)`` puts every row of a group in
 one task, so one very large group (a bot user holding a third of all rows)
-serialises the job. Here the rows are instead range-partitioned on
-(group, order...) - a hot group is split over many tasks by its ordering
-columns - and each task streams its sorted partition once, counting pairs
-of consecutive rows of the same group. Pairs that straddle two partitions
-are rebuilt from each partition's first and last row (at most two rows per
-partition), so nothing per-group is ever gathered in one place.
+serialises the job. Here each group is first cut into balanced,
+order-contiguous segments (``journeys.with_segment_ids``: boundaries
+sampled from the (group, order) keys), ``lead()`` runs inside each
+(group, segment) - groups bounded by the segment size - and the pair that
+straddles two segments of one group is rebuilt from the segments' first
+and last values. Only groups cut by a boundary need that step: at most two
+per segment, a small list. Everything stays in JVM expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# The per-partition function is shipped by value, so executors need not have
-# this package installed (it only uses pandas / numpy).
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-_OUT_SCHEMA = "kind int, pid int, g string, a string, b string, n long"
-_PAIR, _HEAD, _TAIL = 0, 1, 2
-
-
-def _pairs_in_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Count (value, next value) of consecutive rows with equal group key."""
-    counts: list[pd.DataFrame] = []
-    head = tail = None
-    pid = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        pid = int(pdf["pid"].iat[0])
-        g = pdf["g"].to_numpy(dtype=object)
-        v = pdf["v"].to_numpy(dtype=object)
-        if head is None:
-            head = (g[0], v[0])
-        a, b = v[:-1], v[1:]
-        same = g[1:] == g[:-1]
-        if tail is not None and tail[0] == g[0]:   # pair across two Arrow batches
-            counts.append(pd.DataFrame({"a": [tail[1]], "b": [v[0]], "n": [1]}))
-        if same.any():
-            vc = (pd.DataFrame({"a": a[same], "b": b[same]})
-                  .groupby(["a", "b"], sort=False).size().reset_index(name="n"))
-            counts.append(vc)
-        tail = (g[-1], v[-1])
-    if head is None:
-        return
-    if counts:
-        c = pd.concat(counts).groupby(["a", "b"], sort=False)["n"].sum().reset_index()
-        yield pd.DataFrame({"kind": _PAIR, "pid": -1, "g": None, "a": c["a"], "b": c["b"],
-                            "n": c["n"].astype("int64")})
-    yield pd.DataFrame({"kind": [_HEAD, _TAIL], "pid": [pid, pid], "g": [head[0], tail[0]],
-                        "a": [head[1], tail[1]], "b": [None, None], "n": [0, 0]})
-
 
 def adjacent_pair_counts(df: DataFrame, group_col: str, order_cols: list[str],
                          value_col: str, num_partitions: int | None = None) -> DataFrame:
@@ -69,30 +25,26 @@ def adjacent_pair_counts(df: DataFrame, group_col: str, order_cols: list[str],
     the order total (add a unique tie-breaker), as equal keys have no
     defined order.
     """
-    spark = df.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = (df.select(F.col(group_col).cast("string").alias("g"), *order_cols,
-                   F.col(value_col).cast("string").alias("v"))
-         .repartitionByRange(n_parts, "g", *order_cols)
-         .sortWithinPartitions("g", *order_cols)
-         .select(F.spark_partition_id().alias("pid"), "g", "v"))
-    out = s.mapInPandas(_pairs_in_partition, _OUT_SCHEMA)
-    # One aggregate after the Python pass, so the partitions are streamed
-    # once: pair rows sum per (a, b); the boundary rows (two per partition)
-    # form a single group whose sorted list is stitched with array functions.
-    is_pair = F.col("kind") == _PAIR
-    agg = out.groupBy(F.when(is_pair, 0).otherwise(1).alias("k"),
-                      F.when(is_pair, F.col("a")).alias("a"),
-                      F.when(is_pair, F.col("b")).alias("b")).agg(
-        F.sum(F.when(is_pair, F.col("n"))).alias("n"),
-        F.collect_list(F.when(~is_pair, F.struct("pid", "kind", "g", "a"))).alias("bnd"))
-    bnd = F.array_sort("bnd")  # by partition, head before tail
-    steps = F.transform(F.sequence(F.lit(1), F.size(bnd) - 1),
-                        lambda i: F.struct(F.element_at(bnd, i).alias("x"), F.element_at(bnd, i + 1).alias("y")))
-    joined = F.filter(steps, lambda c: (c["x"]["kind"] == _TAIL) & (c["x"]["g"] == c["y"]["g"]))
-    stitched = F.transform(joined, lambda c: F.struct(c["x"]["a"].alias("a"), c["y"]["a"].alias("b"),
-                                                      F.lit(1).cast("long").alias("n")))
-    rows = (F.when(F.col("k") == 0, F.array(F.struct("a", "b", "n")))
-            .when(F.size(bnd) >= 2, stitched))
-    return (agg.select(F.explode(rows).alias("r"))
-            .groupBy(F.col("r.a").alias("a"), F.col("r.b").alias("b")).agg(F.sum("r.n").alias("n")))
+    from hourglass.operators.journeys import with_segment_ids
+
+    n_seg = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = with_segment_ids(df.select(group_col, *order_cols, F.col(value_col).cast("string").alias("__v")),
+                         [group_col, *order_cols], n_seg)
+    w = Window.partitionBy(group_col, "__seg").orderBy(*order_cols)
+    inner = (s.select(F.col("__v").alias("a"), F.lead("__v").over(w).alias("b"),
+                      F.lead(F.lit(1)).over(w).alias("__has_next"))
+             .filter(F.col("__has_next").isNotNull())
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")))
+    # First and last value of each (group, segment): same clustering as the
+    # window, so the exchange is shared; then only groups split over several
+    # segments are gathered and their boundary pairs stitched in order.
+    order = F.struct(*[F.col(c) for c in order_cols])
+    ends = s.groupBy(group_col, "__seg").agg(F.min_by("__v", order).alias("f"),
+                                             F.max_by("__v", order).alias("l"))
+    split = (ends.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct("__seg", "f", "l"))).alias("e"))
+             .filter(F.size("e") > 1))
+    steps = F.transform(F.sequence(F.lit(1), F.size("e") - 1),
+                        lambda i: F.struct(F.element_at("e", i)["l"].alias("a"),
+                                           F.element_at("e", i + 1)["f"].alias("b")))
+    stitched = split.select(F.explode(steps).alias("p")).select("p.a", "p.b", F.lit(1).cast("long").alias("n"))
+    return inner.unionByName(stitched).groupBy("a", "b").agg(F.sum("n").alias("n"))
