@@ -128,3 +128,21 @@ def test_segmented_ranks_and_journeys_under_skew(spark):
     assert hot.path == "Start > " + " > ".join(f"c{i % 4}" for i in range(3000)) + " > Conversion"
     assert hot.first_interaction == "c0" and hot.last_interaction == f"c{2999 % 4}" and hot.conversion == 1
     assert j["u7"].path == "Start > c1 > Null" and j["u7"].visiting_order == [1]
+
+
+def test_segments_are_deterministic_contiguous_and_balanced(spark):
+    from hourglass.operators.journeys import with_segment_ids
+
+    rows = [("hot", "c", T0 + dt.timedelta(seconds=i), i, 0) for i in range(5000)]
+    rows += [(f"u{i:04d}", "c", T0, 10_000 + i, 0) for i in range(2500)]
+    t = _touches(spark, rows)
+    keys = ["infinity_id", "dt", "tie"]
+    a = {r["tie"]: r["__seg"] for r in with_segment_ids(t, keys, 10).select("tie", "__seg").collect()}
+    b = {r["tie"]: r["__seg"] for r in with_segment_ids(t, keys, 10).select("tie", "__seg").collect()}
+    assert a == b                                                   # same ids every time
+    sizes = {}
+    for s in a.values():
+        sizes[s] = sizes.get(s, 0) + 1
+    assert len(sizes) >= 5 and max(sizes.values()) <= 3 * len(rows) / len(sizes)
+    hot = [a[i] for i in range(5000)]
+    assert hot == sorted(hot) and len(set(hot)) >= 3               # hot user split, in order
