@@ -86,17 +86,17 @@ def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int
     from pyspark.ml.feature import StringIndexer, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    data = features.dropna(subset=feature_cols)
-    spark = data.sparkSession
+    spark = features.sparkSession
+    # Materialise the model input once (reliable checkpoint), spread over the
+    # cluster's cores: the indexer, the forest's passes and the scoring pass
+    # all read these rows instead of recomputing the panel.
+    parts = max(spark.sparkContext.defaultParallelism, 1)
+    data = _checkpoint(features.dropna(subset=feature_cols).repartition(parts))
     indexer = StringIndexer(inputCol=entity_col, outputCol="__entity", handleInvalid="keep",
                             stringOrderType="alphabetAsc").fit(data)
     n_entities = len(indexer.labelsArray[0]) + 1
     assembler = VectorAssembler(inputCols=["__entity"] + feature_cols, outputCol="__features")
-    # Materialise the model input once (reliable checkpoint), spread over the
-    # cluster's cores: the forest makes several passes over it and the
-    # scoring pass reads it again.
-    parts = max(spark.sparkContext.defaultParallelism, 1)
-    prepared = _checkpoint(assembler.transform(indexer.transform(data)).repartition(parts))
+    prepared = assembler.transform(indexer.transform(data))
     rf = RandomForestRegressor(featuresCol="__features", labelCol="y",
                                numTrees=num_trees, subsamplingRate=subsampling_rate,
                                bootstrap=True, featureSubsetStrategy="all", maxDepth=max_depth,
