@@ -124,3 +124,17 @@ def test_insert_into_casts_by_position(spark):
     out = insert_into(df, "station_id int, hour timestamp_ntz, rentals int")
     assert [f.dataType.simpleString() for f in out.schema.fields] == ["int", "timestamp_ntz", "int"]
     assert out.columns == ["station_id", "hour", "rentals"]
+
+
+def test_register_table_over_written_files(spark, scratch_dir):
+    from hourglass.sources.catalog import register_table
+
+    r = dq.rentals(spark, SF_SMALL)
+    path = f"{scratch_dir}/rentals"
+    write_table(r, path, sort_within=["station_id"])
+    t = register_table(spark, "rentals", path, database="hourglass_test")
+    assert t.count() == r.count()
+    assert spark.sql("SELECT SUM(rentals) FROM hourglass_test.rentals").first()[0] == \
+        r.agg(F.sum("rentals")).first()[0]
+    register_table(spark, "rentals", path, database="hourglass_test")   # re-run replaces
+    assert spark.catalog.tableExists("hourglass_test.rentals")

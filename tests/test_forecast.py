@@ -5,7 +5,6 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from hourglass.operators import additive, forecast, metrics, panel
