@@ -19,6 +19,26 @@ from pyspark.sql import functions as F
 from hourglass.session import reliable_checkpoint
 
 
+def _memory_mb(text: str) -> float:
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    t = text.strip().lower().rstrip("b")
+    return float(t[:-1]) * units[t[-1]] if t and t[-1] in units else float(t) / (1024 * 1024)
+
+
+def tree_batch_mb(spark) -> int:
+    """Memory for MLlib's per-task node statistics: a quarter of the heap one
+    concurrent task can count on, between 16 and 256 MB (MLlib's default)."""
+    sc = spark.sparkContext
+    conf = sc.getConf()
+    if conf.get("spark.master", "").startswith("local"):
+        heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory() / (1024 * 1024)
+        cores = max(sc.defaultParallelism, 1)
+    else:
+        heap = _memory_mb(conf.get("spark.executor.memory", "1g"))
+        cores = max(int(conf.get("spark.executor.cores", "1")), 1)
+    return int(max(16, min(256, heap / cores / 4)))
+
+
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (shared storage): survives executor loss, cuts lineage."""
     return reliable_checkpoint(df)
@@ -100,7 +120,8 @@ def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int
     rf = RandomForestRegressor(featuresCol="__features", labelCol="y",
                                numTrees=num_trees, subsamplingRate=subsampling_rate,
                                bootstrap=True, featureSubsetStrategy="all", maxDepth=max_depth,
-                               maxBins=max(32, n_entities), seed=seed)
+                               maxBins=max(32, n_entities), seed=seed,
+                               maxMemoryInMB=tree_batch_mb(spark))
     train = (prepared.filter(F.col("is_historical") == 1)
              .withColumn("y", F.col("y").cast("double")).persist())
     model = rf.fit(train)
