@@ -110,6 +110,19 @@ def q_forecast_additive_weather(spark, sf):
                                       interval_width=INTERVAL_WIDTH)
 
 
+def q_forecast_errors_forest(spark, sf):
+    """Accuracy of the time-only forest per station (the reference's metrics
+    query, run on that model's forecast table)."""
+    m = metrics.forecast_errors_by_entity(q_forecast_forest_time(spark, sf), dq.stations(spark, sf))
+    return _rounded(m, ERROR_COLS)
+
+
+def q_forecast_errors_additive(spark, sf):
+    """Accuracy of the additive model, all stations together."""
+    m = metrics.forecast_errors(q_forecast_additive(spark, sf), dq.stations(spark, sf))
+    return _rounded(m, ERROR_COLS)
+
+
 QUERIES = {
     "forecast_panel": q_forecast_panel,
     "forecast_panel_weather": q_forecast_panel_weather,
@@ -124,4 +137,6 @@ QUERIES = {
     "forecast_forest_weather": q_forecast_forest_weather,
     "forecast_additive": q_forecast_additive,
     "forecast_additive_weather": q_forecast_additive_weather,
+    "forecast_errors_forest": q_forecast_errors_forest,
+    "forecast_errors_additive": q_forecast_errors_additive,
 }

@@ -79,3 +79,17 @@ def test_additive_forecast_on_panel(spark):
     assert rows and all(r.yhat_lower <= r.yhat <= r.yhat_upper for r in rows)
     fw = fq.q_forecast_additive_weather(spark, SF_SMALL).collect()
     assert fw and not any(math.isnan(r.yhat) for r in fw)
+
+
+def test_bounded_broadcast_hint_only_under_the_bound(spark):
+    from hourglass.operators.joins import bounded_broadcast
+
+    small = bounded_broadcast(spark.range(10), max_rows=100)
+    big = bounded_broadcast(spark.range(1000), max_rows=100)
+    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in big._jdf.queryExecution().logical().toString().lower()
+
+
+def test_model_error_queries(spark):
+    e = fq.q_forecast_errors_additive(spark, SF_SMALL).collect()
+    assert len(e) == 1 and e[0].MAD >= abs(e[0].MAE) - 1e-9
