@@ -58,7 +58,7 @@ def _ranked_segments(touches: DataFrame, c: TouchCols, num_partitions: int | Non
     """Touches cut into time-contiguous per-user segments, ranked inside each.
 
     Segments are balanced ranges of the (user, time, tie) order
-    (``segment_ids``), so a user holding a third of all rows spans many of
+    (``with_segment_ids``), so a user holding a third of all rows spans many of
     them; ``__lr`` is the dense rank of the time inside the (user, segment)
     - a window whose groups are bounded by the segment size.
     """
@@ -92,8 +92,8 @@ def visit_order(touches: DataFrame, c: TouchCols = DEFAULT, num_partitions: int
 
     Skew-safe: ranks are computed per time-contiguous segment of a user
     (see ``_ranked_segments``) and shifted by the distinct times of the
-    user's earlier segments. Only users cut by a partition boundary need a
-    shift - at most two per partition - so that small table is broadcast.
+    user's earlier segments. Only users cut by a segment boundary need a
+    shift - at most two per segment - so that small table is broadcast.
     """
     r = _ranked_segments(touches.select(*touches.columns), c, num_partitions)
     t = F.col(c.time).cast("timestamp_ntz")
@@ -103,7 +103,7 @@ def visit_order(touches: DataFrame, c: TouchCols = DEFAULT, num_partitions: int
              .filter(F.size("s") > 1))
     offs = split.select(c.user, F.explode(_offsets(F.col("s"))).alias("o")).select(
         c.user, F.col("o.seg").alias("__seg"), F.col("o.off").alias("__off"))
-    j = r.join(F.broadcast(offs), [c.user, "__seg"], "left")  # <= 2 rows per partition
+    j = r.join(F.broadcast(offs), [c.user, "__seg"], "left")  # <= 2 rows per segment
     rank = (F.col("__lr") + F.coalesce(F.col("__off"), F.lit(0))).cast("int")
     return j.select(*touches.columns, rank.alias("visit_order"))
 
@@ -117,7 +117,7 @@ def user_journeys(touches: DataFrame, c: TouchCols = DEFAULT, num_partitions: in
     conversion is the flag of the last touch that has one.
 
     Skew-safe build: touches are cut into time-contiguous segments of
-    bounded size (range partitioning), each segment is ranked and collected
+    bounded size (``with_segment_ids``), each segment is ranked and collected
     in parallel (window and aggregate share one exchange), and a user's few
     segments are then concatenated in time order with rank offsets. The
     journey row itself holds the user's whole ordered history by
