@@ -55,3 +55,21 @@ def test_channel_never_on_a_conversion_path_has_zero_effect(spark):
     shares = {r.channel: r.attribution_percent for r in markov.markov_attribution(markov.removal_effects(m)).collect()}
     assert shares == {"A": 1.0, "B": 0.0}
     assert not any(math.isnan(v) for v in eff.values())
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    from conftest import SF_SMALL
+    from hourglass.plans import demand_queries as dq
+
+    names = ["hourly_rentals", "stations", "sparsity_4h", "per_station_holiday"]
+
+    def snapshot():
+        return {n: sorted(tuple(r) for r in dq.QUERIES[n](spark, SF_SMALL).collect()) for n in names}
+
+    utc = snapshot()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        other = snapshot()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == other
