@@ -59,3 +59,19 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     ])
     kept = target.join(source.select(*keys), keys, "left_anti").select(*cols)
     return src.unionByName(kept)
+
+
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str,
+                   sort_by: list[str] | None = None, mode: str = "overwrite") -> DataFrame:
+    """Save ``df`` as a parquet table bucketed (and optionally sorted) by ``keys``.
+
+    Joins and aggregations on ``keys`` (for example the rentals by
+    station_id in the sparsity and panel plans) then read this side already
+    hash-partitioned: Spark skips its shuffle. The files live at ``path``
+    (an external table), e.g. under the cluster's shared warehouse.
+    """
+    w = df.write.mode(mode).format("parquet").option("path", path).bucketBy(buckets, *keys)
+    if sort_by:
+        w = w.sortBy(*sort_by)
+    w.saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -138,3 +138,16 @@ def test_register_table_over_written_files(spark, scratch_dir):
         r.agg(F.sum("rentals")).first()[0]
     register_table(spark, "rentals", path, database="hourglass_test")   # re-run replaces
     assert spark.catalog.tableExists("hourglass_test.rentals")
+
+
+def test_bucketed_rentals_keep_results_and_read_bucketed(spark, scratch_dir):
+    from hourglass.sources.sinks import write_bucketed
+
+    r = dq.rentals(spark, SF_SMALL)
+    active = dq.stations_active(spark, SF_SMALL)
+    b = write_bucketed(r, "rentals_by_station", ["station_id"], 8, f"{scratch_dir}/rb", sort_by=["station_id", "hour"])
+    before = sorted(tuple(x) for x in demand.sparsity(r, active, 4).collect())
+    after_df = demand.sparsity(b, active, 4)
+    assert sorted(tuple(x) for x in after_df.collect()) == before
+    plan = after_df._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan
