@@ -3,15 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hourglass.llm import chat, pii
-from hourglass.llm.common import read_table
+from hourglass.llm import bpe, chat, packing, pii, secrets
+from hourglass.llm.common import Scratch, read_table
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_spans(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, Scratch(spark, "secrets"), owner=F.col("source"),
+                                 repository=F.concat_ws("/", F.col("source"), F.col("lang")))
+    return secrets.digest_secrets(found)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest_round_trip(read_table(spark, sf_dir, "documents"),
+                                 public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = packing.tokenised_pieces(read_table(spark, sf_dir, "documents"),
+                                      public_tokenizers.path("word_bpe_49k.json"))
+    scratch = Scratch(spark, "pack")
+    return packing.pack(scratch.put(pieces, "pieces"), scratch)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
@@ -22,6 +46,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op4_secrets": op4_secrets,
+    "op5_bpe": op5_bpe,
+    "op8_packing": op8_packing,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
