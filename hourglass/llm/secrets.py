@@ -46,8 +46,7 @@ def _spans_of(text: Column, kind: str) -> Column:
     """The kind's spans: the pieces between matches and the matches, added up in order."""
     pattern, group, least = PATTERNS[kind]
     no = KINDS.index(kind)
-    # A replacement may not start or end with characters that a match could
-    # take in, so the text itself is split; -1 keeps empty pieces at the end.
+    # -1 keeps the empty pieces at the end.
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
     empty = F.array().cast(SPAN_TYPE)
