@@ -112,11 +112,9 @@ class Codec:
         return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+@lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> Codec:
-    return _cached(path, pattern)
-
-
-_cached = lru_cache(maxsize=2)(Codec)
+    return Codec(path, pattern)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",

@@ -79,7 +79,9 @@ class WordCodec:
         return out
 
 
-_codec = lru_cache(maxsize=2)(WordCodec)
+@lru_cache(maxsize=2)
+def _codec(path: str) -> WordCodec:
+    return WordCodec(path)
 
 
 def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID,
