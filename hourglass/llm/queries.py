@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import bpe, chat, packing, pii, quality, secrets
+from hourglass.llm import bpe, chat, jaccard, packing, pii, quality, secrets
 from hourglass.llm.common import Scratch, read_table
 
 
@@ -27,6 +27,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), Scratch(spark, "jaccard"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
+    "op6_jaccard": op6_jaccard,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_chat_formatting": op10_chat_formatting,
