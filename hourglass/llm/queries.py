@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import bpe, chat, jaccard, packing, pii, quality, secrets
+from hourglass.llm import bpe, chat, jaccard, packing, pii, quality, secrets, substring
 from hourglass.llm.common import Scratch, read_table
 
 
@@ -31,6 +31,10 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"), Scratch(spark, "jaccard"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest_kept(read_table(spark, sf_dir, "documents"), Scratch(spark, "substring"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op6_jaccard": op6_jaccard,
+    "op7_substring": op7_substring,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_chat_formatting": op10_chat_formatting,
