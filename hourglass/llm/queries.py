@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import bpe, chat, jaccard, packing, pii, quality, secrets, substring
+from hourglass.llm import bpe, chat, jaccard, neardup, packing, pii, quality, secrets, substring
 from hourglass.llm.common import Scratch, read_table
 
 
@@ -13,6 +13,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_spans(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read_table(spark, sf_dir, "embeddings"), Scratch(spark, "neardup"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = secrets.find_secrets(docs, Scratch(spark, "secrets"), owner=F.col("source"),
@@ -59,6 +63,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_neardup": op3_neardup,
     "op4_secrets": op4_secrets,
     "op5_bpe": op5_bpe,
     "op6_jaccard": op6_jaccard,
