@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import bpe, chat, jaccard, neardup, packing, pii, quality, secrets, substring
+from hourglass.llm import ann, bpe, chat, jaccard, neardup, packing, pii, quality, secrets, substring
 from hourglass.llm.common import Scratch, read_table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, Scratch(spark, "ann"), k=20)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_spans(pii.find_pii(read_table(spark, sf_dir, "documents")))
 
@@ -62,6 +66,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_pii": op2_pii,
     "op3_neardup": op3_neardup,
     "op4_secrets": op4_secrets,
