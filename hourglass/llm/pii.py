@@ -136,16 +136,20 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_batches(docs.select(id_col, text_col), run, ddl)
 
 
-def redact_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.4) -> DataFrame:
+def redact_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.3, chars_col: str | None = None) -> DataFrame:
     """The same rows and columns, texts redacted; null texts stay null.
 
     ``threshold``: spans whose context speaks against them stay in the text.
+    ``chars_col``, if given, is set to the new length where a text changes.
     """
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batch):
         cols = {n: batch.column(n) for n in batch.schema.names}
-        cols[text_col] = [t if t is None else redact(t, threshold) for t in cols[text_col].to_pylist()]
+        old = cols[text_col].to_pylist()
+        new = cols[text_col] = [t if t is None else redact(t, threshold) for t in old]
+        if chars_col:
+            cols[chars_col] = [c if a is b or a == b else len(b) for a, b, c in zip(old, new, cols[chars_col].to_pylist())]
         return cols
 
     return map_batches(docs, run, ddl)
