@@ -76,6 +76,37 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(ddl))
 
 
+class Generations:
+    """A bounded memory of computed values in two generations.
+
+    ``fetch`` returns a dict that holds every key asked for; what it lacks
+    comes from the old generation or is computed, in one call. A full young
+    generation becomes the old one, so keys in use stay and the rest goes.
+    """
+
+    def __init__(self, kept: int, compute: Callable[[list], list]):
+        self.kept, self.compute = kept, compute
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def fetch(self, keys) -> dict:
+        if len(self.young) > self.kept:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = set(keys).difference(young)
+        if missing:
+            new = []
+            for k in missing:
+                v = old.get(k)
+                if v is None:
+                    new.append(k)
+                else:
+                    young[k] = v
+            if new:
+                young.update(zip(new, self.compute(new)))
+        return young
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings; null becomes the empty string."""
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]

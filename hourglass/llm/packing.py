@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.llm.common import Scratch, arrow_schema, map_batches, texts_of, to_batch
+from hourglass.llm.common import Generations, Scratch, arrow_schema, map_batches, texts_of, to_batch
 
 CAPACITY = 2048
 END_ID = 0
-# Words whose ids a task keeps; beyond it the memory starts anew.
-WORDS_KEPT = 400_000
+# Words and pieces of words whose ids a process keeps, in two generations of so
+# many: when the young one is full the old one goes, and what is used moves up.
+WORDS_KEPT = 250_000
+# The split of the tokenizer for plain lower-case text.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 # The rest goes through the library whole: white space, case and character
 # classes are then the library's own.
 _PLAIN = re.compile(r"[^\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]|<\|")
@@ -59,23 +63,26 @@ class WordCodec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.words = Generations(WORDS_KEPT, self._of_words)
+        self.pieces = Generations(WORDS_KEPT, self._of_pieces)
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        split = [_PIECE.findall(w) for w in words]
+        known = self.pieces.fetch({p for s in split for p in s})
+        return [b"".join([known[p] for p in s]) for s in split]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > WORDS_KEPT:
-            self.words = {}
-        known, out = self.words, []
-        encode = lambda some: self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        out = []
         for text in texts:
             if _PLAIN.search(text):
-                out.append(np.array(encode([text])[0].ids, "<u4").tobytes())
+                out += self._of_pieces([text])
                 continue
             words = text.lower().split()
-            new = list({w for w in words if w not in known})
-            if new:
-                for w, e in zip(new, encode(new)):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join([known[w] for w in words]))
+            known = self.words.fetch(words)
+            out.append(b"".join(map(known.__getitem__, words)))
         return out
 
 
