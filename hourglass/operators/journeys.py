@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, CONVERSION, NULL_STATE = "Start", "Conversion", "Null"
@@ -28,87 +28,37 @@ class TouchCols:
 DEFAULT = TouchCols()
 
 
-def with_segment_ids(df: DataFrame, keys: list[str], n_segments: int, out_col: str = "__seg",
-                     oversample: int = 20) -> DataFrame:
-    """Deterministic range-segment id of each row for the ordering ``keys``.
+def time_bucket(c) -> Column:
+    """Whole hours since 1970 of a timestamp, as a long; NULL times come first, in a bucket of their own."""
+    c = F.col(c) if isinstance(c, str) else c
+    hours = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(c)
+    return F.coalesce(hours, F.lit(-(1 << 62)))
 
-    About ``n_segments * oversample`` keys are drawn by a hash of the key
-    (the fraction comes from a row-count scalar subquery), sorted, and every
-    k-th becomes a boundary; a row's segment is the number of boundaries
-    below its key. Segments are contiguous ranges of the key order with
-    balanced sizes - like range partitioning, but an expression: every
-    branch of a plan (and every retry) computes the same ids. Adds
-    ``out_col`` (int).
-    """
-    key = F.struct(*[F.col(k) for k in keys])
-    total = df.select(F.count(F.lit(1)).cast("double")).scalar()
-    u = F.xxhash64(*[F.col(k) for k in keys]).bitwiseAND(F.lit(0x7FFFFFFF)).cast("double") / F.lit(2147483648.0)
-    sample = df.filter(u * total < F.lit(float(n_segments * oversample))).select(key.alias("k"))
-    stride = F.greatest(F.lit(1), F.ceil(F.size("s") / F.lit(n_segments)))
-    bounds = (sample.agg(F.array_sort(F.collect_list("k")).alias("s"))
-              .select(F.filter("s", lambda x, i: ((i + 1) % stride) == 0)).scalar())
-    # the boundary list is a constant of the plan; bind it to a column so a
-    # higher-order function can read it (subqueries cannot sit inside one)
-    return (df.withColumn("__bounds", bounds)
-            .withColumn(out_col, F.size(F.filter("__bounds", lambda b: b < key)))
-            .drop("__bounds"))
-
-
-def _ranked_segments(touches: DataFrame, c: TouchCols, num_partitions: int | None) -> DataFrame:
-    """Touches cut into time-contiguous per-user segments, ranked inside each.
-
-    Segments are balanced ranges of the (user, time, tie) order
-    (``with_segment_ids``), so a user holding a third of all rows spans many of
-    them; ``__lr`` is the dense rank of the time inside the (user, segment)
-    - a window whose groups are bounded by the segment size.
-    """
-    n = num_partitions or int(touches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seg = with_segment_ids(touches, [c.user, c.time, c.tie], n)
-    w = Window.partitionBy(c.user, "__seg").orderBy(c.time)
-    return seg.withColumn("__lr", F.dense_rank().over(w))
-
-
-def _offsets(segments):
-    """Rank offset of each segment of a user, in segment order.
-
-    ``segments``: array of struct(__seg, f, l, n) sorted by __seg, with the
-    first and last time and the number of distinct times of each segment.
-    A segment starting at the previous one's last time continues its rank.
-    """
-    init = F.struct(F.array().cast("array<struct<seg:int,off:long>>").alias("out"),
-                    F.lit(0).cast("long").alias("off"),
-                    F.lit(None).cast("timestamp_ntz").alias("prev"))
-
-    def step(acc, x):
-        this = acc["off"] - F.when(x["f"] == acc["prev"], 1).otherwise(0)
-        return F.struct(F.concat(acc["out"], F.array(F.struct(x["__seg"].alias("seg"), this.alias("off")))).alias("out"),
-                        (this + x["n"]).alias("off"), x["l"].cast("timestamp_ntz").alias("prev"))
-
-    return F.aggregate(segments, init, step)["out"]
 
+def visit_order(touches: DataFrame, c: TouchCols = DEFAULT) -> DataFrame:
+    """``dense_rank()`` of the touch time within the user: equal times share a rank, NULL times rank first.
 
-def visit_order(touches: DataFrame, c: TouchCols = DEFAULT, num_partitions: int | None = None) -> DataFrame:
-    """``dense_rank()`` of the touch time within the user: equal times share a rank.
-
-    Skew-safe: ranks are computed per time-contiguous segment of a user
-    (see ``_ranked_segments``) and shifted by the distinct times of the
-    user's earlier segments. Only users cut by a segment boundary need a
-    shift - at most two per segment - so that small table is broadcast.
+    Skew-safe: a user's touches are cut into (user, hour) segments. The hour
+    is a function of the time, so equal times never straddle a segment. Ranks
+    are computed per segment and shifted by the distinct times of the user's
+    earlier segments: a running sum over the per-segment summary, which holds
+    at most one row per user and hour. The cost does not depend on the number
+    of shuffle partitions. Rows without a time all rank 1, so they skip the
+    window.
     """
-    r = _ranked_segments(touches.select(*touches.columns), c, num_partitions)
-    t = F.col(c.time).cast("timestamp_ntz")
-    summ = r.groupBy(c.user, "__seg").agg(F.min(t).alias("f"), F.max(t).alias("l"),
-                                          F.max("__lr").cast("long").alias("n"))
-    split = (summ.groupBy(c.user).agg(F.array_sort(F.collect_list(F.struct("__seg", "f", "l", "n"))).alias("s"))
-             .filter(F.size("s") > 1))
-    offs = split.select(c.user, F.explode(_offsets(F.col("s"))).alias("o")).select(
-        c.user, F.col("o.seg").alias("__seg"), F.col("o.off").alias("__off"))
-    j = r.join(F.broadcast(offs), [c.user, "__seg"], "left")  # <= 2 rows per segment
-    rank = (F.col("__lr") + F.coalesce(F.col("__off"), F.lit(0))).cast("int")
-    return j.select(*touches.columns, rank.alias("visit_order"))
-
-
-def user_journeys(touches: DataFrame, c: TouchCols = DEFAULT, num_partitions: int | None = None) -> DataFrame:
+    rows = touches.withColumn("__b", time_bucket(c.time))
+    timed = rows.filter(F.col(c.time).isNotNull())
+    ranked = timed.withColumn("__lr", F.dense_rank().over(Window.partitionBy(c.user, "__b").orderBy(c.time)))
+    ranked = ranked.unionByName(rows.filter(F.col(c.time).isNull()).withColumn("__lr", F.lit(1)))
+    summary = ranked.groupBy(c.user, "__b").agg(F.max("__lr").cast("long").alias("__n"))
+    earlier = Window.partitionBy(c.user).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = summary.select(F.col(c.user).alias("__u"), F.col("__b").alias("__ub"),
+                           F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
+    j = ranked.join(shift, F.col(c.user).eqNullSafe(F.col("__u")) & (F.col("__b") == F.col("__ub")))
+    return j.select(*touches.columns, (F.col("__lr") + F.col("__off")).cast("int").alias("visit_order"))
+
+
+def user_journeys(touches: DataFrame, c: TouchCols = DEFAULT) -> DataFrame:
     """One row per user: ``uid, path, first_interaction, last_interaction,
     conversion, visiting_order``.
 
@@ -116,27 +66,13 @@ def user_journeys(touches: DataFrame, c: TouchCols = DEFAULT, num_partitions: in
     (time, tie) order, NULL channels skipped (as collect_list does);
     conversion is the flag of the last touch that has one.
 
-    Skew-safe build: touches are cut into time-contiguous segments of
-    bounded size (``with_segment_ids``), each segment is ranked and collected
-    in parallel (window and aggregate share one exchange), and a user's few
-    segments are then concatenated in time order with rank offsets. The
-    journey row itself holds the user's whole ordered history by
-    definition; the attribution operators never build it.
+    The journey row holds the user's whole ordered history by definition;
+    the attribution operators never build it.
     """
-    r = _ranked_segments(touches, c, num_partitions)
-    touch = F.struct(F.col(c.time).alias("t"), F.col(c.tie).alias("k"),
-                     F.col(c.channel).alias("ch"), F.col(c.conversion).alias("cv"),
-                     F.col("__lr").alias("vo"))
-    tt = F.col(c.time).cast("timestamp_ntz")
-    segs = r.groupBy(c.user, "__seg").agg(
-        F.array_sort(F.collect_list(touch)).alias("t"), F.min(tt).alias("f"), F.max(tt).alias("l"),
-        F.max("__lr").cast("long").alias("n"))
-    per_user = segs.groupBy(F.col(c.user).alias("uid")).agg(
-        F.array_sort(F.collect_list(F.struct("__seg", "f", "l", "n", "t"))).alias("__s"))
-    offs = _offsets(F.transform("__s", lambda x: F.struct(x["__seg"], x["f"], x["l"], x["n"])))
-    shifted = F.flatten(F.transform("__s", lambda x, i: F.transform(
-        x["t"], lambda e: e.withField("vo", (e["vo"] + F.element_at(offs, i + 1)["off"]).cast("int")))))
-    g = per_user.select("uid", shifted.alias("__t"))
+    r = visit_order(touches, c)
+    touch = F.struct(F.col(c.time).alias("t"), F.col(c.tie).alias("k"), F.col(c.channel).alias("ch"),
+                     F.col(c.conversion).alias("cv"), F.col("visit_order").alias("vo"))
+    g = r.groupBy(F.col(c.user).alias("uid")).agg(F.array_sort(F.collect_list(touch)).alias("__t"))
     chans = F.filter(F.transform("__t", lambda x: x["ch"]), lambda x: x.isNotNull())
     convs = F.filter(F.transform("__t", lambda x: x["cv"]), lambda x: x.isNotNull())
     conversion = F.try_element_at(convs, F.lit(-1))
@@ -155,7 +91,8 @@ def journey_ends(touches: DataFrame, c: TouchCols = DEFAULT) -> DataFrame:
     """Per user: first and last channel and the last conversion flag.
 
     Pure ``min_by`` / ``max_by`` aggregates: they combine map-side, so a
-    user with millions of touches is reduced before the shuffle.
+    user with millions of touches is reduced before the shuffle. A user
+    without any channel stays, with NULL ends: their journey counts.
     """
     order = F.struct(F.col(c.time), F.col(c.tie))
     has_ch = F.col(c.channel).isNotNull()
@@ -164,7 +101,7 @@ def journey_ends(touches: DataFrame, c: TouchCols = DEFAULT) -> DataFrame:
         F.min_by(c.channel, F.when(has_ch, order)).alias("first_interaction"),
         F.max_by(c.channel, F.when(has_ch, order)).alias("last_interaction"),
         F.max_by(c.conversion, F.when(has_cv, order)).alias("conversion"),
-    ).filter(F.col("first_interaction").isNotNull())
+    )
 
 
 def _touch_share(ends: DataFrame, channel_col: str, model: str) -> DataFrame:

@@ -2,17 +2,16 @@
 
 States are 'Start', the channels, and the absorbing 'Conversion' / 'Null'.
 The matrix has at most (channels + 1) x (channels + 2) cells however many
-touches produced it, which is what makes the broadcast joins below safe;
-the bound is still checked (``bounded_broadcast``).
+touches produced it; joins with it carry no hint, adaptive execution sees its
+size. A journey without any channel passes through the state ``NO_CHANNEL``.
 
 Conversion probability from Start is computed two ways:
 
-* ``simple_paths`` (default) - the reference's recursive walk without its
-  memo table: the sum, over paths from Start to Conversion that visit no
-  state twice, of the product of transition probabilities. Paths are
-  enumerated as a distributed frontier (one join with the broadcast matrix
-  per step, at most one step per state). The path count grows
-  factorially with the number of channels - inherent in this definition.
+* ``simple_paths`` (default) - the sum, over paths from Start to Conversion
+  that visit no state twice, of the product of transition probabilities.
+  Paths that end in the same state after the same set of states go on alike,
+  so the frontier holds one row per (state, visited set) with their summed
+  probability: at most n * 2^n rows for n channels, not n! paths.
 * ``absorbing`` - the absorption probability of the chain, by repeated
   squaring of the (small) matrix; polynomial in the number of channels.
 
@@ -25,14 +24,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourglass.operators.joins import bounded_broadcast
 from hourglass.operators.journeys import (CONVERSION, DEFAULT, NULL_STATE, START, TouchCols,
                                           journey_ends)
 from hourglass.operators.sequence import adjacent_pair_counts
 from hourglass.session import reliable_checkpoint
 
-# A matrix larger than this is not a channel matrix; it is not broadcast.
-MAX_MATRIX_ROWS = 1_000_000
+NO_CHANNEL = "(no channel)"
 TERMINAL = (CONVERSION, NULL_STATE)
 
 
@@ -51,8 +48,8 @@ def state_transitions(touches: DataFrame, c: TouchCols = DEFAULT) -> DataFrame:
     end_state = F.when(F.col("conversion") == 1, F.lit(CONVERSION)).otherwise(F.lit(NULL_STATE))
     # Both edges of every journey from one pass over the per-user aggregate.
     edges = ends.select(F.explode(F.array(
-        F.struct(F.lit(START).alias("start_state"), F.col("first_interaction").alias("end_state")),
-        F.struct(F.col("last_interaction").alias("start_state"), end_state.alias("end_state")))).alias("x"))
+        F.struct(F.lit(START).alias("start_state"), F.coalesce("first_interaction", F.lit(NO_CHANNEL)).alias("end_state")),
+        F.struct(F.coalesce("last_interaction", F.lit(NO_CHANNEL)).alias("start_state"), end_state.alias("end_state")))).alias("x"))
     outer = edges.select("x.start_state", "x.end_state", F.lit(1).cast("long").alias("n"))
     return (inner.unionByName(outer)
             .groupBy("start_state", "end_state").agg(F.sum("n").alias("transitions")))
@@ -71,9 +68,9 @@ def transition_row_sums(matrix: DataFrame) -> DataFrame:
         F.round(F.sum("transition_probability"), 2).alias("transition_probability_sum"))
 
 
-def transition_pivot(matrix: DataFrame) -> DataFrame:
-    """Matrix as a table: one row per start state, one column per end state."""
-    return matrix.groupBy("start_state").pivot("end_state").agg(F.first("transition_probability"))
+def transition_pivot(matrix: DataFrame, end_states: list[str]) -> DataFrame:
+    """Matrix as a table: one row per start state, one column per listed end state."""
+    return matrix.groupBy("start_state").pivot("end_state", end_states).agg(F.first("transition_probability"))
 
 
 def removable_channels(matrix: DataFrame) -> DataFrame:
@@ -119,23 +116,20 @@ def _step_result(df: DataFrame, step: int) -> DataFrame:
 
 
 def conversion_paths(matrix: DataFrame) -> DataFrame:
-    """All simple paths Start -> ... -> Conversion with their probability.
+    """Simple paths Start -> ... -> Conversion, merged by the set of states they visit.
 
-    ``(visited array<string>, probability double)``. Each step joins the
-    live frontier with the broadcast matrix and drops moves to visited
-    states; a simple path has at most one step per state, so the loop ends
-    after at most (#states) steps. One Spark job per step (the count of live
-    paths, which also fills the frontier's cache).
+    ``(visited array<string>, probability double)``: the sorted states of the
+    paths and their summed probability. Each step joins the live frontier
+    with the matrix, drops moves to visited states and merges rows that agree
+    in (state, visited set); a simple path has at most one step per state, so
+    the loop ends after at most (#states) steps.
     """
-    # Materialise the (small) matrix once: every step's plan then reads the
-    # checkpoint instead of recomputing it from the touches.
     stored = _checkpoint(matrix.select(F.col("start_state").alias("__s"),
                                        F.col("end_state").alias("__e"),
                                        F.col("transition_probability").alias("__p")))
-    m = bounded_broadcast(stored, MAX_MATRIX_ROWS)
     live_state = ~F.col("state").isin(*TERMINAL)
     frontier = stored.filter(F.col("__s") == START).select(
-        F.col("__e").alias("state"), F.array(F.lit(START), F.col("__e")).alias("visited"),
+        F.col("__e").alias("state"), F.array_sort(F.array(F.lit(START), F.col("__e"))).alias("visited"),
         F.col("__p").alias("probability")).persist()
     kept = [frontier]
     found = []
@@ -148,11 +142,10 @@ def conversion_paths(matrix: DataFrame) -> DataFrame:
         step += 1
         live = frontier.filter(live_state)
         frontier = _step_result(
-            live.join(m, live["state"] == m["__s"])
+            live.join(stored, live["state"] == stored["__s"])
             .filter(~F.array_contains("visited", F.col("__e")))
-            .select(F.col("__e").alias("state"),
-                    F.array_append("visited", F.col("__e")).alias("visited"),
-                    (F.col("probability") * F.col("__p")).alias("probability")), step)
+            .groupBy(F.col("__e").alias("state"), F.array_sort(F.array_append("visited", F.col("__e"))).alias("visited"))
+            .agg(F.sum(F.col("probability") * F.col("__p")).alias("probability")), step)
         kept.append(frontier)
     out = found[0]
     for f in found[1:]:
@@ -191,7 +184,7 @@ def removal_effects(matrix: DataFrame, method: str = "simple_paths") -> DataFram
     if method == "simple_paths":
         paths = conversion_paths(matrix)
         total = _conversion_total(paths).scalar()  # scalar subquery, evaluated once
-        per = (paths.select(F.explode(F.array_distinct("visited")).alias("channel"), "probability")
+        per = (paths.select(F.explode("visited").alias("channel"), "probability")
                .groupBy("channel").agg(F.sum("probability").alias("__with")))
         j = chans.join(per, "channel", "left")
         eff = F.try_divide(F.coalesce(F.col("__with"), F.lit(0.0)), total)
@@ -228,7 +221,8 @@ def absorption_probabilities(matrix: DataFrame, tol: float = 1e-15,
 
     All variants iterate together, keyed by ``removed_channel``: Conversion
     and Null get self-loops, and the matrix is squared (P^2, P^4, ...)
-    until the mass still in transient states from Start is below ``tol``.
+    until the mass still in transient states from Start is below ``tol``;
+    raises where ``max_squarings`` do not get there.
     Each squaring is a join + aggregate on at most keys x states^2 rows,
     checkpointed to keep the lineage flat.
     """
@@ -261,6 +255,8 @@ def absorption_probabilities(matrix: DataFrame, tol: float = 1e-15,
                 .agg(F.max("r")).first()[0])
         if left is None or left < tol:
             break
+    else:
+        raise RuntimeError(f"no convergence: {left} of the mass is still transient after {max_squarings} squarings")
     conv = _checkpoint(m.filter((F.col("start_state") == START) & (F.col("end_state") == CONVERSION)))
     for k in kept:
         k.unpersist()
@@ -269,6 +265,9 @@ def absorption_probabilities(matrix: DataFrame, tol: float = 1e-15,
                                     F.coalesce(F.col("p"), F.lit(0.0)).alias("conversion_probability"))
 
 
-def attribution_compare(attribution: DataFrame) -> DataFrame:
-    """All models side by side: one row per channel, one column per model."""
-    return attribution.groupBy("channel").pivot("attribution_model").agg(F.first("attribution_percent"))
+MODELS = ("first_touch", "last_touch", "markov_chain")
+
+
+def attribution_compare(attribution: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
+    """The listed models side by side: one row per channel, one column per model."""
+    return attribution.groupBy("channel").pivot("attribution_model", list(models)).agg(F.first("attribution_percent"))

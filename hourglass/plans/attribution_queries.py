@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourglass.operators import journeys, markov
-from hourglass.plans.prepared import prepared
+from hourglass.plans.prepared import base_table
 from hourglass.sources import fixtures
 from hourglass.sources.sinks import upsert
 
@@ -18,8 +18,8 @@ def touches(spark, sf):
 
 
 def transitions(spark, sf):
-    """Transition counts (prepared once per session; a few dozen rows)."""
-    return prepared(spark, sf, "transitions", lambda: markov.state_transitions(touches(spark, sf)))
+    """Transition counts (a few dozen rows; built once where the build step is run)."""
+    return base_table(spark, sf, "transitions", lambda: markov.state_transitions(touches(spark, sf)))
 
 
 def matrix(spark, sf):
@@ -58,8 +58,11 @@ def q_transition_row_sums(spark, sf):
     return markov.transition_row_sums(matrix(spark, sf))
 
 
+END_STATES = [f"ch{i}" for i in range(fixtures.N_CHANNELS)] + [markov.NO_CHANNEL, markov.CONVERSION, markov.NULL_STATE]
+
+
 def q_transition_pivot(spark, sf):
-    return markov.transition_pivot(matrix(spark, sf))
+    return markov.transition_pivot(matrix(spark, sf), END_STATES)
 
 
 def q_removed_matrix(spark, sf):

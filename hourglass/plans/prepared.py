@@ -1,51 +1,50 @@
-"""Derived base tables, written once per session and read by many queries.
-
-The reference materialises its hourly rentals (and the journeys) as tables
-in a preparation step, and every later analysis reads those tables instead
-of the raw events. The registered queries do the same: a prepared table is
-built on first use and written with a reliable ``checkpoint()`` to the
-cluster's checkpoint directory; later queries read the written rows, so the
-raw events are scanned once, not once per derived branch of every plan.
-Queries whose job *is* building such a table still compute it from scratch.
+"""Base tables of the registered queries, written by an explicit build step.
+
+Without it every query computes its inputs from the given tables. ``build``
+writes the base tables (hourly rentals, weather, transitions ...) once below
+the shared checkpoint folder, as the reference's preparation step does, and
+later queries of the session over the same folder read the written rows;
+``release`` goes back to computing. Nothing is kept unless ``build`` is
+called.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourglass.session import reliable_checkpoint
+from hourglass.session import ensure_checkpoint_dir
 
-_TABLES: dict[tuple, DataFrame] = {}
+_BUILT: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
-def prepared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), name)
-    df = _TABLES.get(key)
-    if df is None:
-        df = reliable_checkpoint(build())
-        _TABLES[key] = df
-    return df
+def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, sf_dir.rstrip("/")
 
 
-def shared_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A folder for files the registered queries write (under the cluster's
-    checkpoint directory, i.e. shared storage; never a local temp folder)."""
-    from hourglass.session import ensure_checkpoint_dir
+def base_table(spark: SparkSession, sf_dir: str, name: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The built table of that name, or its plan where none is built."""
+    built = _BUILT.get(_key(spark, sf_dir), {}).get(name)
+    return compute() if built is None else built
 
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    tag = os.path.basename(os.path.abspath(sf_dir)).replace(".", "_")
-    return f"{base}/hourglass_files/{tag}/{name}"
 
+def build(spark: SparkSession, sf_dir: str, tables: dict[str, Callable[[SparkSession, str], DataFrame]]) -> None:
+    """Compute and write the named base tables of ``sf_dir``, in order; earlier ones serve later ones."""
+    release(spark, sf_dir)
+    built = _BUILT.setdefault(_key(spark, sf_dir), {})
+    for name, compute in tables.items():
+        path = shared_folder(spark, name)
+        compute(spark, sf_dir).write.parquet(path)
+        built[name] = spark.read.parquet(path)
 
-def written_files(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
-    """Write files once per session (``write(path)``) and return their folder."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), "files:" + name)
-    path = _TABLES.get(key)
-    if path is None:
-        path = shared_folder(spark, sf_dir, name)
-        write(path)
-        _TABLES[key] = path
-    return path
+
+def release(spark: SparkSession, sf_dir: str) -> None:
+    _BUILT.pop(_key(spark, sf_dir), None)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for files a query writes (under the cluster's checkpoint
+    directory, i.e. shared storage; never a local temp folder)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourglass_files/{name}-{uuid.uuid4().hex}"

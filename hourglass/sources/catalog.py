@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _quote(name: str) -> str:
+def quote_name(name: str) -> str:
     return ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))
 
 
@@ -18,9 +18,19 @@ def register_table(spark: SparkSession, name: str, path: str, fmt: str = "parque
                    database: str | None = None, replace: bool = True) -> DataFrame:
     """External table over existing files (``CREATE TABLE name USING fmt LOCATION path``)."""
     if database:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quote(database)}")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quote_name(database)}")
     full = f"{database}.{name}" if database else name
     if replace:
-        spark.sql(f"DROP TABLE IF EXISTS {_quote(full)}")
+        spark.sql(f"DROP TABLE IF EXISTS {quote_name(full)}")
     spark.catalog.createTable(full, path=path, source=fmt)
     return spark.table(full)
+
+
+def list_tables(spark: SparkSession, database: str) -> list[str]:
+    """Names of the tables of a database, sorted (``SHOW TABLES``)."""
+    return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
+
+
+def drop_database(spark: SparkSession, database: str) -> None:
+    """``DROP DATABASE IF EXISTS ... CASCADE``: the database and its table entries."""
+    spark.sql(f"DROP DATABASE IF EXISTS {quote_name(database)} CASCADE")

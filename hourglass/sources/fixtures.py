@@ -11,7 +11,7 @@ data. The same derivations are written in SQL in ``hourglass.plans.oracles``.
                     value over 'error' events (NULL when none)
 * history weather<- orders per day: max_temp = max(o_totalprice),
                     precip = sum(o_totalprice) / 1e4
-* touches        <- events: user-day journeys, channel from props.k
+* touches        <- events: user-day journeys, channel from props.k (none for every fifth event)
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from hourglass.functions.time import hour_floor
 
 # Fixed value: number of marketing channels the touches fixture derives.
 N_CHANNELS = 6
+# Fixed value: every so many-th event is a touch without a channel.
+NO_CHANNEL_EVERY = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +68,8 @@ def touches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"),
                  F.date_format("ts", "yyyyMMdd")).alias("infinity_id"),
-        F.concat(F.lit("ch"), (k % N_CHANNELS).cast("string")).alias("channelgrouping"),
+        F.when(F.col("event_id") % NO_CHANNEL_EVERY != 0,
+               F.concat(F.lit("ch"), (k % N_CHANNELS).cast("string"))).alias("channelgrouping"),
         F.col("ts").alias("dt"),
         F.col("event_id").alias("tie"),
         F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("conversion"),

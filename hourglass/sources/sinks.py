@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourglass.sources.catalog import quote_name
+
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
                 partition_by: list[str] | None = None,
@@ -23,42 +27,55 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
     w.parquet(path)
 
 
-def insert_into(df: DataFrame, schema_ddl: str) -> DataFrame:
-    """Shape ``df`` to a declared table schema (INSERT INTO ... SELECT).
+def create_table(spark: SparkSession, name: str, schema_ddl: str, path: str) -> None:
+    """``CREATE TABLE IF NOT EXISTS`` of a typed parquet table at ``path``."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(name)} ({schema_ddl}) USING parquet LOCATION '{path}'")
 
-    Columns are matched by position and cast to the declared types, as an
-    INSERT into a typed table does (e.g. COUNT(*) into an INTEGER column).
-    """
-    from pyspark.sql.types import _parse_datatype_string
 
-    target = _parse_datatype_string(schema_ddl)
-    if len(target.fields) != len(df.columns):
-        raise ValueError(f"insert has {len(df.columns)} columns, table has {len(target.fields)}")
-    return df.select(*[F.col(c).cast(f.dataType).alias(f.name)
-                       for c, f in zip(df.columns, target.fields)])
+def insert_into(df: DataFrame, name: str) -> DataFrame:
+    """``INSERT INTO name SELECT ...``: append rows by position and return the table.
+
+    Spark's store assignment casts to the declared types (a BIGINT count into
+    an INTEGER column) and raises on overflow.
+    """
+    df.write.insertInto(name)
+    return df.sparkSession.table(name)
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """MERGE ... WHEN MATCHED UPDATE SET * WHEN NOT MATCHED INSERT *.
 
     Result = every source row, plus the target rows whose key is not in the
-    source. Like MERGE, more than one source row per key is an error; the
-    check is part of the plan (``raise_error``), so nothing is collected.
-    Both inputs are shuffled once on the keys (anti join); the window that
-    counts duplicates reuses that partitioning.
+    source. Like MERGE, a target row that several source rows match is an
+    error; source rows that share a key without a match are all inserted. The
+    check is a filter on every source row, which no optimisation can drop,
+    and nothing is collected. NULL keys match nothing, as ``=`` does.
     """
     cols = target.columns
     if sorted(cols) != sorted(source.columns):
         raise ValueError("source and target must have the same columns")
-    w = Window.partitionBy(*keys)
-    src = source.withColumn("__n", F.count(F.lit(1)).over(w))
-    src = src.select(*[
-        (F.when(F.col("__n") > 1, F.raise_error(F.lit("upsert: duplicate source key")))
-         .otherwise(F.col(c)).alias(c) if c == keys[0] else F.col(c))
-        for c in cols
-    ])
-    kept = target.join(source.select(*keys), keys, "left_anti").select(*cols)
-    return src.unionByName(kept)
+    repeated = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    clash = repeated.join(target.select(*keys), keys, "left_semi").withColumn("__clash", F.lit(True)).drop("__n")
+    checked = source.join(clash, keys, "left").filter(
+        F.when(F.col("__clash"), F.raise_error(F.lit("upsert: several source rows match a target row")).cast("boolean"))
+        .otherwise(F.lit(True)))
+    kept = target.join(source.select(*keys).distinct(), keys, "left_anti").select(*cols)
+    return checked.select(*cols).unionByName(kept)
+
+
+def upsert_table(source: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Merge ``source`` into the parquet table at ``path`` and return the table.
+
+    The merged rows are first written beside the table, so the files being
+    read are never the ones being overwritten; a run that fails between the
+    two writes leaves the staged rows whole.
+    """
+    spark = source.sparkSession
+    staged = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
+    upsert(spark.read.parquet(path), source, keys).write.parquet(staged)
+    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
+    spark.catalog.refreshByPath(path)
+    return spark.read.parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str,

@@ -37,7 +37,7 @@ def test_transitions_match_journey_paths(spark):
     st = {(r.start_state, r.end_state): r.transitions for r in markov.state_transitions(t).collect()}
     expect = {}
     for r in journeys.user_journeys(t).collect():
-        s = [x.strip() for x in r.path.split(">")]
+        s = [x.strip() or markov.NO_CHANNEL for x in r.path.split(">")]
         for a, b in zip(s, s[1:]):
             expect[(a, b)] = expect.get((a, b), 0) + 1
     assert st == expect
@@ -49,8 +49,7 @@ def test_adjacent_pairs_under_skew(spark):
     rows += [(f"u{i}", f"c{i % 2}", T0 + dt.timedelta(minutes=i), 10_000 + i, 0) for i in range(200)]
     rows += [(f"u{i}", "c9", T0 + dt.timedelta(minutes=i, seconds=1), 20_000 + i, 0) for i in range(200)]
     t = _touches(spark, rows)
-    got = {(r.a, r.b): r.n for r in adjacent_pair_counts(t, "infinity_id", ["dt", "tie"], "channelgrouping",
-                                                         num_partitions=16).collect()}
+    got = {(r.a, r.b): r.n for r in adjacent_pair_counts(t, "infinity_id", ["dt", "tie"], "channelgrouping").collect()}
     w = Window.partitionBy("infinity_id").orderBy("dt", "tie")
     ref = (t.withColumn("nx", F.lead("channelgrouping").over(w)).filter(F.col("nx").isNotNull())
            .groupBy("channelgrouping", "nx").count().collect())
@@ -120,9 +119,9 @@ def test_segmented_ranks_and_journeys_under_skew(spark):
     t = _touches(spark, rows)
     w = Window.partitionBy("infinity_id").orderBy("dt")
     ref = {(r.tie, r.vo) for r in t.select("tie", F.dense_rank().over(w).alias("vo")).collect()}
-    got = {(r.tie, r.visit_order) for r in journeys.visit_order(t, num_partitions=17).collect()}
+    got = {(r.tie, r.visit_order) for r in journeys.visit_order(t).collect()}
     assert got == ref
-    j = {r.uid: r for r in journeys.user_journeys(t, num_partitions=17).collect()}
+    j = {r.uid: r for r in journeys.user_journeys(t).collect()}
     hot = j["hot"]
     assert hot.visiting_order == [i // 3 + 1 for i in range(3000)]
     assert hot.path == "Start > " + " > ".join(f"c{i % 4}" for i in range(3000)) + " > Conversion"
@@ -130,19 +129,73 @@ def test_segmented_ranks_and_journeys_under_skew(spark):
     assert j["u7"].path == "Start > c1 > Null" and j["u7"].visiting_order == [1]
 
 
-def test_segments_are_deterministic_contiguous_and_balanced(spark):
-    from hourglass.operators.journeys import with_segment_ids
-
-    rows = [("hot", "c", T0 + dt.timedelta(seconds=i), i, 0) for i in range(5000)]
-    rows += [(f"u{i:04d}", "c", T0, 10_000 + i, 0) for i in range(2500)]
+def test_users_without_channels_count_in_the_shares(spark):
+    rows = [("u1", "a", T0, 1, 1), ("u2", None, T0, 2, 1)]
     t = _touches(spark, rows)
-    keys = ["infinity_id", "dt", "tie"]
-    a = {r["tie"]: r["__seg"] for r in with_segment_ids(t, keys, 10).select("tie", "__seg").collect()}
-    b = {r["tie"]: r["__seg"] for r in with_segment_ids(t, keys, 10).select("tie", "__seg").collect()}
-    assert a == b                                                   # same ids every time
-    sizes = {}
-    for s in a.values():
-        sizes[s] = sizes.get(s, 0) + 1
-    assert len(sizes) >= 5 and max(sizes.values()) <= 3 * len(rows) / len(sizes)
-    hot = [a[i] for i in range(5000)]
-    assert hot == sorted(hot) and len(set(hot)) >= 3               # hot user split, in order
+    for shares in (journeys.first_touch(t), journeys.last_touch(t)):
+        assert {r.channel: r.attribution_percent for r in shares.collect()} == {"a": 0.5, None: 0.5}
+    steps = {(r.start_state, r.end_state): r.transitions for r in markov.state_transitions(t).collect()}
+    assert steps == {("Start", "a"): 1, ("a", "Conversion"): 1, ("Start", markov.NO_CHANNEL): 1, (markov.NO_CHANNEL, "Conversion"): 1}
+
+
+def _full_graph(spark, n):
+    states = [f"c{i}" for i in range(n)]
+    rows = [("Start", s, 1 / n) for s in states]
+    for i, s in enumerate(states):
+        others = [x for x in states if x != s] + ["Conversion", "Null"]
+        weight = [1 + (i * 7 + k * 3) % 5 for k in range(len(others))]
+        rows += [(s, x, w / sum(weight)) for x, w in zip(others, weight)]
+    return rows, spark.createDataFrame(rows, "start_state string, end_state string, transition_probability double")
+
+
+def _walk(matrix, removed=None):
+    out = {}
+    for a, b, p in matrix:
+        if a != removed:
+            out.setdefault(a, []).append(("Null" if b == removed else b, p))
+
+    def go(state, seen):
+        if state == "Conversion":
+            return 1.0
+        return sum(p * go(b, seen | {b}) for b, p in out.get(state, ()) if b not in seen)
+    return go("Start", {"Start"})
+
+
+def test_merged_paths_equal_plain_enumeration(spark):
+    rows, m = _full_graph(spark, 6)
+    full = _walk(rows)
+    assert abs(markov.conversion_probability(m).first()[0] - full) < 1e-12
+    effects = {r.channel: r.removal_effect for r in markov.removal_effects(m).collect()}
+    for c, e in effects.items():
+        assert abs(e - (full - _walk(rows, c)) / full) <= 0.005 + 1e-9
+
+
+def test_twelve_channels_finish(spark):
+    _, m = _full_graph(spark, 12)
+    p = markov.conversion_probability(m).first()[0]
+    assert 0 < p <= 1 and markov.conversion_paths(m).count() < 12 * 2 ** 12
+
+
+def test_unconverged_absorption_raises(spark):
+    m = spark.createDataFrame([("Start", "A", 1.0), ("A", "A", 0.999), ("A", "Conversion", 0.001)],
+                              "start_state string, end_state string, transition_probability double")
+    with pytest.raises(RuntimeError, match="convergence"):
+        markov.absorption_probabilities(m, max_squarings=2)
+
+
+def test_upsert_check_cannot_be_pruned_and_is_merge_exact(spark, scratch_dir):
+    from hourglass.sources.sinks import upsert_table
+
+    schema = "k string, v int, p double"
+    target = spark.createDataFrame([("a", 1, 0.1), ("b", 1, 0.2)], schema)
+    clash = spark.createDataFrame([("a", 2, 0.5), ("a", 3, 0.6)], schema)
+    for act in (lambda d: d.count(), lambda d: d.select("p").collect(), lambda d: d.select(F.lit(1)).collect()):
+        with pytest.raises(Exception, match="several source rows"):
+            act(upsert(target, clash, ["k"]))
+    twice = spark.createDataFrame([("new", 2, 0.5), ("new", 3, 0.6)], schema)
+    assert upsert(target, twice, ["k"]).count() == 4            # no target row matches: both are inserted
+    path = f"{scratch_dir}/t"
+    target.write.parquet(path)
+    source = spark.createDataFrame([("b", 9, 0.9), ("c", 9, 0.9)], schema)
+    assert {(r.k, r.v) for r in upsert_table(source, path, ["k"]).collect()} == {("a", 1), ("b", 9), ("c", 9)}
+    assert {(r.k, r.v) for r in upsert_table(source, path, ["k"]).collect()} == {("a", 1), ("b", 9), ("c", 9)}
