@@ -66,9 +66,15 @@ def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
 
 
 def fit_predict(pdf: pd.DataFrame, regressors: tuple = (), interval_width: float = 0.80,
-                seasonalities: tuple = SEASONALITIES) -> pd.DataFrame:
+                seasonalities: tuple = SEASONALITIES, missing_future: str = "null") -> pd.DataFrame:
     """Fit on the historical rows (is_historical = 1, no NULLs), predict
-    those rows and the panel's future rows."""
+    those rows and the panel's future rows.
+
+    ``missing_future``: a future row without a regressor's value has no
+    forecast (``"null"``) or takes the historical mean (``"mean"``).
+    """
+    if missing_future not in ("null", "mean"):
+        raise ValueError(f"missing_future is 'null' or 'mean', not {missing_future!r}")
     pdf = pdf.sort_values("ds")
     hist = pdf[pdf["is_historical"] == 1].dropna(subset=["y", *regressors])
     fut = pdf[pdf["is_historical"] == 0]
@@ -95,10 +101,12 @@ def fit_predict(pdf: pd.DataFrame, regressors: tuple = (), interval_width: float
         names += [name] * (2 * order)
     seas_pen = [1 / SEASONALITY_PRIOR ** 2] * len(names)
     hol = rows["holiday_names"] if "holiday_names" in rows else pd.Series([None] * len(rows))
-    hol_sets = [set(h) if h is not None and len(h) else set() for h in hol]
-    hol_names = sorted(set().union(*hol_sets)) if hol_sets else []
+    # A station's rows hold few different sets of names: one 0/1 row per set,
+    # picked by each row's code.
+    code, hol_sets = pd.factorize(hol.map(lambda h: tuple(h) if h is not None and len(h) else ()))
+    hol_names = sorted({n for s in hol_sets for n in s})
     if hol_names:
-        blocks.append(np.array([[1.0 if n in s else 0.0 for n in hol_names] for s in hol_sets]))
+        blocks.append(np.array([[float(n in s) for n in hol_names] for s in hol_sets])[code])
         names += ["holidays"] * len(hol_names)
         seas_pen += [1 / HOLIDAY_PRIOR ** 2] * len(hol_names)
     add_x = np.column_stack(blocks) if blocks else np.zeros((len(rows), 0))
@@ -109,9 +117,10 @@ def fit_predict(pdf: pd.DataFrame, regressors: tuple = (), interval_width: float
         mu = np.nanmean(r[:nh], axis=0)
         sd = np.nanstd(r[:nh], axis=0)
         sd[sd == 0] = 1.0
-        reg_x = np.nan_to_num((r - mu) / sd)  # missing future values -> the mean
+        reg_x = np.nan_to_num((r - mu) / sd)  # missing future values count as the mean
+        unknown = np.isnan(r).any(axis=1) & (missing_future == "null")
     else:
-        reg_x = np.zeros((len(rows), 0))
+        reg_x, unknown = np.zeros((len(rows), 0)), np.zeros(len(rows), bool)
 
     y_scale = max(float(np.abs(hist["y"].to_numpy(dtype=float)).max()), 1.0)
     ys = hist["y"].to_numpy(dtype=float) / y_scale
@@ -144,4 +153,5 @@ def fit_predict(pdf: pd.DataFrame, regressors: tuple = (), interval_width: float
     out["yhat"], out["yhat_lower"], out["yhat_upper"] = yhat, yhat - half, yhat + half
     for c in COMPONENTS:
         out[c] = out[f"{c}_lower"] = out[f"{c}_upper"] = comp[c]
+    out.loc[unknown, OUTPUT_COLUMNS[3:]] = np.nan
     return out[OUTPUT_COLUMNS]

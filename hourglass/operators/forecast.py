@@ -13,10 +13,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourglass.session import reliable_checkpoint
+from hourglass.session import ensure_checkpoint_dir, reliable_checkpoint
+
+# Fixed value: the deepest tree MLlib grows.
+MLLIB_MAX_DEPTH = 30
 
 
 def _memory_mb(text: str) -> float:
@@ -66,7 +72,7 @@ def ensemble_interval(df: DataFrame, members_col: str, interval_width: float = 0
     """Add ``yhat`` (member mean) and ``yhat_lower`` / ``yhat_upper``
     (percentiles (100-w)/2 and 100-(100-w)/2 of the members) to each row."""
     lo_q, hi_q = interval_bounds(interval_width)
-    s = F.array_sort(F.col(members_col))
+    s = F.sort_array(F.col(members_col))
     mean = F.aggregate(F.col(members_col), F.lit(0.0), lambda acc, x: acc + x) / F.size(members_col)
     return df.select("*", mean.alias(prefix),
                      _percentile_sorted(s, lo_q).alias(f"{prefix}_lower"),
@@ -90,75 +96,102 @@ def profile_forecast(panel: DataFrame, places: int = 8) -> DataFrame:
         F.max(hist_y).over(w).cast("double").alias("yhat_upper"))
 
 
+def _leaf_values(model, spark) -> Column:
+    """The forest's leaf values as a constant: per tree, by MLlib's leaf number (left to right).
+
+    Read from the model's own saved form, in which a tree's nodes are
+    numbered depth first, left before right. The constant is bounded by the
+    model (trees x leaves), not by the data.
+    """
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourglass-forest-{uuid.uuid4().hex}"
+    model.write().save(path)
+    leaves = (spark.read.parquet(f"{path}/data").filter("nodeData.leftChild < 0")
+              .select("treeID", "nodeData.id", "nodeData.prediction").collect())
+    trees: dict[int, list] = {}
+    for r in sorted(leaves, key=lambda r: (r["treeID"], r["id"])):
+        trees.setdefault(r["treeID"], []).append(r["prediction"])
+    return F.from_json(F.lit(json.dumps([trees[t] for t in sorted(trees)])), "array<array<double>>")
+
+
 def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int = 100,
-                    subsampling_rate: float = 0.6, max_depth: int = 8, seed: int = 42,
-                    interval_width: float = 0.80, entity_col: str = "station_id") -> DataFrame:
+                    subsampling_rate: float = 0.6, max_depth: int = MLLIB_MAX_DEPTH, min_leaf_rows: int = 100,
+                    max_bins: int = 64, seed: int = 42, interval_width: float = 0.80,
+                    entity_col: str = "station_id") -> DataFrame:
     """Random-forest forecast with a per-row interval from the trees' spread.
 
     Departure from the reference (one scikit-learn forest per station in a
-    grouped UDF): one distributed MLlib forest over all selected stations,
-    with the station as a categorical feature, so trees can split stations
-    apart. Each tree sees a 60 % bootstrap sample of rows and all features,
-    and the seed is fixed. Rows with a NULL feature are neither trained on
-    nor forecast. Output: ``(station_id, ds, y, yhat, yhat_lower,
-    yhat_upper)``; y is NULL for future rows.
+    grouped UDF): one distributed MLlib forest over all selected stations.
+    What a station does at an hour of the day is its history's mean there, an
+    aggregate in Spark; the trees learn the deviations from it, over the
+    calendar and weather features and two ordered encodings of the station
+    (its mean, and its mean at the hour), so the number of bins does not
+    grow with the stations. Depth is MLlib's own limit; trees stop at
+    ``min_leaf_rows`` rows in a leaf. Each tree sees a 60 % bootstrap sample
+    of rows and all features, and the seed is fixed. Rows with a NULL feature
+    are neither trained on nor forecast; a station or hour without history
+    starts from the overall mean. Output: ``(station_id, ds, y, yhat,
+    yhat_lower, yhat_upper)``; y is NULL for future rows.
     """
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import RandomForestRegressor
 
     spark = features.sparkSession
-    # Materialise the model input once (reliable checkpoint), spread over the
-    # cluster's cores: the indexer, the forest's passes and the scoring pass
-    # all read these rows instead of recomputing the panel.
     parts = max(spark.sparkContext.defaultParallelism, 1)
-    data = _checkpoint(features.dropna(subset=feature_cols).repartition(parts))
-    indexer = StringIndexer(inputCol=entity_col, outputCol="__entity", handleInvalid="keep",
-                            stringOrderType="alphabetAsc").fit(data)
-    n_entities = len(indexer.labelsArray[0]) + 1
-    assembler = VectorAssembler(inputCols=["__entity"] + feature_cols, outputCol="__features")
-    prepared = assembler.transform(indexer.transform(data))
-    rf = RandomForestRegressor(featuresCol="__features", labelCol="y",
+    rows = features.dropna(subset=feature_cols)
+    known = rows.filter(F.col("is_historical") == 1)
+    overall = known.agg(F.coalesce(F.avg("y"), F.lit(0.0))).scalar()
+    # One partial aggregate gives both encodings; it has a row per station and
+    # hour of the day.
+    sums = known.groupBy(F.col(entity_col).alias("__e"), F.hour("ds").alias("__h")).agg(
+        F.sum("y").alias("__s"), F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy("__e")
+    means = sums.select("__e", "__h", (F.col("__s") / F.col("__c")).alias("__hour_mean"))
+    per_entity = sums.select("__e", (F.sum("__s").over(w) / F.sum("__c").over(w)).alias("__mean")).distinct()
+    # Materialise the model input once (reliable checkpoint), spread over the
+    # cluster's cores: the forest's passes and the scoring pass read these rows.
+    data = _checkpoint(
+        rows.join(means, (F.col(entity_col) == F.col("__e")) & (F.hour("ds") == F.col("__h")), "left").drop("__e", "__h")
+        .join(per_entity, F.col(entity_col) == F.col("__e"), "left").drop("__e")
+        .withColumn("__mean", F.coalesce("__mean", overall))
+        .withColumn("__hour_mean", F.coalesce("__hour_mean", "__mean"))
+        .withColumn("__dev", F.col("y") - F.col("__hour_mean")).repartition(parts))
+    assembler = VectorAssembler(inputCols=["__mean", "__hour_mean"] + feature_cols, outputCol="__features")
+    prepared = assembler.transform(data)
+    rf = RandomForestRegressor(featuresCol="__features", labelCol="__dev", leafCol="__leaf",
                                numTrees=num_trees, subsamplingRate=subsampling_rate,
                                bootstrap=True, featureSubsetStrategy="all", maxDepth=max_depth,
-                               maxBins=max(32, n_entities), seed=seed,
+                               minInstancesPerNode=min_leaf_rows, maxBins=max_bins, seed=seed,
                                maxMemoryInMB=tree_batch_mb(spark))
-    train = (prepared.filter(F.col("is_historical") == 1)
-             .withColumn("y", F.col("y").cast("double")).persist())
+    train = prepared.filter(F.col("is_historical") == 1).persist()
     model = rf.fit(train)
     train.unpersist()
-    # Interval from the spread of the trees: the fitted trees are flattened
-    # to node arrays (one JVM call for the whole forest), broadcast once, and
-    # every Arrow batch is scored by numpy; mean and percentiles are computed
-    # there too (module treescore), so no per-tree column is materialised.
-    from hourglass.operators.treescore import band_scorer, parse_forest
-
-    trees = parse_forest(model._java_obj.toDebugString(), n_entities)
-    lo_q, hi_q = interval_bounds(interval_width)
-    score = band_scorer(spark.sparkContext.broadcast(trees), 100 * lo_q, 100 * hi_q)
-    inputs = [F.col("__entity")] + [F.col(c).cast("double") for c in feature_cols]
-    scored = prepared.select("*", score(*inputs).alias("__band"))
+    # MLlib gives each row's leaf of every tree; the leaves' values are looked
+    # up as array expressions.
+    values = _leaf_values(model, spark)
+    members = F.transform(vector_to_array("__leaf"), lambda leaf, i: F.col("__hour_mean") + F.element_at(
+        F.element_at(values, i + 1), leaf.cast("int") + 1))
+    scored = ensemble_interval(model.transform(prepared).select(entity_col, "ds", "y", "is_historical", members.alias("__members")),
+                               "__members", interval_width)
     return scored.select(
         entity_col, "ds",
         F.when(F.col("is_historical") == 1, F.col("y")).cast("double").alias("y"),
-        F.col("__band.yhat").alias("yhat"),
-        F.col("__band.yhat_lower").alias("yhat_lower"),
-        F.col("__band.yhat_upper").alias("yhat_upper"))
+        "yhat", "yhat_lower", "yhat_upper")
 
 
 def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple = (),
-                      interval_width: float = 0.80, yearly: bool = True) -> DataFrame:
+                      interval_width: float = 0.80, yearly: bool = True,
+                      missing_future: str = "null") -> DataFrame:
     """Per-station additive model (27 output columns, see ``operators.additive``).
 
-    Holidays enter as a per-row array of holiday names (the holiday table is
-    bounded, grouped by date and broadcast), replacing the reference's
-    broadcast pandas variable. One ``applyInPandas`` call per station; a
-    station's rows are bounded by the calendar length.
+    Holidays enter as a per-row array of holiday names, joined on the date.
+    One ``applyInPandas`` call per station; a station's rows are bounded by
+    the calendar length. ``missing_future``: see ``additive.fit_predict``.
     """
     from hourglass.operators import additive
-    from hourglass.operators.joins import broadcast_bounded_by_construction
 
-    hd = broadcast_bounded_by_construction(holidays.groupBy(F.to_date("date").alias("__hd")).agg(
-        F.array_sort(F.collect_set("holiday")).alias("holiday_names")))
+    hd = holidays.groupBy(F.to_date("date").alias("__hd")).agg(
+        F.array_sort(F.collect_set("holiday")).alias("holiday_names"))
     cols = ["station_id", "ds", "y", "is_historical", *regressors]
     p = (panel.select(*cols).join(hd, F.to_date(panel["ds"]) == hd["__hd"], "left").drop("__hd")
          .withColumn("y", F.col("y").cast("double")))
@@ -167,7 +200,7 @@ def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple =
     regs = tuple(regressors)
 
     def per_station(pdf):
-        return fit(pdf, regressors=regs, interval_width=interval_width, seasonalities=seas)
+        return fit(pdf, regressors=regs, interval_width=interval_width, seasonalities=seas, missing_future=missing_future)
 
     # The fit is CPU work per station on little data: AQE would coalesce the
     # small shuffle into one task. An explicit hash repartition on the group

@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and a binned range (theta) join."""
+"""A binned range (theta) join and hour explosion, without nested loops or hints."""
 
 from __future__ import annotations
 
@@ -7,61 +7,29 @@ from pyspark.sql import functions as F
 
 from hourglass.functions.time import day_start
 
-# Rows a dimension may hold and still be broadcast by ``bounded_broadcast``.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it holds at most ``max_rows`` rows.
-
-    The check reads at most ``max_rows + 1`` rows (a limit short-circuits the
-    scan of a stored table). Above the bound the frame is returned unhinted,
-    and Spark keeps its shuffle join (AQE may still broadcast it at run time
-    from measured sizes).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def broadcast_bounded_by_construction(df: DataFrame) -> DataFrame:
-    """Broadcast a dimension whose size is bounded by how it is built, not by
-    the data volume: an hourly calendar (24 x days of the span), a holiday
-    table (at most 13 rows per calendar year), a top-n selection (n rows),
-    a one-row aggregate. No counting job is run for these."""
-    return F.broadcast(df)
+# Ways each day of the interval side is spread; the points are repeated as often.
+SALTS = 8
 
 
 def range_join(points: DataFrame, intervals: DataFrame, point_col: str,
-               start_col: str, end_col: str, how: str = "inner",
-               points_bounded: bool = False, spread_partitions: int | None = None) -> DataFrame:
-    """``points JOIN intervals ON point BETWEEN start AND end`` without a nested loop.
+               start_col: str, end_col: str, salts: int = SALTS) -> DataFrame:
+    """``points JOIN intervals ON point BETWEEN start AND end`` (inner) without a nested loop.
 
     Each interval is split into the calendar days it touches (one row per
-    day), each point gets its day, and the two meet on an equi-join on
-    (day) with the BETWEEN kept as a residual filter. Spark then runs a hash
-    join instead of a broadcast nested-loop join, and work scales with the
-    output, not with points x intervals.
-
-    ``points_bounded=True`` declares the point side a dimension bounded by
-    construction (for example an hourly calendar): it is broadcast and the
-    interval side is never shuffled. Otherwise both sides hash-partition on
-    the day. ``spread_partitions`` hash-spreads the day pieces first: a few
-    long intervals (say 200 selected stations over years) would otherwise
-    make a single task generate the whole output.
+    day), each point gets its day, and the two meet on an equi-join on (day,
+    salt) with the BETWEEN kept as a residual filter. Work scales with the
+    output, not with points x intervals. The salt is a hash of the interval:
+    a day on which every interval is alive spreads over ``salts`` tasks, and
+    a point row is repeated once per salt. No size is assumed and no hint is
+    given: adaptive execution broadcasts a side that turns out small.
     """
-    bin_col = "__rj_day"
-    iv = intervals.withColumn(
-        bin_col,
-        F.explode(F.sequence(F.to_date(F.col(start_col)), F.to_date(F.col(end_col)))),
-    )
-    if spread_partitions:
-        iv = iv.repartition(spread_partitions, bin_col)
-    pt = points.withColumn(bin_col, F.to_date(F.col(point_col)))
-    if points_bounded:
-        pt = broadcast_bounded_by_construction(pt)
-    cond = [bin_col]
-    joined = iv.join(pt, on=cond, how=how)
-    return joined.filter(F.col(point_col).between(F.col(start_col), F.col(end_col))).drop(bin_col)
+    day, salt = "__rj_day", "__rj_salt"
+    iv = (intervals.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in intervals.columns]), F.lit(salts)))
+          .withColumn(day, F.explode(F.sequence(F.to_date(F.col(start_col)), F.to_date(F.col(end_col))))))
+    pt = (points.withColumn(day, F.to_date(F.col(point_col)))
+          .withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+    joined = iv.join(pt, on=[day, salt])
+    return joined.filter(F.col(point_col).between(F.col(start_col), F.col(end_col))).drop(day, salt)
 
 
 def explode_hours(intervals: DataFrame, start_col: str, end_col: str,

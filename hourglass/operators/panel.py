@@ -1,9 +1,9 @@
 """Dense (entity x hour) model inputs: history plus a forecast horizon.
 
 Only the selected entities (the top-n most active; at most n rows) are
-expanded, so the panel is bounded by n x calendar hours. The calendar and
-the holidays are bounded by construction and broadcast; the per-entity hours come from the
-binned range join, never from a nested loop.
+expanded, so the panel is bounded by n x calendar hours. The per-entity
+hours come from the binned range join, never from a nested loop; joins carry
+no hints, adaptive execution broadcasts what turns out small.
 """
 
 from __future__ import annotations
@@ -12,28 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.time import day_of_week
-from hourglass.operators.joins import (bounded_broadcast, broadcast_bounded_by_construction,
-                                       range_join)
+from hourglass.operators.joins import range_join
 
 
 def forecast_panel(selected: DataFrame, rentals: DataFrame, hours: DataFrame,
-                   horizon: int = 36) -> DataFrame:
+                   horizon: int = 36, extend_days: int = 10) -> DataFrame:
     """``(station_id, ds, y, is_historical)`` for every calendar hour from a
     station's start to its end plus ``horizon`` hours.
 
     y = rentals in the hour, 0 when none; is_historical = ds <= end_date.
-    Hours past the calendar's last day are not produced (the calendar
-    extends 10 days past the data, so horizons up to 216 h are whole).
+    ``extend_days`` is what the calendar of ``hours`` was extended by; it must
+    hold the horizon.
     """
+    if horizon > 24 * (extend_days - 1):
+        raise ValueError(f"a horizon of {horizon} h needs a calendar extended by {-(-horizon // 24) + 1} days")
     sel = selected.select("station_id", "start_date", "end_date",
                           (F.col("end_date") + F.make_dt_interval(hours=F.lit(horizon))).alias("__until"))
-    parts = int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = range_join(hours, sel, "hour", "start_date", "__until", points_bounded=True,
-                      spread_partitions=parts)
-    # The selection is small by construction (top-n), so the rentals are
-    # reduced to its stations by a broadcast semi-join before the shuffle.
-    ids = broadcast_bounded_by_construction(selected.select("station_id"))
-    r = rentals.join(ids, "station_id", "left_semi")
+    grid = range_join(hours, sel, "hour", "start_date", "__until")
+    r = rentals.join(selected.select("station_id"), "station_id", "left_semi")
     p = grid.join(r, ["station_id", "hour"], "left")
     return p.select("station_id", F.col("hour").alias("ds"),
                     F.coalesce(F.col("rentals"), F.lit(0)).alias("y"),
@@ -43,18 +39,18 @@ def forecast_panel(selected: DataFrame, rentals: DataFrame, hours: DataFrame,
 def with_weather(panel: DataFrame, weather: DataFrame) -> DataFrame:
     """Adds temp_f (average temperature, NULL kept) and precip_in (NULL -> 0).
 
-    Weather is one row per hour of the calendar at most: a bounded
-    dimension, broadcast after a size check. Like the reference's LEFT JOIN,
-    an hour listed twice in the weather table would repeat panel rows.
+    An hour listed twice in the weather table (local time repeats one each
+    autumn) counts once, with the larger values, so no panel row is repeated.
     """
-    w = bounded_broadcast(weather.select(F.col("hour").alias("__wh"), "avg_temp_f", "precip_in"))
+    w = weather.groupBy(F.col("hour").alias("__wh")).agg(F.max("avg_temp_f").alias("avg_temp_f"),
+                                                        F.max("precip_in").alias("precip_in"))
     j = panel.join(w, panel["ds"] == w["__wh"], "left")
     return j.select("station_id", "ds", "y", F.col("avg_temp_f").alias("temp_f"),
                     F.coalesce(F.col("precip_in"), F.lit(0.0)).alias("precip_in"), "is_historical")
 
 
 def _holiday_flag(panel: DataFrame, holidays: DataFrame) -> DataFrame:
-    h = broadcast_bounded_by_construction(holidays.select(F.to_date("date").alias("__hd")))
+    h = holidays.select(F.to_date("date").alias("__hd")).distinct()
     j = panel.join(h, F.to_date(panel["ds"]) == h["__hd"], "left")
     return j.withColumn("is_holiday", F.when(F.col("__hd").isNull(), 0).otherwise(1)).drop("__hd")
 

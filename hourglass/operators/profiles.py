@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.time import day_of_week, hour_bucket
-from hourglass.operators.joins import broadcast_bounded_by_construction
 
 
 def _per_station(rentals: DataFrame, keys: list, order: list[str]) -> DataFrame:
@@ -65,7 +64,7 @@ def per_station_holiday(rentals: DataFrame, holidays: DataFrame) -> DataFrame:
     rows are kept, so the LEFT JOIN of the reference reduces to an inner
     join (the non-holiday group is filtered out after aggregation there).
     """
-    h = broadcast_bounded_by_construction(holidays.select(F.to_date("date").alias("__d")))
+    h = holidays.select(F.to_date("date").alias("__d")).distinct()
     j = rentals.join(h, F.to_date(rentals["hour"]) == h["__d"], "inner")
     g = j.groupBy(day_of_week("hour").alias("day_of_week"),
                   F.hour("hour").alias("hour_of_day")).agg(

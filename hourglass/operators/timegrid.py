@@ -11,22 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.functions.time import day_start
-from hourglass.operators.joins import broadcast_bounded_by_construction
 
 
-def calendar_bounds(stations: DataFrame, extend_days: int = 10) -> DataFrame:
+# A calendar over more years is a fault of the data (a trip dated 9999), not a span.
+MAX_YEARS = 200
+
+
+def calendar_bounds(stations: DataFrame, extend_days: int = 10, max_years: int = MAX_YEARS) -> DataFrame:
     """One row: ``first_date`` (earliest start) and ``last_date``.
 
     ``last_date`` is midnight of the latest end date plus ``extend_days - 1``
     days, so the calendar holds ``extend_days`` dates after the data (the
-    reference's day count is exclusive of its upper end).
+    reference's day count is exclusive of its upper end). Raises where the
+    data span more than ``max_years``: every later step is sized by the span.
     """
+    too_long = F.datediff("last_data_date", "first_date") > 366 * max_years
     return stations.agg(
         F.min(day_start("start_date")).alias("first_date"),
         F.max(day_start("end_date")).alias("last_data_date"),
     ).select(
         "first_date",
-        (F.col("last_data_date") + F.make_dt_interval(days=F.lit(extend_days - 1))).alias("last_date"),
+        F.when(too_long, F.raise_error(F.lit(f"the data span more than {max_years} years")).cast("timestamp_ntz"))
+        .otherwise(F.col("last_data_date") + F.make_dt_interval(days=F.lit(extend_days - 1))).alias("last_date"),
     )
 
 
@@ -55,11 +61,7 @@ def calendar_years(dates: DataFrame) -> DataFrame:
 
 
 def holiday_hours(holidays: DataFrame, hours: DataFrame) -> DataFrame:
-    """Every calendar hour that falls on a holiday: (ds, holiday).
-
-    The holiday table is bounded by construction (about a dozen rows per
-    year), so it is broadcast and the hourly side is not shuffled.
-    """
-    h = broadcast_bounded_by_construction(holidays.select(F.to_date("date").alias("__d"), "holiday"))
+    """Every calendar hour that falls on a holiday: (ds, holiday)."""
+    h = holidays.select(F.to_date("date").alias("__d"), "holiday")
     return (hours.join(h, F.to_date(hours["hour"]) == h["__d"])
             .select(hours["hour"].alias("ds"), "holiday"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hourglass.operators import demand, forecast, metrics, panel
 from hourglass.plans import demand_queries as dq
-from hourglass.plans.prepared import prepared
+from hourglass.plans.prepared import base_table
 from hourglass.sources import fixtures
 
 HORIZON = 36
@@ -19,13 +19,13 @@ ERROR_COLS = ["MAE", "MAD", "MSE", "RMSE", "MAPE"]
 
 
 def weather(spark, sf):
-    """The hourly weather table (prepared once per session, like the reference's table)."""
-    return prepared(spark, sf, "weather", lambda: fixtures.weather(spark, sf))
+    """The hourly weather table (built once where the build step is run)."""
+    return base_table(spark, sf, "weather", lambda: fixtures.weather(spark, sf))
 
 
 def most_active(spark, sf):
-    return demand.stations_most_active(dq.rentals(spark, sf), dq.stations_active(spark, sf),
-                                       dq.MOST_ACTIVE_N)
+    return base_table(spark, sf, "most_active", lambda: demand.stations_most_active(
+        dq.rentals(spark, sf), dq.stations_active(spark, sf), dq.MOST_ACTIVE_N))
 
 
 def base_panel(spark, sf):
@@ -106,8 +106,18 @@ def q_forecast_additive(spark, sf):
 
 def q_forecast_additive_weather(spark, sf):
     pw = panel.with_weather(base_panel(spark, sf), weather(spark, sf))
+    # The test tables hold no weather after the last event, so future hours take the mean.
     return forecast.additive_forecast(pw, dq.holidays(spark, sf), regressors=("temp_f", "precip_in"),
-                                      interval_width=INTERVAL_WIDTH)
+                                      interval_width=INTERVAL_WIDTH, missing_future="mean")
+
+
+def _rows_of(model):
+    """What SQL can say of a model's output: its rows, the masked y, a forecast and an ordered band."""
+    def q(spark, sf):
+        return model(spark, sf).select("station_id", "ds", F.col("y").cast("double").alias("y"),
+                                       F.col("yhat").isNotNull().alias("has_yhat"),
+                                       (F.col("yhat_lower") <= F.col("yhat_upper")).alias("band_ordered"))
+    return q
 
 
 def q_forecast_errors_forest(spark, sf):
@@ -139,4 +149,8 @@ QUERIES = {
     "forecast_additive_weather": q_forecast_additive_weather,
     "forecast_errors_forest": q_forecast_errors_forest,
     "forecast_errors_additive": q_forecast_errors_additive,
+    "forest_time_rows": _rows_of(q_forecast_forest_time),
+    "forest_weather_rows": _rows_of(q_forecast_forest_weather),
+    "additive_rows": _rows_of(q_forecast_additive),
+    "additive_weather_rows": _rows_of(q_forecast_additive_weather),
 }

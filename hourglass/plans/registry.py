@@ -14,3 +14,14 @@ ORACLES = {}
 ORACLES.update(demand_oracles.ORACLES)
 ORACLES.update(forecast_oracles.ORACLES)
 ORACLES.update(attribution_oracles.ORACLES)
+
+# The base tables, in the order in which the build step writes them.
+BASE_TABLES = {
+    "rentals": demand_queries.rentals,
+    "history_rentals": demand_queries.history_rentals,
+    "stations": demand_queries.stations,
+    "periods": demand_queries.periods,
+    "weather": forecast_queries.weather,
+    "most_active": forecast_queries.most_active,
+    "transitions": attribution_queries.transitions,
+}

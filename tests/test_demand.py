@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -11,7 +13,7 @@ from hourglass.operators import demand, timegrid
 from hourglass.operators.joins import explode_hours, range_join
 from hourglass.plans import demand_queries as dq
 from hourglass.sources import files
-from hourglass.sources.sinks import insert_into, write_table
+from hourglass.sources.sinks import create_table, insert_into, write_table
 
 
 def test_parse_timestamps_formats_and_bad_rows(spark):
@@ -21,6 +23,10 @@ def test_parse_timestamps_formats_and_bad_rows(spark):
     assert out[:3] == [dt.datetime(2015, 3, 1, 10, 20, 56), dt.datetime(2015, 3, 1, 10, 20, 56),
                        dt.datetime(2015, 3, 1, 10, 20)]
     assert out[3] is None and out[4] is None
+    more = spark.createDataFrame([("2018-01-01 13:50:57.4340",), ("1/2/2015 0:05",), ("1/2/2015 0:05:10",), ("12/31/2015 23:59:59",)], "s string")
+    assert [r[0] for r in more.select(parse_timestamps("s")).collect()] == [
+        dt.datetime(2018, 1, 1, 13, 50, 57, 434000), dt.datetime(2015, 1, 2, 0, 5), dt.datetime(2015, 1, 2, 0, 5, 10),
+        dt.datetime(2015, 12, 31, 23, 59, 59)]
 
 
 def test_csv_trips_round_trip(spark, scratch_dir):
@@ -62,6 +68,17 @@ def test_us_holidays_rules(spark):
     assert (dt.date(2022, 12, 26), "Christmas Day (Observed)") in h
     assert (dt.date(2021, 12, 31), "New Year's Day (Observed)") in h
     assert not any(d.year == 2024 and "Observed" in n for d, n in h)  # no 2024 weekend fixed dates
+    # The last day of a single year is the next year's observed New Year.
+    alone = {(r.date.date(), r.holiday) for r in us_holidays(years.filter("year = 2021")).collect()}
+    assert (dt.date(2021, 12, 31), "New Year's Day (Observed)") in alone and all(d.year == 2021 for d, _ in alone)
+    assert not any(d.year == 2010 for d, _ in {(r.date.date(), 0) for r in us_holidays(spark.createDataFrame([(2011,)], "year int")).collect()})
+
+
+def test_a_wild_date_does_not_make_a_calendar(spark):
+    st = spark.createDataFrame([(1, dt.datetime(2020, 1, 1), dt.datetime(9999, 1, 1, 23))],
+                               "station_id int, start_date timestamp_ntz, end_date timestamp_ntz")
+    with pytest.raises(Exception, match="200 years"):
+        timegrid.calendar(st).count()
 
 
 def test_hour_bucket(spark):
@@ -75,7 +92,7 @@ def test_hour_bucket(spark):
 def test_range_join_equals_explode_and_between(spark):
     st = dq.stations_active(spark, SF_SMALL)
     hours = dq.periods(spark, SF_SMALL)
-    rj = range_join(hours, st, "hour", "start_date", "end_date", points_bounded=True).select("station_id", "hour")
+    rj = range_join(hours, st, "hour", "start_date", "end_date", salts=1).select("station_id", "hour")
     rj2 = range_join(hours, st, "hour", "start_date", "end_date").select("station_id", "hour")
     ex = explode_hours(st, "start_date", "end_date", spread_partitions=4, key_col="station_id").select(
         "station_id", "hour")
@@ -119,11 +136,37 @@ def test_write_ignore_mode_keeps_first(spark, scratch_dir):
     assert spark.read.parquet(path).count() == 3
 
 
-def test_insert_into_casts_by_position(spark):
+def test_create_and_insert_into_casts_by_position(spark, scratch_dir):
+    create_table(spark, "hourglass_insert_test", "station_id int, hour timestamp_ntz, rentals int", f"{scratch_dir}/t")
     df = spark.createDataFrame([(1, dt.datetime(2020, 1, 1), 5)], "a long, b timestamp_ntz, c long")
-    out = insert_into(df, "station_id int, hour timestamp_ntz, rentals int")
+    insert_into(df, "hourglass_insert_test")
+    out = insert_into(df, "hourglass_insert_test")
     assert [f.dataType.simpleString() for f in out.schema.fields] == ["int", "timestamp_ntz", "int"]
-    assert out.columns == ["station_id", "hour", "rentals"]
+    assert out.columns == ["station_id", "hour", "rentals"] and out.count() == 2
+
+
+def test_databases_list_and_drop(spark, scratch_dir):
+    from hourglass.sources.catalog import drop_database, list_tables, register_table
+
+    spark.range(3).write.parquet(f"{scratch_dir}/a")
+    register_table(spark, "a", f"{scratch_dir}/a", database="hourglass_drop_test")
+    assert list_tables(spark, "hourglass_drop_test") == ["a"]
+    drop_database(spark, "hourglass_drop_test")
+    assert not spark.catalog.databaseExists("hourglass_drop_test")
+
+
+def test_built_base_tables_serve_until_released(spark):
+    from hourglass.plans import prepared
+    from hourglass.plans.registry import BASE_TABLES
+
+    plain = sorted(tuple(r) for r in dq.stations(spark, SF_SMALL).collect())
+    prepared.build(spark, SF_SMALL, {k: BASE_TABLES[k] for k in ("rentals", "stations")})
+    try:
+        assert sorted(tuple(r) for r in dq.stations(spark, SF_SMALL).collect()) == plain
+        assert "Aggregate" not in dq.stations(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        prepared.release(spark, SF_SMALL)
+    assert "Aggregate" in dq.stations(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_register_table_over_written_files(spark, scratch_dir):

@@ -5,10 +5,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from conftest import SF_SMALL
 from hourglass.operators import additive, forecast, metrics, panel
-from hourglass.operators.treescore import parse_forest, parse_tree, score_trees
 from hourglass.plans import demand_queries as dq
 from hourglass.plans import forecast_queries as fq
 
@@ -38,25 +38,57 @@ def test_ensemble_interval_matches_numpy(spark):
         assert abs(r.yhat - np.mean(r.m)) < 1e-12
 
 
-def test_forest_band_and_scorer_match_mllib(spark):
+def test_forest_band_is_that_of_mllibs_trees(spark):
     feats = panel.time_features(fq.base_panel(spark, SF_SMALL), dq.holidays(spark, SF_SMALL))
-    f = forecast.forest_forecast(feats, fq.TIME_FEATURES, num_trees=10, max_depth=5).collect()
+    f = forecast.forest_forecast(feats, fq.TIME_FEATURES, num_trees=10).collect()
     assert f and all(r.yhat_lower <= r.yhat_upper + 1e-12 for r in f)
     assert all(r.y is None for r in f if r.ds > dt.datetime(2024, 1, 30, 23))
 
-    from pyspark.ml.regression import RandomForestRegressor
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import RandomForestRegressor
+    from pyspark.sql import functions as F
     df = spark.createDataFrame([(float(i % 7), float(i % 3), float((i % 7) * 2 + (i % 3))) for i in range(300)],
                                "a double, b double, y double")
     va = VectorAssembler(inputCols=["a", "b"], outputCol="f").transform(df)
-    model = RandomForestRegressor(featuresCol="f", labelCol="y", numTrees=5, maxDepth=4, seed=1).fit(va)
-    x = np.array([[r.a, r.b] for r in df.collect()])
-    trees = [parse_tree(t.toDebugString, 1) for t in model.trees]
-    mine = score_trees(trees, x).mean(axis=1)
-    theirs = np.array([r.prediction for r in model.transform(va).collect()])
-    assert np.allclose(mine, theirs, atol=1e-12)
-    whole = parse_forest(model._java_obj.toDebugString(), 1)
-    assert len(whole) == 5 and np.allclose(score_trees(whole, x).mean(axis=1), theirs, atol=1e-12)
+    model = RandomForestRegressor(featuresCol="f", labelCol="y", leafCol="leaf", numTrees=5, maxDepth=4, seed=1).fit(va)
+    values = forecast._leaf_values(model, spark)
+    got = model.transform(va).select("prediction", F.transform(vector_to_array("leaf"), lambda x, i: F.element_at(
+        F.element_at(values, i + 1), x.cast("int") + 1)).alias("m")).collect()
+    assert all(abs(np.mean(r.m) - r.prediction) < 1e-12 for r in got)
+    for t, tree in enumerate(model.trees):
+        alone = [r.prediction for r in tree.setPredictionCol("prediction").transform(va).collect()]
+        assert np.allclose([r.m[t] for r in got], alone)
+
+
+def test_forest_learns_every_stations_daily_cycle(spark):
+    hours = 24 * 21
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), 10 + 8 * math.sin(2 * math.pi * (h % 24) / 24 + s) * ((s % 5) + 1) / 5,
+             h % 24, (h // 24) % 7, int(h < hours - 36)) for s in range(30) for h in range(hours)]
+    feats = spark.createDataFrame(rows, "station_id int, ds timestamp_ntz, y double, hour int, dayofweek int, is_historical int")
+    out = forecast.forest_forecast(feats, ["hour", "dayofweek"], num_trees=10).collect()
+    truth = {(r[0], r[1]): r[2] for r in rows}
+    assert np.mean([abs(r.yhat - truth[r.station_id, r.ds]) for r in out]) < 1e-6
+
+
+def test_horizon_beyond_the_calendar_raises(spark):
+    with pytest.raises(ValueError, match="extended"):
+        panel.forecast_panel(fq.most_active(spark, SF_SMALL), dq.rentals(spark, SF_SMALL), dq.periods(spark, SF_SMALL), 217)
+
+
+def test_repeated_weather_hours_do_not_repeat_panel_rows(spark):
+    p = fq.base_panel(spark, SF_SMALL)
+    w = fq.weather(spark, SF_SMALL)
+    assert panel.with_weather(p, w.unionByName(w)).count() == p.count()
+
+
+def test_missing_future_regressors_give_no_forecast_unless_asked():
+    ds = pd.date_range("2020-01-01", periods=200, freq="h")
+    pdf = pd.DataFrame({"station_id": 1, "ds": ds, "y": np.arange(200.0), "temp": np.r_[np.arange(180.0), [np.nan] * 20],
+                        "is_historical": (np.arange(200) < 180).astype(int)})
+    out = additive.fit_predict(pdf, regressors=("temp",), seasonalities=())
+    assert out["yhat"].isna().sum() == 20
+    assert additive.fit_predict(pdf, regressors=("temp",), seasonalities=(), missing_future="mean")["yhat"].notna().all()
 
 
 def test_additive_recovers_trend_and_daily_cycle():
@@ -81,15 +113,6 @@ def test_additive_forecast_on_panel(spark):
     assert fw and not any(math.isnan(r.yhat) for r in fw)
 
 
-def test_bounded_broadcast_hint_only_under_the_bound(spark):
-    from hourglass.operators.joins import bounded_broadcast
-
-    small = bounded_broadcast(spark.range(10), max_rows=100)
-    big = bounded_broadcast(spark.range(1000), max_rows=100)
-    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in big._jdf.queryExecution().logical().toString().lower()
-
-
 def test_model_error_queries(spark):
     e = fq.q_forecast_errors_additive(spark, SF_SMALL).collect()
     assert len(e) == 1 and e[0].MAD >= abs(e[0].MAE) - 1e-9
