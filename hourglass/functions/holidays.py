@@ -48,14 +48,18 @@ def _rules_literal():
 
 
 def us_holidays(years: DataFrame, year_col: str = "year") -> DataFrame:
-    """Holiday table ``(date timestamp_ntz, holiday string)`` for the given years.
+    """Holiday table ``(date timestamp_ntz, holiday string)``: the holidays whose date lies in the given years.
+
+    The 31st of December is the observed New Year of the year after where
+    that falls on a Saturday, so the rules of the next year are applied too.
 
     ``years`` is any DataFrame with a year column (for example the distinct
     years of a calendar); each year row expands to its holidays, so the work
     is a projection, not a join.
     """
-    r = years.select(F.col(year_col).cast("int").alias("y"),
-                     F.explode(_rules_literal()).alias("r"))
+    y = F.col(year_col).cast("int")
+    r = (years.select(y.alias("of"), F.explode(F.array(y, y + 1)).alias("y"))
+         .select("of", "y", F.explode(_rules_literal()).alias("r")))
     r = r.filter((F.col("y") >= F.col("r.since")) & (F.col("y") <= F.col("r.until")))
     first = F.make_date("y", "r.month", F.lit(1))
     last = F.last_day(first)
@@ -65,7 +69,7 @@ def us_holidays(years: DataFrame, year_col: str = "year") -> DataFrame:
     actual = (F.when(F.col("r.day").isNotNull(), F.make_date("y", "r.month", "r.day"))
               .when(F.col("r.n") == -1, final)
               .otherwise(nth))
-    d = r.select("r.name", "r.observed", actual.alias("d"))
+    d = r.select("of", "r.name", "r.observed", actual.alias("d"))
     dow = F.dayofweek("d")
     shifted = (F.when(dow == 7, F.date_sub("d", 1)).when(dow == 1, F.date_add("d", 1)))
     entries = F.array(
@@ -73,5 +77,5 @@ def us_holidays(years: DataFrame, year_col: str = "year") -> DataFrame:
         F.when(F.col("observed") & shifted.isNotNull(),
                F.struct(shifted.alias("d"), F.concat("name", F.lit(OBSERVED_SUFFIX)).alias("holiday"))),
     )
-    out = d.select(F.explode(entries).alias("e")).filter(F.col("e").isNotNull())
+    out = d.select("of", F.explode(entries).alias("e")).filter(F.col("e").isNotNull() & (F.year("e.d") == F.col("of")))
     return out.select(F.col("e.d").cast("timestamp_ntz").alias("date"), F.col("e.holiday").alias("holiday"))

@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The three datetime layouts of the raw trip files, in the
-# order they are tried. The seconds field is written ``ss`` here (the
-# original patterns used the fraction letter by mistake; see README).
+# The datetime layouts of the raw trip files, in the order they
+# are tried. Single letters also take two digits, and bracketed parts may be
+# missing, so these cover ISO times with and without a fraction and US times
+# with one- or two-digit months, days and hours, with and without seconds.
 TRIP_TIME_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy HH:mm",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "M/d/yyyy H:mm[:ss][.SSSSSS]",
 )
 
 

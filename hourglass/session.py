@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings every hourglass job relies on. The time zone is pinned so that
@@ -51,8 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> st
     """Make sure reliable checkpoints have a shared directory.
 
     Order: the directory already set on the SparkContext, then the cluster's
-    ``spark.checkpoint.dir``, then ``default`` (tests), then a folder under
-    the SQL warehouse directory (shared storage on a cluster).
+    ``spark.checkpoint.dir``, then ``default`` (tests). A ``local`` master is
+    one machine, so a temporary folder of its own will do there; on a cluster
+    a missing setting is an error, as executors share no local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,8 +64,9 @@ def ensure_checkpoint_dir(spark: SparkSession, default: str | None = None) -> st
         return current
     chosen = spark.conf.get("spark.checkpoint.dir", None) or default
     if not chosen:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
-        chosen = warehouse.rstrip("/") + "/_hourglass_checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        chosen = tempfile.mkdtemp(prefix="hourglass-checkpoints-")
     sc.setCheckpointDir(chosen)  # Spark creates the folder on the file system
     return sc.getCheckpointDir()
 
