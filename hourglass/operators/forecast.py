@@ -114,7 +114,7 @@ def _leaf_values(model, spark) -> Column:
 
 
 def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int = 100,
-                    subsampling_rate: float = 0.6, max_depth: int = MLLIB_MAX_DEPTH, min_leaf_rows: int = 100,
+                    subsampling_rate: float = 0.6, max_depth: int = MLLIB_MAX_DEPTH, min_leaf_rows: int = 500,
                     max_bins: int = 64, seed: int = 42, interval_width: float = 0.80,
                     entity_col: str = "station_id") -> DataFrame:
     """Random-forest forecast with a per-row interval from the trees' spread.
@@ -162,7 +162,7 @@ def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int
                                numTrees=num_trees, subsamplingRate=subsampling_rate,
                                bootstrap=True, featureSubsetStrategy="all", maxDepth=max_depth,
                                minInstancesPerNode=min_leaf_rows, maxBins=max_bins, seed=seed,
-                               maxMemoryInMB=tree_batch_mb(spark))
+                               maxMemoryInMB=tree_batch_mb(spark), cacheNodeIds=True)
     train = prepared.filter(F.col("is_historical") == 1).persist()
     model = rf.fit(train)
     train.unpersist()
