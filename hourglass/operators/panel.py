@@ -57,7 +57,7 @@ def _holiday_flag(panel: DataFrame, holidays: DataFrame) -> DataFrame:
 
 def time_features(panel: DataFrame, holidays: DataFrame) -> DataFrame:
     """Calendar features for the time-only forest: year, month, dayofweek,
-    hour, is_holiday (holidays joined on the date, broadcast)."""
+    hour, is_holiday (holidays joined on the date)."""
     j = _holiday_flag(panel, holidays)
     return j.select("station_id", "ds", F.year("ds").alias("year"), F.month("ds").alias("month"),
                     day_of_week("ds").alias("dayofweek"), F.hour("ds").alias("hour"),

@@ -1,9 +1,10 @@
 """Seasonal demand profiles and weather summaries (exploratory reports).
 
 Each report is one or two hash aggregates over the hourly rentals; the
-per-station ratios divide a SUM by a COUNT(DISTINCT station), which Catalyst
-plans as an Expand-free two-phase distinct aggregate. ``orderBy`` is only
-applied at the outermost level.
+per-station ratios divide a SUM by a COUNT(DISTINCT station), a two-phase
+distinct aggregate (the holiday report has two distinct counts and so an
+Expand over its holiday rows). ``orderBy`` is only applied at the outermost
+level.
 """
 
 from __future__ import annotations
@@ -59,9 +60,7 @@ def per_station_by_dow_hour(rentals: DataFrame) -> DataFrame:
 def per_station_holiday(rentals: DataFrame, holidays: DataFrame) -> DataFrame:
     """Day-of-week x hour profile on holidays, also per holiday occurrence.
 
-    The holiday table is bounded by construction (a dozen rows a year) and
-    broadcast; the rentals are not shuffled for the join. Only holiday
-    rows are kept, so the LEFT JOIN of the reference reduces to an inner
+    The holiday table has a dozen rows a year. Only holiday rows are kept, so the LEFT JOIN of the reference reduces to an inner
     join (the non-holiday group is filtered out after aggregation there).
     """
     h = holidays.select(F.to_date("date").alias("__d")).distinct()
