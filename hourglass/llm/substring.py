@@ -17,9 +17,13 @@ suffixes share a tree node at depth ``WIDTH``.
    size; a group builds its part of the tree by prefix doubling (names of
    runs of 1, 2, 4, ... words up to ``WIDTH``) and keeps the nodes at that
    depth whose suffixes start in several documents. A prefix with more than
-   ``GROUP_ANCHORS`` anchors is lengthened to the whole window instead: its
-   windows go by the hash of all their words, and only the smallest id of
-   each is needed, a minimum that combines on the map side.
+   ``GROUP_ANCHORS`` anchors is lengthened instead, twice. First to all the
+   windows of an anchor together (a unit, about twenty windows): where a
+   smaller document holds the same unit all of them are covered. Then, for
+   the first holder of each unit alone, to the single window. (A window in a
+   smaller document lies in a unit whose first holder is smaller still, so
+   first holders are enough.) Each time only the smallest id of equal
+   suffixes is needed, a minimum that combines on the map side.
 4. The covered ranges of every document are merged and cut out of its text.
 
 Words are compared by 32-bit hashes, fifty in a row inside a group of equal
@@ -193,11 +197,12 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                          .groupBy("doc_id", "tag").agg(F.collect_list(F.struct("prefix", "long")).alias("prefixes")), "wanted")
     texts = docs.select(F.col(id_col).alias("doc_id"), text_col).filter(F.col(id_col).isNotNull()).select(
         "doc_id", F.coalesce(text_col, F.lit("")).alias("text"))
-    ddl = "doc_id long, tag long, lo long, hi long, prefix long, words binary, window long"
+    ddl = "doc_id long, tag long, lo long, hi long, prefix long, words binary, unit long, windows array<long>"
 
     def contexts(batch):
-        """Contexts of live anchors, and the windows of lengthened prefixes (runs of one window as one row)."""
-        out = {k: [] for k in ("row", "lo", "hi", "prefix", "words", "window")}
+        """Contexts of live anchors, and the units of lengthened prefixes (a unit that repeats in a row,
+        as in a text of one repeated phrase, is one row)."""
+        out = {k: [] for k in ("row", "lo", "hi", "prefix", "words", "unit", "windows")}
         wanted = batch.column("prefixes").to_pylist()
         tags = batch.column("tag").to_pylist()
         texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
@@ -216,24 +221,38 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
                     if long is None:
                         continue
                     if not long:
-                        runs = [(s, e, k, short[s:e + width - 1].tobytes(), None)]
+                        found = (row, s, e, k, short[s:e + width - 1].tobytes(), None, None)
                     else:
-                        cut = np.flatnonzero(np.r_[True, whole[s + 1:e] != whole[s:e - 1]]) + s
-                        runs = [(x, y, None, None, w) for x, y, w in
-                                zip(cut.tolist(), np.r_[cut[1:], e].tolist(), whole[cut].view(np.int64).tolist())]
-                    for x in runs:
-                        for name, v in zip(("row", "lo", "hi", "prefix", "words", "window"), (row, *x)):
-                            out[name].append(v)
+                        run = whole[s:e].view(np.int64)
+                        unit = int.from_bytes(hashlib.blake2b(run.tobytes(), digest_size=8).digest(), "little", signed=True)
+                        if out["row"] and (out["row"][-1], out["hi"][-1], out["unit"][-1]) == (row, s, unit):
+                            out["hi"][-1] = e
+                            continue
+                        found = (row, s, e, None, None, unit, run)
+                    for name, v in zip(out, found):
+                        out[name].append(v)
         index = pa.array(out.pop("row"), pa.int64())
         return {"doc_id": batch.column("doc_id").take(index), "tag": batch.column("tag").take(index), **out}
 
     found = scratch.put(map_batches(wanted.join(texts, "doc_id").select("doc_id", "tag", "prefixes", "text"), contexts, ddl), "contexts")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marked = _group_contexts(found.filter("words is not null").select("prefix", "doc_id", "tag", "lo", "words"), width, spread)
-    windows_ = found.filter("window is not null").select("doc_id", "tag", "lo", "hi", "window")
-    least = windows_.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    marked_2 = windows_.join(least, "window").filter(F.col("least") < F.col("doc_id")).select("doc_id", "tag", "lo", "hi")
-    ranges = (marked.unionByName(marked_2)
+    units = found.filter("unit is not null")
+    holders = units.groupBy("unit").agg(F.min("doc_id").alias("least"))
+    held = scratch.put(units.select("doc_id", "tag", "lo", "hi", "unit", "windows").join(holders, "unit"), "units")
+    marked_2 = held.filter(F.col("least") < F.col("doc_id")).select("doc_id", "tag", "lo", "hi")
+    # Windows of first holders. A window of a unit that repeats in a row comes
+    # back every size-of-the-unit words; as that is less than a window, the
+    # words it covers are those from its first to its last place.
+    period = F.size("windows").cast("long")
+    first = F.col("lo") + F.col("nth")
+    firsts = (held.filter(F.col("least") == F.col("doc_id"))
+              .select("doc_id", "tag", "lo", "hi", "windows", F.posexplode("windows").alias("nth", "window"))
+              .select("doc_id", "tag", "window", first.alias("lo"),
+                      (first + period * F.floor((F.col("hi") - 1 - first) / period) + 1).alias("hi")))
+    least = firsts.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+    marked_3 = firsts.join(least, "window").filter(F.col("least") < F.col("doc_id")).select("doc_id", "tag", "lo", "hi")
+    ranges = (marked.unionByName(marked_2).unionByName(marked_3)
               .groupBy("doc_id", "tag").agg(F.array_sort(F.collect_set(F.struct("lo", (F.col("hi") + width - 1).alias("end")))).alias("marks")))
     return rows, scratch.put(ranges, "ranges")
 

@@ -162,8 +162,9 @@ def passages(seed):
         for _ in range(rnd.randint(0, 4)):
             w += rnd.choice(pool) if rnd.random() < 0.6 else [word() for _ in range(rnd.randint(1, 40))]
         if rnd.random() < 0.2:
-            w += ["same"] * rnd.randint(45, 140)
+            w += [rnd.choice(["same", "one two", "one two three"])] * rnd.randint(20, 140)
         rows.append((i, rnd.choice([" ", "  ", "\n"]).join(w)))
+    rows += [(100 + i, " ".join(["x y"] * (30 + i) + ["z"] * i)) for i in range(8)]
     return rows + [(200 + i, rows[3][1]) for i in range(5)]
 
 
