@@ -36,8 +36,22 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function from a record batch to a dict of columns.
+# Rows and bytes of a record batch that a function gets at once.
+SLICE_ROWS = 1000
+SLICE_BYTES = 8 << 20
+
+
+def slices_of(batch: pa.RecordBatch, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and about ``SLICE_BYTES`` bytes, one row at least:
+    what a task holds besides its batch does not follow the batch's size."""
+    if batch.num_rows:
+        step = max(1, min(rows, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1))))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
+    """``mapInArrow`` for a function from a slice of a record batch to a dict of columns.
 
     ``schema`` is a DDL string; the columns returned may be Python lists,
     numpy arrays or Arrow arrays, and are cast to the declared types.
@@ -49,8 +63,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield to_batch(fn(batch), target)
+            for part in slices_of(batch, rows):
+                yield to_batch(fn(part), target)
 
     return df.mapInArrow(run, schema)
 

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.llm.common import Scratch, arrow_schema, map_batches, texts_of, to_batch
+from hourglass.llm.common import Scratch, arrow_schema, map_batches, slices_of, texts_of, to_batch
 from hourglass.llm.kernels import combine, hash_texts, slices, windows
 
 WIDTH = 50
@@ -165,8 +165,8 @@ def _group_contexts(members: DataFrame, width: int, spread: int) -> DataFrame:
 
     def run(batches):
         held: list[dict] = []
-        for batch in batches:
-            held += batch.to_pylist()
+        for part in (s for batch in batches for s in slices_of(batch)):
+            held += part.to_pylist()
             if len(held) > 20 * GROUP_ANCHORS:
                 last = held[-1]["prefix"]
                 cut = next(i for i in range(len(held) - 1, -2, -1) if i < 0 or held[i]["prefix"] != last) + 1
