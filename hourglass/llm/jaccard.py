@@ -50,7 +50,7 @@ from hourglass.llm.kernels import hash_texts, mix, windows
 
 WIDTH = 5
 BITMAP_BITS = 27            # the bitmap of repeated shingles: 2^27 bits, 16 MB
-RANGES = 64                 # hash ranges of the frequency count (a power of two)
+RANGES_PER_PARTITION = 4    # hash ranges of the frequency count, rounded up to a power of two
 HOT_FROM = 16               # frequencies below it are not told apart
 HOT_KEPT = 1 << 19          # hot shingles told apart at most, 12 bytes each
 MATCHES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
@@ -110,21 +110,23 @@ class Order:
 
 
 def corpus_order(docs: DataFrame, text_col: str, hot_kept: int = HOT_KEPT) -> Order:
-    shift = np.uint64(_KEY_BITS - (RANGES.bit_length() - 1))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 1 << min(16, max(4, (RANGES_PER_PARTITION * parts - 1).bit_length()))
+    shift = np.uint64(_KEY_BITS - (ranges.bit_length() - 1))
 
     def send(batch):
         out = {"r": [], "keys": []}
         sets = shingle_sets(texts_of(batch, text_col))
         if sets:
             keys = np.sort(np.concatenate(sets) >> np.uint64(64 - _KEY_BITS))
-            cuts = np.searchsorted(keys, np.arange(RANGES + 1, dtype=np.uint64) << shift)
-            for r in range(RANGES):
+            cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << shift)
+            for r in range(ranges):
                 if cuts[r + 1] > cuts[r]:
                     out["r"].append(r)
                     out["keys"].append(_pack(keys[cuts[r]:cuts[r + 1]]))
         return out
 
-    kept = hot_kept // RANGES
+    kept = max(1, hot_kept // ranges)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         keys = np.sort(np.concatenate([_unpack(b) for b in frame["keys"]]))
@@ -132,8 +134,8 @@ def corpus_order(docs: DataFrame, text_col: str, hot_kept: int = HOT_KEPT) -> Or
         df = np.diff(np.r_[starts, len(keys)])
         keys = keys[starts]
         slot = (keys[df > 1] >> np.uint64(_KEY_BITS - BITMAP_BITS)).astype(np.int64) % (1 << BITMAP_BITS) \
-            - int(frame["r"].iloc[0]) * ((1 << BITMAP_BITS) // RANGES)
-        bits = np.zeros((1 << BITMAP_BITS) // RANGES, np.uint8)
+            - int(frame["r"].iloc[0]) * ((1 << BITMAP_BITS) // ranges)
+        bits = np.zeros((1 << BITMAP_BITS) // ranges, np.uint8)
         bits[slot] = 1
         hot = np.flatnonzero(df >= HOT_FROM)
         if len(hot) > kept:
@@ -141,10 +143,10 @@ def corpus_order(docs: DataFrame, text_col: str, hot_kept: int = HOT_KEPT) -> Or
         return pd.DataFrame({"r": [int(frame["r"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()],
                              "hot": [keys[hot].tobytes()], "df": [df[hot].astype(np.uint32).tobytes()]})
 
-    packed = map_batches(docs.select(text_col), send, "r int, keys binary")
+    packed = map_batches(docs.select(text_col), send, "r int, keys binary", rows=4000)
     got = {x["r"]: x for x in packed.groupBy("r").applyInPandas(count, "r int, bits binary, hot binary, df binary").collect()}
-    blank = bytes((1 << BITMAP_BITS) // RANGES // 8)
-    join = lambda name, none: b"".join(bytes(got[r][name]) if r in got else none for r in range(RANGES))
+    blank = bytes((1 << BITMAP_BITS) // ranges // 8)
+    join = lambda name, none: b"".join(bytes(got[r][name]) if r in got else none for r in range(ranges))
     return Order(np.frombuffer(join("bits", blank), np.uint8), np.frombuffer(join("hot", b""), np.uint64),
                  np.frombuffer(join("df", b""), np.uint32).astype(np.int64))
 
