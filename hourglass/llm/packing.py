@@ -45,7 +45,8 @@ CAPACITY = 2048
 END_ID = 0
 # Words and pieces of words whose ids a process keeps, in two generations of so
 # many: when the young one is full the old one goes, and what is used moves up.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 100_000
+PIECES_KEPT = 200_000
 # The split of the tokenizer for plain lower-case text.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 # The rest goes through the library whole: white space, case and character
@@ -64,10 +65,22 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = Generations(WORDS_KEPT, self._of_words)
-        self.pieces = Generations(WORDS_KEPT, self._of_pieces)
+        self.pieces = Generations(PIECES_KEPT, self._of_pieces)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _of_texts(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        """All pieces as one text, cut where a word ends; one by one if that gives another number of words."""
+        ids = np.frombuffer(self._of_texts([" ".join(pieces)])[0], "<u4")
+        stop = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stop) != len(pieces):
+            return self._of_texts(pieces)
+        raw, stop = ids.tobytes(), stop.tolist()
+        return [raw[a:b] for a, b in zip([0] + stop, stop)]
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         split = [_PIECE.findall(w) for w in words]
@@ -78,7 +91,7 @@ class WordCodec:
         out = []
         for text in texts:
             if _PLAIN.search(text):
-                out += self._of_pieces([text])
+                out += self._of_texts([text])
                 continue
             words = text.lower().split()
             known = self.words.fetch(words)
