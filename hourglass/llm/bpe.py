@@ -23,18 +23,23 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from hourglass.llm.common import map_batches, texts_of
+from hourglass.llm.common import Generations, map_batches, texts_of
 
-# Units kept by a task; beyond it the memory of units starts anew.
-UNITS_KEPT = 400_000
+# Units and pieces whose ids a process keeps, in two generations of so many:
+# when the young one is full the old one goes, and what is used moves up.
+UNITS_KEPT = 150_000
+# Fixed value: the split pattern whose pieces ``_PIECE`` gives for plain text.
+_PIECE_OF = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Characters every engine classes alike: printable ASCII, tab, line ends and
 # the Latin-1 letters. The rest goes through the library whole.
 _PLAIN = re.compile(r"[^\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
 _UNIT = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 
 
@@ -81,24 +86,31 @@ class Codec:
         self.table: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for spelled, i in self.tokenizer.get_vocab().items():
             self.table[i] = bytes(back[c] for c in spelled)
-        self.units: dict[str, bytes] = {}
+        # The plain-text split into pieces below is that of this pattern.
+        self.by_pieces = pattern == _PIECE_OF
+        self.units = Generations(UNITS_KEPT, self._of_units)
+        self.pieces = Generations(UNITS_KEPT, self._of_pieces)
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _of_units(self, units: list[str]) -> list[bytes]:
+        if not self.by_pieces:
+            return self._of_pieces(units)
+        split = [_PIECE.findall(u) for u in units]
+        known = self.pieces.fetch({p for s in split for p in s})
+        return [b"".join([known[p] for p in s]) for s in split]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if _PLAIN.search(t) else _UNIT.findall(t) for t in texts]
-        if len(self.units) > UNITS_KEPT:
-            self.units = {}
         out: list[bytes] = []
-        for text, units in zip(texts, split):
-            if units is None:
-                out.append(np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes())
+        for text in texts:
+            if _PLAIN.search(text):
+                out += self._of_pieces([text])
                 continue
-            known = self.units
-            new = list({u for u in units if u not in known})
-            if new:
-                for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    known[u] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join([known[u] for u in units]))
+            units = _UNIT.findall(text)
+            known = self.units.fetch(units)
+            out.append(b"".join(map(known.__getitem__, units)))
         return out
 
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[tuple[int, int]]]:
@@ -109,7 +121,7 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         table = self.table
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @lru_cache(maxsize=2)
