@@ -22,9 +22,10 @@ same way wherever the vector lies; ties go to the smaller id.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, as query or as candidate, and neither do rows with
-a null id; vectors of different lengths never meet; rows that repeat an id
-are one candidate (the best) and one query (the merged list); a query never
-finds its own id; with fewer than k candidates all are returned; an empty
+a null id; vectors of different lengths never meet; equal rows are merged
+before blocks are cut, and rows that repeat an id with other vectors are one
+candidate (the best, in every cut) and one query (the merged list); a query
+never finds its own id; with fewer than k candidates all are returned; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -84,29 +85,40 @@ def curve_keys(x: np.ndarray, curve: int) -> np.ndarray:
 
 
 def top_of_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
-    """(query place, row place, score) of each query's k best rows of a block, its own id left out.
+    """(query place, row place, score) of each query's k best ids of a block, its own id left out.
 
-    A matrix product finds the rows that may be among the k best, ties and
-    rounding included; their scores are then summed row by row.
+    A matrix product finds the rows that may be the best of their id and
+    their id among the k best, ties and rounding included; their scores are
+    then summed row by row.
     """
     s = q @ x.T
     s[q_ids[:, None] == ids[None, :]] = -np.inf
     slack = 1e-12 * np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1).max())
-    cut = np.full(len(q), -np.inf) if len(ids) <= k else -np.partition(-s, k - 1, axis=1)[:, k - 1]
+    names, place = np.unique(ids, return_inverse=True)
+    best = s
+    if len(names) < len(ids):
+        order = np.argsort(place, kind="stable")
+        best = np.maximum.reduceat(s[:, order], np.searchsorted(place[order], np.arange(len(names))), axis=1)
+    cut = np.full(len(q), -np.inf) if len(names) <= k else -np.partition(-best, k - 1, axis=1)[:, k - 1]
     if floor is not None:
         cut = np.maximum(cut, floor)
-    at, row = np.nonzero((s >= (cut - slack)[:, None]) & (s > -np.inf))
+    wanted = (s >= (cut - slack)[:, None]) & (s > -np.inf)
+    if len(names) < len(ids):
+        wanted &= s >= best[:, place] - slack[:, None]
+    at, row = np.nonzero(wanted)
     score = (q[at] * x[row]).sum(axis=1)
     return best_rows(at, row, score, ids[row], k)
 
 
 def best_rows(query: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int):
-    """The k first of every query by score, then smaller id, each id once."""
-    order = np.lexsort((ids, -score, query))
+    """The k first of every query by score, then smaller id, each id once with its best score."""
+    order = np.lexsort((-score, ids, query))
     query, row, score, ids = query[order], row[order], score[order], ids[order]
     if len(query):
         fresh = np.r_[True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])]
-        query, row, score = query[fresh], row[fresh], score[fresh]
+        query, row, score, ids = query[fresh], row[fresh], score[fresh], ids[fresh]
+        order = np.lexsort((ids, -score, query))
+        query, row, score = query[order], row[order], score[order]
         head = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
         nth = np.arange(len(query)) - np.repeat(head, np.diff(np.r_[head, len(query)]))
         query, row, score = query[nth < k], row[nth < k], score[nth < k]
@@ -273,6 +285,7 @@ def nearest(table: DataFrame, is_query: Column, scratch: Scratch, k: int = 20, i
     ``is_query`` is an expression over ``vec_id``.
     """
     vectors = (packed_vectors(table, id_col, vector_col).filter(F.col("vec").isNotNull() & F.col("vec_id").isNotNull())
+               .select("vec_id", "vec").distinct()
                .select("vec_id", "vec", F.coalesce(is_query, F.lit(False)).alias("is_query")))
     blocks = scratch.put(_blocks(vectors, scratch, curves, block_rows), "blocks")
     found = scratch.put(_window_candidates(blocks, k), "windows")

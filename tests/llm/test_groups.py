@@ -272,6 +272,30 @@ def test_ann_equals_brute_force_and_windows_find_neighbours(spark, scratch, bloc
     assert ann.nearest(spark.createDataFrame([], frame.schema), F.col("vec_id") % 20 == 0, scratch).count() == 0
 
 
+@pytest.mark.parametrize("block_rows", [64, 1024])
+def test_ann_repeated_rows_and_ids_take_no_ones_place(spark, scratch, block_rows):
+    rng = np.random.default_rng(23)
+    centers = rng.normal(size=(6, 16))
+    data = [(i, list(map(float, centers[i % 6] + 0.05 * rng.normal(size=16)))) for i in range(240)]
+    rows = data * 2 + [data[61]] * 48                        # every row twice, one id 50 times
+    rows += [(67, list(map(float, 3 * centers[1] + 0.05 * rng.normal(size=16)))) for _ in range(50)]  # one id, 50 vectors, nearest of all
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scores = collections.defaultdict(dict)
+    for i, a in rows:
+        if i % 20 == 0:
+            for j, b in rows:
+                if j != i:
+                    scores[i][j] = max(scores[i].get(j, -np.inf), float((np.array(a) * np.array(b)).sum()))
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0, scratch, k=20, block_rows=block_rows).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(scores)
+    for i, found in got.items():
+        want = sorted(scores[i].items(), key=lambda x: (-x[1], x[0]))[:20]
+        assert [(n, j) for n, j, _ in found] == [(n + 1, j) for n, (j, _) in enumerate(want)]
+        assert np.allclose([s for *_, s in found], [s for _, s in want], rtol=0, atol=1e-12)
+
+
 def test_hilbert_curve_visits_every_cell_by_single_steps():
     side, axes = 3, 3
     cells = np.array(np.meshgrid(*[np.arange(1 << side)] * axes, indexing="ij")).reshape(axes, -1).T
