@@ -6,7 +6,8 @@
 * ``profile_forecast`` - a transparent baseline (mean of the station's
   history at the same hour of day); SQL-expressible, used to check the
   metrics end to end.
-* ``forest_forecast`` - MLlib random forest (see its docstring).
+* ``forest_forecast`` - per-station random forest fitted inside
+  ``applyInPandas`` (module ``hourglass.operators.forest``).
 * ``additive_forecast`` - per-station additive model fitted inside
   ``applyInPandas`` (module ``hourglass.operators.additive``).
 """
@@ -15,35 +16,14 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourglass.session import ensure_checkpoint_dir, reliable_checkpoint
 
-# Fixed value: the deepest tree MLlib grows.
-MLLIB_MAX_DEPTH = 30
-
-
-def _memory_mb(text: str) -> float:
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    t = text.strip().lower().rstrip("b")
-    return float(t[:-1]) * units[t[-1]] if t and t[-1] in units else float(t) / (1024 * 1024)
-
-
-def tree_batch_mb(spark) -> int:
-    """Memory for MLlib's per-task node statistics: a quarter of the heap one
-    concurrent task can count on, between 16 and 256 MB (MLlib's default)."""
-    sc = spark.sparkContext
-    conf = sc.getConf()
-    if conf.get("spark.master", "").startswith("local"):
-        heap = sc._jvm.java.lang.Runtime.getRuntime().maxMemory() / (1024 * 1024)
-        cores = max(sc.defaultParallelism, 1)
-    else:
-        heap = _memory_mb(conf.get("spark.executor.memory", "1g"))
-        cores = max(int(conf.get("spark.executor.cores", "1")), 1)
-    return int(max(16, min(256, heap / cores / 4)))
-
 
 def _checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (shared storage): survives executor loss, cuts lineage."""
@@ -97,7 +77,7 @@ def profile_forecast(panel: DataFrame, places: int = 8) -> DataFrame:
 
 
 def _leaf_values(model, spark) -> Column:
-    """The forest's leaf values as a constant: per tree, by MLlib's leaf number (left to right).
+    """An MLlib forest's leaf values as a constant: per tree, by MLlib's leaf number (left to right).
 
     Read from the model's own saved form, in which a tree's nodes are
     numbered depth first, left before right. The constant is bounded by the
@@ -114,69 +94,58 @@ def _leaf_values(model, spark) -> Column:
 
 
 def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int = 100,
-                    subsampling_rate: float = 0.6, max_depth: int = MLLIB_MAX_DEPTH, min_leaf_rows: int = 500,
-                    max_bins: int = 64, seed: int = 42, interval_width: float = 0.80,
+                    subsampling_rate: float = 0.6, seed: int = 42, interval_width: float = 0.80,
                     entity_col: str = "station_id") -> DataFrame:
     """Random-forest forecast with a per-row interval from the trees' spread.
 
-    Departure from the reference (one scikit-learn forest per station in a
-    grouped UDF): one distributed MLlib forest over all selected stations.
-    What a station does at an hour of the day is its history's mean there, an
-    aggregate in Spark; the trees learn the deviations from it, over the
-    calendar and weather features and two ordered encodings of the station
-    (its mean, and its mean at the hour), so the number of bins does not
-    grow with the stations. Depth is MLlib's own limit; trees stop at
-    ``min_leaf_rows`` rows in a leaf. Each tree sees a 60 % bootstrap sample
-    of rows and all features, and the seed is fixed. Rows with a NULL feature
-    are neither trained on nor forecast; a station or hour without history
-    starts from the overall mean. Output: ``(station_id, ds, y, yhat,
-    yhat_lower, yhat_upper)``; y is NULL for future rows.
+    One forest per station, as in the reference, in one ``applyInPandas``
+    call each (module ``operators.forest``); a station's rows are bounded by
+    the calendar length. Departures from it: the station's mean at the hour
+    of the day is a feature too, and a tree that drew no row of an hour
+    takes that mean there. Each tree sees a 60 %
+    bootstrap sample of the station's rows and all features; trees have no
+    limit of depth, bins or rows in a leaf. The seed is fixed, and a
+    station's forest does not depend on the other stations. Rows with a NULL
+    feature are neither trained on nor forecast; a station without history
+    gets the overall mean. Output: ``(station_id, ds, y, yhat, yhat_lower,
+    yhat_upper)``; y is NULL for future rows.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import RandomForestRegressor
-
-    spark = features.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, 1)
-    rows = features.dropna(subset=feature_cols)
-    known = rows.filter(F.col("is_historical") == 1)
-    overall = known.agg(F.coalesce(F.avg("y"), F.lit(0.0))).scalar()
-    # One partial aggregate gives both encodings; it has a row per station and
-    # hour of the day.
-    sums = known.groupBy(F.col(entity_col).alias("__e"), F.hour("ds").alias("__h")).agg(
-        F.sum("y").alias("__s"), F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy("__e")
-    means = sums.select("__e", "__h", (F.col("__s") / F.col("__c")).alias("__hour_mean"))
-    per_entity = sums.select("__e", (F.sum("__s").over(w) / F.sum("__c").over(w)).alias("__mean")).distinct()
-    # Materialise the model input once (reliable checkpoint), spread over the
-    # cluster's cores: the forest's passes and the scoring pass read these rows.
-    data = _checkpoint(
-        rows.join(means, (F.col(entity_col) == F.col("__e")) & (F.hour("ds") == F.col("__h")), "left").drop("__e", "__h")
-        .join(per_entity, F.col(entity_col) == F.col("__e"), "left").drop("__e")
-        .withColumn("__mean", F.coalesce("__mean", overall))
-        .withColumn("__hour_mean", F.coalesce("__hour_mean", "__mean"))
-        .withColumn("__dev", F.col("y") - F.col("__hour_mean")).repartition(parts))
-    assembler = VectorAssembler(inputCols=["__mean", "__hour_mean"] + feature_cols, outputCol="__features")
-    prepared = assembler.transform(data)
-    rf = RandomForestRegressor(featuresCol="__features", labelCol="__dev", leafCol="__leaf",
-                               numTrees=num_trees, subsamplingRate=subsampling_rate,
-                               bootstrap=True, featureSubsetStrategy="all", maxDepth=max_depth,
-                               minInstancesPerNode=min_leaf_rows, maxBins=max_bins, seed=seed,
-                               maxMemoryInMB=tree_batch_mb(spark), cacheNodeIds=True)
-    train = prepared.filter(F.col("is_historical") == 1).persist()
-    model = rf.fit(train)
-    train.unpersist()
-    # MLlib gives each row's leaf of every tree; the leaves' values are looked
-    # up as array expressions.
-    values = _leaf_values(model, spark)
-    members = F.transform(vector_to_array("__leaf"), lambda leaf, i: F.col("__hour_mean") + F.element_at(
-        F.element_at(values, i + 1), leaf.cast("int") + 1))
-    scored = ensemble_interval(model.transform(prepared).select(entity_col, "ds", "y", "is_historical", members.alias("__members")),
-                               "__members", interval_width)
-    return scored.select(
-        entity_col, "ds",
-        F.when(F.col("is_historical") == 1, F.col("y")).cast("double").alias("y"),
-        "yhat", "yhat_lower", "yhat_upper")
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    from hourglass.operators import forest
+
+    parts = max(features.sparkSession.sparkContext.defaultParallelism, 1)
+    names = [f"__x{i}" for i in range(len(feature_cols))]
+    rows = _checkpoint(features.dropna(subset=feature_cols).select(
+        entity_col, "ds", F.when(F.col("is_historical") == 1, F.col("y")).cast("double").alias("y"),
+        *[F.col(c).cast("double").alias(n) for c, n in zip(feature_cols, names)]))
+    overall = rows.agg(F.coalesce(F.avg("y"), F.lit(0.0))).scalar()
+    members_of = forest.forest_members
+
+    def per_entity(pdf):
+        pdf = pdf.sort_values(["ds", "y", *names], ignore_index=True)
+        out = pdf[[entity_col, "ds", "y"]].copy()
+        x, y = pdf[names].to_numpy(float), pdf["y"].to_numpy(float)
+        known = ~np.isnan(y)
+        if known.any():
+            hour = pdf["ds"].dt.hour.to_numpy(int)
+            usual = np.bincount(hour[known], y[known], 24) / np.maximum(np.bincount(hour[known], minlength=24), 1)
+            usual[np.bincount(hour[known], minlength=24) == 0] = y[known].mean()
+            x = np.c_[usual[hour], x]
+            out["members"] = list(members_of(x[known], y[known], x, num_trees, subsampling_rate,
+                                             [seed, zlib.crc32(str(pdf[entity_col].iloc[0]).encode())], hour[known], hour))
+        else:
+            out["members"] = None
+        out["y"] = out["y"].astype(object).where(known, None)
+        return out
+
+    schema = StructType([rows.schema[entity_col], rows.schema["ds"], StructField("y", DoubleType()),
+                         StructField("members", ArrayType(DoubleType()))])
+    # One task per core, as for the additive model.
+    forecast = rows.repartition(parts, entity_col).groupBy(entity_col).applyInPandas(per_entity, schema)
+    members = F.coalesce("members", F.array(overall))
+    scored = ensemble_interval(forecast.select(entity_col, "ds", "y", members.alias("__members")), "__members", interval_width)
+    return scored.select(entity_col, "ds", "y", "yhat", "yhat_lower", "yhat_upper")
 
 
 def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple = (),

@@ -71,6 +71,36 @@ def test_forest_learns_every_stations_daily_cycle(spark):
     assert np.mean([abs(r.yhat - truth[r.station_id, r.ds]) for r in out]) < 1e-6
 
 
+def test_forest_learns_weather_and_weekday_of_each_station(spark):
+    rng = np.random.default_rng(5)
+    temps = rng.integers(30, 90, size=24 * 28)
+    rows = []
+    for s, days in ((1, 28), (2, 28), (3, 9)):               # station 3 is small
+        for h in range(24 * (28 - days), 24 * 28):
+            weekday, sign = (h // 24) % 7, 1 if s != 2 else -1
+            y = 50 + 10 * s + sign * (8 * (weekday >= 5) + 12 * (temps[h] > 60))
+            rows.append((s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), float(y), h % 24, weekday, float(temps[h]), int(h < 24 * 28 - 36)))
+    feats = spark.createDataFrame(rows, "station_id int, ds timestamp_ntz, y double, hour int, dayofweek int, avg_temp_f double, is_historical int")
+    out = forecast.forest_forecast(feats, ["hour", "dayofweek", "avg_temp_f"], num_trees=20).collect()
+    truth = {(r[0], r[1]): r[2] for r in rows}
+    assert len(out) == len(rows)
+    for s in (1, 2, 3):
+        assert np.mean([abs(r.yhat - truth[s, r.ds]) for r in out if r.station_id == s and r.y is None]) < 0.5
+
+
+def test_forest_trees_part_every_drawn_row():
+    from hourglass.operators.forest import forest_members
+    rng = np.random.default_rng(6)
+    x, y = np.c_[rng.normal(size=400), rng.integers(0, 3, 400)], rng.normal(size=400)
+    x[7], y[8], y[9] = x[6], 1e3, -1e3
+    m = forest_members(x, y, x, 60, 0.6, [1])
+    seen = np.random.default_rng([1]).integers(0, 400, size=(60, 240))
+    for t in range(60):
+        for i in np.unique(seen[t]):
+            same = np.isin(seen[t], (6, 7)) if i in (6, 7) else seen[t] == i
+            assert abs(m[i, t] - y[seen[t][same]].mean()) < 1e-9
+
+
 def test_horizon_beyond_the_calendar_raises(spark):
     with pytest.raises(ValueError, match="extended"):
         panel.forecast_panel(fq.most_active(spark, SF_SMALL), dq.rentals(spark, SF_SMALL), dq.periods(spark, SF_SMALL), 217)
