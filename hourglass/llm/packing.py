@@ -63,7 +63,6 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.words = Generations(WORDS_KEPT, self._of_words)
         self.pieces = Generations(PIECES_KEPT, self._of_pieces)
         vocab = self.tokenizer.get_vocab()

@@ -196,6 +196,15 @@ def check_packing(rows, texts, capacity):
     return len(sequences)
 
 
+def test_packing_ids_are_those_of_the_plain_call():
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["hello <|endoftext|> there", "<|startoftext|>a<|endoftext|>b", "<| x |>", "<|ENDOFTEXT|>", "plain words < | > here"]
+    want = [Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [3306, 49407, 997]
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.WordCodec(path).encode_batch(texts)] == want
+
+
 def test_packing_hard_rows(spark, scratch):
     df = docs_frame(spark, HARD, extra=True)
     pieces = packing.tokenised_pieces(df, public_tokenizers.path("word_bpe_49k.json"))
