@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourglass.llm import ann, bpe, chat, jaccard, neardup, packing, pii, quality, secrets, substring
+from hourglass.llm import (ann, bpe, chat, hardneg, jaccard, lexical, neardup, oracles, packing, pii, quality,
+                           secrets, substring, suffixes)
 from hourglass.llm.common import Scratch, read_table
 
 
@@ -65,6 +66,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_formatted(chat.format_conversations(rows.unionByName(more)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, Scratch(spark, "hardneg"), label)
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"),
+                                  Scratch(spark, "lexical"))
+
+
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(read_table(spark, sf_dir, "documents"), Scratch(spark, "suffixes"))
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_pii": op2_pii,
@@ -76,6 +91,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical": op12_lexical,
+    "op13_suffixes": op13_suffixes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_hard_negatives": oracles.HARD_NEGATIVES,
+    "op12_lexical": oracles.LEXICAL,
+}
