@@ -359,11 +359,13 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, length: int = 400, most
     stored = scratch.put(sparse_suffixes(texts, shape), "suffixes")
     names = ("prefix", "context", "anchor", "first", "last")
     rows = stored.select("doc_id", "row", F.explode(F.arrays_zip(*names)).alias("x")).select("doc_id", "row", *[f"x.{c}" for c in names])
-    often = stored.select(F.explode("prefix").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    alive = scratch.put(rows.join(often.select("prefix"), "prefix"), "alive")
+    # Counts are written before they are joined: a join of two written tables can split a hot prefix.
+    often = scratch.put(stored.select(F.explode("prefix").alias("prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"))
+                        .filter("n > 1").select("prefix"), "often")
+    alive = scratch.put(rows.join(often, "prefix"), "alive")
     kinds = scratch.put(alive.groupBy("prefix", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "anchor", "doc_id", "first", "last")).alias("one")), "kinds")
-    by_prefix = kinds.groupBy("prefix").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    by_prefix = scratch.put(kinds.groupBy("prefix").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "by-prefix")
     whole = alive.join(kinds.filter("n > 1").select("prefix", "context"), ["prefix", "context"]).select("doc_id", "row", "first", "last")
     wanted = scratch.put(kinds.join(by_prefix, "prefix").select(
         "one.doc_id", "one.row", "prefix", "one.anchor", "one.first", "one.last", "n", (F.col("kinds") > most_kinds).alias("hot")), "wanted")
