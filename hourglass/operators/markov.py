@@ -10,10 +10,10 @@ Conversion probability from Start is computed two ways:
 * ``simple_paths`` (default) - the sum, over paths from Start to Conversion
   that visit no state twice, of the product of transition probabilities.
   Paths that end in the same state after the same set of states go on alike,
-  so the frontier holds one row per (state, visited set) with their summed
-  probability: at most n * 2^n rows for n channels, not n! paths.
-* ``absorbing`` - the absorption probability of the chain, by repeated
-  squaring of the (small) matrix; polynomial in the number of channels.
+  so the frontier holds one row per (state, visited set as bits of a long)
+  with their summed probability: at most n * 2^n rows for n channels, not n!.
+* ``absorbing`` - the absorption probability of the chain, by one solve of
+  (I - Q) x = r in array expressions; cubic in the number of channels.
 
 Removing channel c (the reference's rule): transitions out of c are dropped
 and transitions into c go to 'Null'; nothing is renormalised.
@@ -68,9 +68,19 @@ def transition_row_sums(matrix: DataFrame) -> DataFrame:
         F.round(F.sum("transition_probability"), 2).alias("transition_probability_sum"))
 
 
+def _only_listed(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """``df``, which raises where ``column`` holds a value (or a null) that is not listed."""
+    listed = F.coalesce(F.col(column).isin(list(values)), F.lit(False))
+    unknown = F.concat(F.lit(f"{column} is not listed: "), F.coalesce(F.col(column), F.lit("NULL")))
+    return df.filter(F.when(listed, F.lit(True)).otherwise(F.raise_error(unknown).cast("boolean")))
+
+
 def transition_pivot(matrix: DataFrame, end_states: list[str]) -> DataFrame:
-    """Matrix as a table: one row per start state, one column per listed end state."""
-    return matrix.groupBy("start_state").pivot("end_state", end_states).agg(F.first("transition_probability"))
+    """Matrix as a table: one row per start state, one column per listed end state.
+
+    An end state that is not listed raises: its column would be missing.
+    """
+    return _only_listed(matrix, "end_state", end_states).groupBy("start_state").pivot("end_state", end_states).agg(F.first("transition_probability"))
 
 
 def removable_channels(matrix: DataFrame) -> DataFrame:
@@ -101,59 +111,55 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return reliable_checkpoint(df)
 
 
-CHECKPOINT_EVERY = 4
+# A visited set is the bits of a long; Start is not in it.
+MASK_STATES = 62
+# States of the one solve: its array holds twice their square in doubles.
+SOLVE_STATES = 512
 
 
-def _step_result(df: DataFrame, step: int) -> DataFrame:
-    """Keep an iteration's result: cached, and checkpointed every few steps.
+def _path_masks(matrix: DataFrame) -> tuple[DataFrame, list[str]]:
+    """((visited long, probability double), states): simple paths to Conversion, merged by visited set.
 
-    A lost cached block is recomputed from lineage, which never reaches
-    back more than ``CHECKPOINT_EVERY`` steps.
+    Bit i of ``visited`` is states[i]. States are numbered by one bounded
+    sort; a path visits a state once, so as many steps as there are states
+    reach every path. A step joins the frontier with the matrix, tests the
+    next state's bit and sets it; paths that agree in (state, visited set) are
+    merged at once, and those that have reached Conversion pass through. All
+    steps are one plan without a loop over jobs.
     """
-    if step % CHECKPOINT_EVERY == 0:
-        return _checkpoint(df)
-    return df.persist()
+    stored = _checkpoint(matrix.filter(F.col("end_state") != NULL_STATE).select("start_state", "end_state", "transition_probability"))
+    names = (stored.select(F.explode(F.array("start_state", "end_state")).alias("s"))
+             .filter(~F.col("s").isin(START, *TERMINAL)).distinct().orderBy("s").limit(MASK_STATES + 1).collect())
+    states = [r["s"] for r in names]
+    if len(states) > MASK_STATES:
+        raise ValueError(f"simple paths are kept for at most {MASK_STATES} states; use method='absorbing'")
+    number = F.create_map(*[F.lit(x) for i, s in enumerate([*states, START, CONVERSION]) for x in (s, i)])
+    goal, start = len(states) + 1, len(states)
+    edges = stored.select(number[F.col("start_state")].alias("__from"), number[F.col("end_state")].alias("__to"),
+                          F.col("transition_probability").alias("__p")).filter(f"__to <> {start}")
+    bit = F.when(F.col("__to") == goal, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, __to)"))
+    edges = edges.select("__from", "__to", bit.alias("__bit"), "__p").unionByName(
+        matrix.sparkSession.createDataFrame([(goal, goal, 0, 1.0)], "__from int, __to int, __bit long, __p double"))
+    frontier = edges.filter(F.col("__from") == start).select(
+        F.col("__to").alias("state"), F.col("__bit").alias("visited"), F.col("__p").alias("probability"))
+    for _ in states:
+        frontier = (frontier.join(edges, F.col("state") == F.col("__from"))
+                    .filter(F.col("visited").bitwiseAND(F.col("__bit")) == 0)
+                    .groupBy(F.col("__to").alias("state"), F.col("visited").bitwiseOR(F.col("__bit")).alias("visited"))
+                    .agg(F.sum(F.col("probability") * F.col("__p")).alias("probability")))
+    return frontier.filter(F.col("state") == goal).select("visited", "probability"), states
 
 
 def conversion_paths(matrix: DataFrame) -> DataFrame:
     """Simple paths Start -> ... -> Conversion, merged by the set of states they visit.
 
     ``(visited array<string>, probability double)``: the sorted states of the
-    paths and their summed probability. Each step joins the live frontier
-    with the matrix, drops moves to visited states and merges rows that agree
-    in (state, visited set); a simple path has at most one step per state, so
-    the loop ends after at most (#states) steps.
+    paths and their summed probability, at most 2^n rows for n states; raises
+    above ``MASK_STATES`` states.
     """
-    stored = _checkpoint(matrix.select(F.col("start_state").alias("__s"),
-                                       F.col("end_state").alias("__e"),
-                                       F.col("transition_probability").alias("__p")))
-    live_state = ~F.col("state").isin(*TERMINAL)
-    frontier = stored.filter(F.col("__s") == START).select(
-        F.col("__e").alias("state"), F.array_sort(F.array(F.lit(START), F.col("__e"))).alias("visited"),
-        F.col("__p").alias("probability")).persist()
-    kept = [frontier]
-    found = []
-    step = 0
-    while True:
-        n_live = frontier.filter(live_state).count()
-        found.append(frontier.filter(F.col("state") == CONVERSION))
-        if n_live == 0:
-            break
-        step += 1
-        live = frontier.filter(live_state)
-        frontier = _step_result(
-            live.join(stored, live["state"] == stored["__s"])
-            .filter(~F.array_contains("visited", F.col("__e")))
-            .groupBy(F.col("__e").alias("state"), F.array_sort(F.array_append("visited", F.col("__e"))).alias("visited"))
-            .agg(F.sum(F.col("probability") * F.col("__p")).alias("probability")), step)
-        kept.append(frontier)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    out = _checkpoint(out.select("visited", "probability"))
-    for f in kept:
-        f.unpersist()
-    return out
+    paths, states = _path_masks(matrix)
+    seen = [F.when(F.expr(f"visited & shiftleft(1L, {i}) <> 0"), F.lit(s)) for i, s in enumerate(states)]
+    return paths.select(F.array_sort(F.array_compact(F.array(F.lit(START), F.lit(CONVERSION), *seen))).alias("visited"), "probability")
 
 
 def _conversion_total(paths: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def _conversion_total(paths: DataFrame) -> DataFrame:
 def conversion_probability(matrix: DataFrame, method: str = "simple_paths") -> DataFrame:
     """One row: the probability of reaching Conversion from Start."""
     if method == "simple_paths":
-        return _conversion_total(conversion_paths(matrix))
+        return _conversion_total(_path_masks(matrix)[0])
     if method == "absorbing":
         a = absorption_probabilities(matrix)
         return a.filter(F.col("removed_channel").isNull()).select("conversion_probability")
@@ -176,28 +182,25 @@ def removal_effects(matrix: DataFrame, method: str = "simple_paths") -> DataFram
 
     With simple paths, removing c deletes exactly the conversion paths
     through c (moves into c now end in Null), so the effect is the
-    probability of the paths containing c over the total: one explode and
-    one aggregate over the path table, all channels at once.
+    probability of the paths whose visited set has c's bit over the total: one
+    aggregate over the path table, all channels at once.
     """
-    matrix = _checkpoint(matrix)  # reused by every iteration and by the channel list
-    chans = removable_channels(matrix)
     if method == "simple_paths":
-        paths = conversion_paths(matrix)
-        total = _conversion_total(paths).scalar()  # scalar subquery, evaluated once
-        per = (paths.select(F.explode("visited").alias("channel"), "probability")
-               .groupBy("channel").agg(F.sum("probability").alias("__with")))
-        j = chans.join(per, "channel", "left")
-        eff = F.try_divide(F.coalesce(F.col("__with"), F.lit(0.0)), total)
-    elif method == "absorbing":
-        a = absorption_probabilities(matrix)
-        full = a.filter(F.col("removed_channel").isNull()).select("conversion_probability").scalar()
-        without = a.filter(F.col("removed_channel").isNotNull()).select(
-            F.col("removed_channel").alias("channel"), F.col("conversion_probability").alias("__without"))
-        j = chans.join(without, "channel", "left")
-        eff = F.try_divide(full - F.coalesce(F.col("__without"), F.lit(0.0)), full)
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    return j.select("channel", F.round(eff, 2).alias("removal_effect"))
+        matrix = _checkpoint(matrix)  # read by the numbering, the steps and the channel list
+        paths, states = _path_masks(matrix)
+        through = [F.sum(F.when(F.expr(f"visited & shiftleft(1L, {i}) <> 0"), F.col("probability"))).alias(f"__{i}") for i in range(len(states))]
+        sums = paths.agg(F.sum("probability").alias("__total"), *through)
+        pairs = F.array(*[F.struct(F.lit(s).alias("channel"), F.coalesce(f"__{i}", F.lit(0.0)).alias("part")) for i, s in enumerate(states)])
+        per = sums.select("__total", F.explode(pairs).alias("x")).select("x.channel", F.try_divide("x.part", "__total").alias("effect")) if states else None
+        chans = removable_channels(matrix)
+        if per is None:
+            return chans.select("channel", F.lit(None).cast("double").alias("removal_effect"))
+        return chans.join(per, "channel", "left").select("channel", F.round("effect", 2).alias("removal_effect"))
+    if method == "absorbing":
+        a = _absorption(matrix).filter(F.col("removed_channel").isNotNull())
+        return a.select(F.col("removed_channel").alias("channel"), F.round(F.try_divide(
+            F.col("full") - F.col("conversion_probability"), F.col("full")), 2).alias("removal_effect"))
+    raise ValueError(f"unknown method {method!r}")
 
 
 def markov_attribution(effects: DataFrame) -> DataFrame:
@@ -213,61 +216,64 @@ def markov_attribution(effects: DataFrame) -> DataFrame:
                     F.round(F.try_divide(F.col("__c"), total), 2).alias("attribution_percent"))
 
 
-def absorption_probabilities(matrix: DataFrame, tol: float = 1e-15,
-                             max_squarings: int = 64) -> DataFrame:
+def _absorption(matrix: DataFrame) -> DataFrame:
+    """``(removed_channel, conversion_probability, full)``: one solve for the chain and all removals.
+
+    With Q the moves between transient states and r the moves to Conversion,
+    N = (I - Q)^-1 holds the expected visits and a = N r the absorption
+    probabilities. Without channel c the probability from Start is
+    a_Start - N_Start,c / N_c,c * a_c, as a path to Conversion through c
+    passes its first visit. The matrix becomes one row (at most
+    ``SOLVE_STATES`` states, else it raises); Gauss-Jordan elimination, the
+    products and the removals are array expressions of that row.
+    """
+    rows = (matrix.groupBy("start_state", "end_state").agg(F.sum("transition_probability").alias("p"))
+            .groupBy("start_state").agg(F.map_from_entries(F.collect_list(F.struct("end_state", "p"))).alias("to")))
+    one = rows.agg(F.map_from_entries(F.collect_list(F.struct("start_state", "to"))).alias("m"))
+    ends = F.flatten(F.transform(F.map_values("m"), F.map_keys))
+    named = one.select("m", F.array_sort(F.array_except(F.array_distinct(F.concat(F.map_keys("m"), ends)),
+                                                        F.array(*[F.lit(t) for t in TERMINAL]))).alias("states"))
+    named = named.filter(F.when(F.size("states") > SOLVE_STATES, F.raise_error(F.lit(
+        f"the chain has more than {SOLVE_STATES} states")).cast("boolean")).otherwise(F.size("states") > 0))
+    p = lambda s, e: F.coalesce(F.try_element_at(F.try_element_at(F.col("m"), s), e), F.lit(0.0))
+    unit = lambda i: lambda _, j: F.when(i == j, F.lit(1.0)).otherwise(F.lit(0.0))
+    square = F.transform("states", lambda s, i: F.concat(
+        F.transform("states", lambda e, j: F.when(i == j, F.lit(1.0)).otherwise(F.lit(0.0)) - p(s, e)),
+        F.transform("states", unit(i))))
+    start = named.select("m", "states", square.alias("a"), F.transform("states", lambda s: p(s, F.lit(CONVERSION))).alias("r"))
+
+    def eliminate(a, k):
+        pivot = F.when(F.get(F.get(a, k), k) > 1e-12, F.get(F.get(a, k), k)).otherwise(
+            F.raise_error(F.lit("a state never leads to Conversion or Null: no absorption")).cast("double"))
+        lead = F.transform(F.get(a, k), lambda x: x / pivot)
+        return F.transform(a, lambda row, i: F.when(i == k, lead).otherwise(F.zip_with(row, lead, lambda x, y: x - F.get(row, k) * y)))
+
+    solved = start.select("m", "states", "r", F.aggregate(F.sequence(F.lit(0), F.size("states") - 1), F.col("a"), eliminate).alias("a"))
+    visits = solved.select("m", "states", "r", F.transform("a", lambda row: F.slice(row, F.size("states") + 1, F.size("states"))).alias("n"))
+    dot = lambda row: F.aggregate(F.zip_with(row, F.col("r"), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    reached = visits.select("m", "states", "n", F.transform("n", dot).alias("a"), (F.array_position("states", START) - 1).cast("int").alias("s"))
+    full = F.coalesce(F.get("a", F.col("s")), F.lit(0.0))
+    without = F.transform("states", lambda c, i: F.struct(
+        c.alias("removed_channel"), (full - F.coalesce(F.get(F.get(F.col("n"), F.col("s")), i), F.lit(0.0))
+                                     / F.get(F.get(F.col("n"), i), i) * F.get(F.col("a"), i)).alias("p")))
+    removable = F.filter(without, lambda x: (x["removed_channel"] != START) & F.map_contains_key(F.col("m"), x["removed_channel"]))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("removed_channel"), full.alias("p")))
+    return (reached.select(full.alias("full"), F.explode(F.concat(whole, removable)).alias("x"))
+            .select("x.removed_channel", F.greatest(F.col("x.p"), F.lit(0.0)).alias("conversion_probability"), "full"))
+
+
+def absorption_probabilities(matrix: DataFrame) -> DataFrame:
     """P(absorbed in Conversion | Start) for the full chain and for each
     channel removed: ``(removed_channel, conversion_probability)``, with
-    ``removed_channel`` NULL for the full chain.
-
-    All variants iterate together, keyed by ``removed_channel``: Conversion
-    and Null get self-loops, and the matrix is squared (P^2, P^4, ...)
-    until the mass still in transient states from Start is below ``tol``;
-    raises where ``max_squarings`` do not get there.
-    Each squaring is a join + aggregate on at most keys x states^2 rows,
-    checkpointed to keep the lineage flat.
+    ``removed_channel`` NULL for the full chain. One job; raises where a
+    state leads to neither Conversion nor Null, or above ``SOLVE_STATES`` states.
     """
-    matrix = _checkpoint(matrix)
-    base = (matrix.select(F.lit(None).cast("string").alias("removed_channel"), "start_state",
-                          "end_state", "transition_probability")
-            .unionByName(removed_matrix(matrix)))
-    keys = base.select("removed_channel").distinct()
-    loops = keys.select("removed_channel", F.explode(F.array(
-        F.struct(F.lit(CONVERSION).alias("s"), F.lit(CONVERSION).alias("e")),
-        F.struct(F.lit(NULL_STATE).alias("s"), F.lit(NULL_STATE).alias("e")))).alias("x")).select(
-        "removed_channel", F.col("x.s").alias("start_state"), F.col("x.e").alias("end_state"),
-        F.lit(1.0).alias("transition_probability"))
-    m = _checkpoint(base.unionByName(loops)
-                    .groupBy("removed_channel", "start_state", "end_state")
-                    .agg(F.sum("transition_probability").alias("p")))
-    kept = []
-    for step in range(1, max_squarings + 1):
-        a, b = m.alias("a"), m.alias("b")
-        sq = (a.join(b, F.col("a.removed_channel").eqNullSafe(F.col("b.removed_channel"))
-                     & (F.col("a.end_state") == F.col("b.start_state")))
-              .groupBy(F.col("a.removed_channel").alias("removed_channel"),
-                       F.col("a.start_state").alias("start_state"),
-                       F.col("b.end_state").alias("end_state"))
-              .agg(F.sum(F.col("a.p") * F.col("b.p")).alias("p")))
-        m = _step_result(sq, step)
-        kept.append(m)
-        left = (m.filter((F.col("start_state") == START) & ~F.col("end_state").isin(*TERMINAL))
-                .groupBy("removed_channel").agg(F.sum("p").alias("r"))
-                .agg(F.max("r")).first()[0])
-        if left is None or left < tol:
-            break
-    else:
-        raise RuntimeError(f"no convergence: {left} of the mass is still transient after {max_squarings} squarings")
-    conv = _checkpoint(m.filter((F.col("start_state") == START) & (F.col("end_state") == CONVERSION)))
-    for k in kept:
-        k.unpersist()
-    return keys.join(conv.select("removed_channel", "p"), keys["removed_channel"].eqNullSafe(conv["removed_channel"]),
-                     "left").select(keys["removed_channel"],
-                                    F.coalesce(F.col("p"), F.lit(0.0)).alias("conversion_probability"))
+    return _absorption(matrix).select("removed_channel", "conversion_probability")
 
 
 MODELS = ("first_touch", "last_touch", "markov_chain")
 
 
 def attribution_compare(attribution: DataFrame, models: tuple[str, ...] = MODELS) -> DataFrame:
-    """The listed models side by side: one row per channel, one column per model."""
-    return attribution.groupBy("channel").pivot("attribution_model", list(models)).agg(F.first("attribution_percent"))
+    """The listed models side by side: one row per channel, one column per model; another model raises."""
+    return _only_listed(attribution, "attribution_model", list(models)).groupBy("channel").pivot("attribution_model", list(models)).agg(F.first("attribution_percent"))

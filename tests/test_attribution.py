@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -176,11 +177,69 @@ def test_twelve_channels_finish(spark):
     assert 0 < p <= 1 and markov.conversion_paths(m).count() < 12 * 2 ** 12
 
 
-def test_unconverged_absorption_raises(spark):
-    m = spark.createDataFrame([("Start", "A", 1.0), ("A", "A", 0.999), ("A", "Conversion", 0.001)],
+def test_fifteen_channels_by_bit_sets(spark):
+    rows, m = _full_graph(spark, 15)
+    n = [f"c{i}" for i in range(15)]
+    p = {(a, b): x for a, b, x in rows}
+    # The same sums over subsets, state by state: f[set][last].
+    f = {(1 << i, i): p[("Start", c)] for i, c in enumerate(n)}
+    total = 0.0
+    for size in range(15):
+        step = {}
+        for (mask, i), x in f.items():
+            total += x * p[(n[i], "Conversion")]
+            for j in range(15):
+                if not mask >> j & 1:
+                    key = (mask | 1 << j, j)
+                    step[key] = step.get(key, 0.0) + x * p[(n[i], n[j])]
+        f = step
+    assert abs(markov.conversion_probability(m).first()[0] - total) < 1e-10
+
+
+def test_too_many_states_for_bit_sets_raise(spark):
+    m = spark.range(70).selectExpr("'Start' AS start_state", "concat('c', id) AS end_state", "1 / 70D AS transition_probability")
+    m = m.unionByName(spark.range(70).selectExpr("concat('c', id) AS start_state", "'Conversion' AS end_state", "1D AS transition_probability"))
+    with pytest.raises(ValueError, match="at most 62"):
+        markov.conversion_probability(m)
+    assert abs(markov.conversion_probability(m, "absorbing").first()[0] - 1) < 1e-9
+
+
+def test_one_solve_equals_chains_with_a_channel_removed(spark):
+    rows, m = _full_graph(spark, 30)
+    got = {r.removed_channel: r.conversion_probability for r in markov.absorption_probabilities(m).collect()}
+    names = ["Start"] + [f"c{i}" for i in range(30)]
+    for removed in (None, "c0", "c17", "c29"):
+        kept = [s for s in names if s != removed]
+        at = {s: i for i, s in enumerate(kept)}
+        q, r = np.zeros((len(kept), len(kept))), np.zeros(len(kept))
+        for a, b, x in rows:
+            if a in at and b in at:
+                q[at[a], at[b]] += x
+            elif a in at and b == "Conversion":
+                r[at[a]] += x
+        assert abs(np.linalg.solve(np.eye(len(kept)) - q, r)[0] - got[removed]) < 1e-12
+    assert len(got) == 31
+
+
+def test_chain_without_absorption_raises(spark):
+    m = spark.createDataFrame([("Start", "A", 1.0), ("A", "B", 1.0), ("B", "A", 1.0)],
                               "start_state string, end_state string, transition_probability double")
-    with pytest.raises(RuntimeError, match="convergence"):
-        markov.absorption_probabilities(m, max_squarings=2)
+    with pytest.raises(Exception, match="no absorption"):
+        markov.absorption_probabilities(m).collect()
+    assert markov.conversion_probability(m).first()[0] == 0.0
+    assert markov.absorption_probabilities(m.limit(0)).collect() == []
+    assert markov.removal_effects(m.limit(0)).collect() == []
+
+
+def test_pivots_raise_on_values_that_are_not_listed(spark):
+    m = spark.createDataFrame([("Start", "A", 1.0), ("A", "Conversion", 1.0)], "start_state string, end_state string, transition_probability double")
+    assert markov.transition_pivot(m, ["A", "Conversion", "Null"]).count() == 2
+    with pytest.raises(Exception, match="not listed: Conversion"):
+        markov.transition_pivot(m, ["A"]).collect()
+    shares = spark.createDataFrame([("first_touch", "a", 1.0), ("own_model", "a", 1.0)], "attribution_model string, channel string, attribution_percent double")
+    with pytest.raises(Exception, match="not listed: own_model"):
+        markov.attribution_compare(shares).collect()
+    assert markov.attribution_compare(shares, ("first_touch", "own_model")).first().own_model == 1.0
 
 
 def test_upsert_check_cannot_be_pruned_and_is_merge_exact(spark, scratch_dir):
