@@ -9,20 +9,18 @@
 * ``forest_forecast`` - per-station random forest fitted inside
   ``applyInPandas`` (module ``hourglass.operators.forest``).
 * ``additive_forecast`` - per-station additive model fitted inside
-  ``applyInPandas`` (module ``hourglass.operators.additive``).
+  ``applyInArrow`` (module ``hourglass.operators.additive``).
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourglass.session import ensure_checkpoint_dir, reliable_checkpoint
+from hourglass.session import reliable_checkpoint
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -76,23 +74,6 @@ def profile_forecast(panel: DataFrame, places: int = 8) -> DataFrame:
         F.max(hist_y).over(w).cast("double").alias("yhat_upper"))
 
 
-def _leaf_values(model, spark) -> Column:
-    """An MLlib forest's leaf values as a constant: per tree, by MLlib's leaf number (left to right).
-
-    Read from the model's own saved form, in which a tree's nodes are
-    numbered depth first, left before right. The constant is bounded by the
-    model (trees x leaves), not by the data.
-    """
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/hourglass-forest-{uuid.uuid4().hex}"
-    model.write().save(path)
-    leaves = (spark.read.parquet(f"{path}/data").filter("nodeData.leftChild < 0")
-              .select("treeID", "nodeData.id", "nodeData.prediction").collect())
-    trees: dict[int, list] = {}
-    for r in sorted(leaves, key=lambda r: (r["treeID"], r["id"])):
-        trees.setdefault(r["treeID"], []).append(r["prediction"])
-    return F.from_json(F.lit(json.dumps([trees[t] for t in sorted(trees)])), "array<array<double>>")
-
-
 def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int = 100,
                     subsampling_rate: float = 0.6, seed: int = 42, interval_width: float = 0.80,
                     entity_col: str = "station_id") -> DataFrame:
@@ -100,11 +81,9 @@ def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int
 
     One forest per station, as in the reference, in one ``applyInPandas``
     call each (module ``operators.forest``); a station's rows are bounded by
-    the calendar length. Departures from it: the station's mean at the hour
-    of the day is a feature too, and a tree that drew no row of an hour
-    takes that mean there. Each tree sees a 60 %
-    bootstrap sample of the station's rows and all features; trees have no
-    limit of depth, bins or rows in a leaf. The seed is fixed, and a
+    the calendar length. The features are the given ones alone. Each tree
+    sees a 60 % bootstrap sample of the station's rows and all features; trees
+    have no limit of depth, bins or rows in a leaf. The seed is fixed, and a
     station's forest does not depend on the other stations. Rows with a NULL
     feature are neither trained on nor forecast; a station without history
     gets the overall mean. Output: ``(station_id, ds, y, yhat, yhat_lower,
@@ -128,12 +107,8 @@ def forest_forecast(features: DataFrame, feature_cols: list[str], num_trees: int
         x, y = pdf[names].to_numpy(float), pdf["y"].to_numpy(float)
         known = ~np.isnan(y)
         if known.any():
-            hour = pdf["ds"].dt.hour.to_numpy(int)
-            usual = np.bincount(hour[known], y[known], 24) / np.maximum(np.bincount(hour[known], minlength=24), 1)
-            usual[np.bincount(hour[known], minlength=24) == 0] = y[known].mean()
-            x = np.c_[usual[hour], x]
             out["members"] = list(members_of(x[known], y[known], x, num_trees, subsampling_rate,
-                                             [seed, zlib.crc32(str(pdf[entity_col].iloc[0]).encode())], hour[known], hour))
+                                             [seed, zlib.crc32(str(pdf[entity_col].iloc[0]).encode())]))
         else:
             out["members"] = None
         out["y"] = out["y"].astype(object).where(known, None)
@@ -154,8 +129,8 @@ def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple =
     """Per-station additive model (27 output columns, see ``operators.additive``).
 
     Holidays enter as a per-row array of holiday names, joined on the date.
-    One ``applyInPandas`` call per station; a station's rows are bounded by
-    the calendar length. ``missing_future``: see ``additive.fit_predict``.
+    One ``applyInArrow`` call per station; a station's rows are bounded by
+    the calendar length. ``missing_future``: see ``additive.fit_table``.
     """
     from hourglass.operators import additive
 
@@ -165,11 +140,11 @@ def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple =
     p = (panel.select(*cols).join(hd, F.to_date(panel["ds"]) == hd["__hd"], "left").drop("__hd")
          .withColumn("y", F.col("y").cast("double")))
     seas = additive.SEASONALITIES if yearly else tuple(s for s in additive.SEASONALITIES if s[0] != "yearly")
-    fit = additive.fit_predict  # captured as a function: shipped by value
+    fit = additive.fit_table  # captured as a function: shipped by value
     regs = tuple(regressors)
 
-    def per_station(pdf):
-        return fit(pdf, regressors=regs, interval_width=interval_width, seasonalities=seas, missing_future=missing_future)
+    def per_station(table):
+        return fit(table, regressors=regs, interval_width=interval_width, seasonalities=seas, missing_future=missing_future)
 
     # The fit is CPU work per station on little data: AQE would coalesce the
     # small shuffle into one task. An explicit hash repartition on the group
@@ -177,4 +152,4 @@ def additive_forecast(panel: DataFrame, holidays: DataFrame, regressors: tuple =
     # exchange).
     parts = max(p.sparkSession.sparkContext.defaultParallelism, 1)
     return (p.repartition(parts, "station_id")
-            .groupBy("station_id").applyInPandas(per_station, additive.OUTPUT_SCHEMA))
+            .groupBy("station_id").applyInArrow(per_station, additive.OUTPUT_SCHEMA))

@@ -80,12 +80,8 @@ def _grow(cells, ranks, values, cell, y, drawn):
     return out.reshape(trees, n_cells)
 
 
-def forest_members(x_train, y, x_all, trees: int, rate: float, seed, group=None, group_all=None) -> np.ndarray:
-    """Each tree's forecast of every row of ``x_all``: rows x trees.
-
-    Where groups are given, as small numbers, a tree that drew no row of a
-    group forecasts it by the mean of the group's rows of ``y``.
-    """
+def forest_members(x_train, y, x_all, trees: int, rate: float, seed) -> np.ndarray:
+    """Each tree's forecast of every row of ``x_all``: rows x trees."""
     rng = np.random.default_rng(seed)
     cells, cell = np.unique(np.vstack([x_train, x_all]), axis=0, return_inverse=True)
     cell = cell.ravel()
@@ -96,17 +92,8 @@ def forest_members(x_train, y, x_all, trees: int, rate: float, seed, group=None,
     n, centre = len(y), y.mean()
     draws = max(1, round(n * rate))
     step = max(1, BATCH // max(draws, len(cells)))
-    if group is not None:
-        n_groups = int(max(group.max(), group_all.max())) + 1
-        rows = np.bincount(group, minlength=n_groups)
-        usual = np.bincount(group, y - centre, n_groups) / np.maximum(rows, 1)
     parts = []
     for t in range(0, trees, step):
         drawn = rng.integers(0, n, size=(min(step, trees - t), draws))
-        found = _grow(cells, ranks, values, cell[:n], y - centre, drawn)[:, cell[n:]]
-        if group is not None:
-            seen = np.tile(rows == 0, (len(drawn), 1))
-            seen[np.arange(len(drawn))[:, None], group[drawn]] = True
-            found = np.where(seen[:, group_all], found, usual[group_all])
-        parts.append(found)
+        parts.append(_grow(cells, ranks, values, cell[:n], y - centre, drawn)[:, cell[n:]])
     return np.vstack(parts).T + centre

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from hourglass.plans.demand_oracles import ACTIVE, BASE, DATES, RANKING, holidays_ctes, with_
 from hourglass.plans.demand_queries import MOST_ACTIVE_N
-from hourglass.plans.forecast_queries import ENSEMBLE_MEMBERS, HORIZON, PLACES
+from hourglass.plans.forecast_queries import ENSEMBLE_MEMBERS, HORIZON, PLACES, SERIES_START
 
 MOST_ACTIVE = f"most_active AS (SELECT * FROM ranking ORDER BY Percent_Hours_With_No_Rentals, station_id LIMIT {MOST_ACTIVE_N})"
 PANEL = (
@@ -82,4 +82,17 @@ GROUP BY station_id, ds, y"""),
     "forest_weather_rows": _model_rows("JOIN weather w ON w.hour = p.ds WHERE w.avg_temp_f IS NOT NULL", [WEATHER]),
     "additive_rows": _model_rows(),
     "additive_weather_rows": _model_rows("LEFT JOIN weather w ON w.hour = p.ds WHERE p.is_historical = 0 OR w.avg_temp_f IS NOT NULL", [WEATHER]),
+    "additive_recovers": with_(P, f"""
+SELECT station_id, ds, round(level + 4 * sin(2 * pi() * hour(ds) / 24), 1) AS yhat, round(level, 1) AS trend,
+       round(4 * sin(2 * pi() * hour(ds) / 24), 1) AS daily, TRUE AS narrow
+FROM (SELECT station_id, ds, 50 + station_id % 7 + CAST(0.1 AS DOUBLE) * date_diff('hour', TIMESTAMP '{SERIES_START}', ds) AS level FROM panel) x"""),
+    "additive_weather_recovers": with_(P + [WEATHER], f"""
+SELECT station_id, ds, round(COALESCE((temp - avg(known) OVER s) / stddev_pop(known) OVER s, 0), 6) AS z, TRUE AS yhat_right, TRUE AS terms_right
+FROM (SELECT p.station_id, p.ds, p.is_historical, w.avg_temp_f AS temp, CASE WHEN p.is_historical = 1 THEN w.avg_temp_f END AS known
+      FROM panel p LEFT JOIN weather w ON w.hour = p.ds) x
+WINDOW s AS (PARTITION BY station_id)
+QUALIFY is_historical = 0 OR temp IS NOT NULL"""),
+    "forest_recovers": with_(P, """
+SELECT station_id, ds, CAST(10 + (hour(ds) * 7) % 24 AS DOUBLE) AS yhat_lower, CAST(10 + (hour(ds) * 7) % 24 AS DOUBLE) AS yhat_upper,
+       TRUE AS yhat_right FROM panel"""),
 }

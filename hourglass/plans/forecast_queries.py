@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hourglass.operators import demand, forecast, metrics, panel
@@ -133,6 +136,49 @@ def q_forecast_errors_additive(spark, sf):
     return _rounded(m, ERROR_COLS)
 
 
+# Noise-free series over the panel's rows, which the models must give back.
+SERIES_START = "2024-01-01 00:00:00"
+
+
+def _course(p):
+    """The panel with y = 50 + station_id % 7 + 0.1 * hours + 4 * sin(2 pi * hour of day / 24) in place of the counts."""
+    hours = F.expr(f"timestampdiff(HOUR, timestamp_ntz'{SERIES_START}', ds)")
+    y = F.lit(50) + F.col("station_id") % 7 + F.lit(0.1) * hours + F.lit(4) * F.sin(F.lit(2 * math.pi) * F.hour("ds") / 24)
+    return p.withColumn("y", y.cast("double"))
+
+
+def q_additive_recovers(spark, sf):
+    """The additive model fitted to a trend with a daily cycle: its fit and forecast, to one place."""
+    f = forecast.additive_forecast(_course(base_panel(spark, sf)), dq.holidays(spark, sf), interval_width=INTERVAL_WIDTH, yearly=False)
+    return f.select("station_id", "ds", F.round("yhat", 1).alias("yhat"), F.round("trend", 1).alias("trend"), F.round("daily", 1).alias("daily"),
+                    (F.col("trend_upper") - F.col("trend_lower") < 0.1).alias("narrow"))
+
+
+def q_additive_weather_recovers(spark, sf):
+    """The additive model fitted to a trend times a standardised regressor: its multiplicative terms, to three places."""
+    p = _course(panel.with_weather(base_panel(spark, sf), weather(spark, sf)))
+    known = F.when((F.col("is_historical") == 1) & F.col("temp_f").isNotNull(), F.col("temp_f"))
+    w = Window.partitionBy("station_id")
+    z = F.coalesce((F.col("temp_f") - F.avg(known).over(w)) / F.stddev_pop(known).over(w), F.lit(0.0))
+    hours = F.expr(f"timestampdiff(HOUR, timestamp_ntz'{SERIES_START}', ds)")
+    p = p.withColumn("z", z).withColumn("y", F.lit(50) + F.lit(0.1) * hours * 1.0).withColumn("y", F.col("y") * (1 + F.lit(0.2) * F.col("z")))
+    f = forecast.additive_forecast(p, dq.holidays(spark, sf), regressors=("temp_f",), interval_width=INTERVAL_WIDTH, yearly=False, missing_future="mean")
+    expected = p.select("station_id", "ds", F.col("y").alias("expected"), F.round("z", 6).alias("z"))
+    return (f.join(expected, ["station_id", "ds"]).select(
+        "station_id", "ds", "z", (F.abs(F.col("yhat") - F.col("expected")) < 0.2).alias("yhat_right"),
+        (F.abs(F.col("multiplicative_terms") - 0.2 * F.col("z")) < 0.005).alias("terms_right")))
+
+
+def q_forest_recovers(spark, sf):
+    """The time forest fitted to a series of the hour of the day: its band, and whether its mean is right."""
+    feats = panel.time_features(base_panel(spark, sf), dq.holidays(spark, sf))
+    y = (10 + F.pmod(F.col("hour") * 7, F.lit(24))).cast("double")
+    f = forecast.forest_forecast(feats.withColumn("y", y), TIME_FEATURES, interval_width=INTERVAL_WIDTH)
+    expected = 10 + F.pmod(F.hour("ds") * 7, F.lit(24))
+    return f.select("station_id", "ds", F.round("yhat_lower", 6).alias("yhat_lower"), F.round("yhat_upper", 6).alias("yhat_upper"),
+                    (F.abs(F.col("yhat") - expected) < 1).alias("yhat_right"))
+
+
 QUERIES = {
     "forecast_panel": q_forecast_panel,
     "forecast_panel_weather": q_forecast_panel_weather,
@@ -153,4 +199,7 @@ QUERIES = {
     "forest_weather_rows": _rows_of(q_forecast_forest_weather),
     "additive_rows": _rows_of(q_forecast_additive),
     "additive_weather_rows": _rows_of(q_forecast_additive_weather),
+    "additive_recovers": q_additive_recovers,
+    "additive_weather_recovers": q_additive_weather_recovers,
+    "forest_recovers": q_forest_recovers,
 }
