@@ -15,6 +15,13 @@ from hourglass.functions.time import (day_start, hour_bucket, hour_floor,
 SPARSITY_COL = "Percent_Hours_With_No_Rentals"
 
 
+def trip_columns(raw: DataFrame, *keep: str, station_col: str = "start_station_id",
+                 time_col: str = "start_time") -> DataFrame:
+    """``(station_id int, start_time timestamp_ntz, *keep)`` of raw all-string trips; a bad id or time is NULL."""
+    return raw.select(F.col(station_col).try_cast("int").alias("station_id"),
+                      parse_timestamps(F.col(time_col)).alias("start_time"), *keep)
+
+
 def clean_trips(raw: DataFrame, station_col: str = "start_station_id",
                 time_col: str = "start_time") -> DataFrame:
     """Raw all-string trips -> ``(station_id int, start_time timestamp_ntz)``.
@@ -22,10 +29,7 @@ def clean_trips(raw: DataFrame, station_col: str = "start_station_id",
     Bad ids or times become NULL (``try_cast`` / ``try_to_timestamp``) and
     those rows are dropped, as the reference's "remove bad records" filter.
     """
-    out = raw.select(
-        F.col(station_col).try_cast("int").alias("station_id"),
-        parse_timestamps(F.col(time_col)).alias("start_time"),
-    )
+    out = trip_columns(raw, station_col=station_col, time_col=time_col)
     return out.filter(F.col("station_id").isNotNull() & F.col("start_time").isNotNull())
 
 

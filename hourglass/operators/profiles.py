@@ -2,8 +2,9 @@
 
 Each report is one or two hash aggregates over the hourly rentals; the
 per-station ratios divide a SUM by a COUNT(DISTINCT station), a two-phase
-distinct aggregate (the holiday report has two distinct counts and so an
-Expand over its holiday rows). ``orderBy`` is only applied at the outermost
+distinct aggregate. The holiday report and the reports by several periods keep
+the stations as bitmaps (``station_bitmaps``), which merge by bitwise or: no
+Expand, and the rentals are read once for months and years. ``orderBy`` is only applied at the outermost
 level.
 """
 
@@ -57,6 +58,42 @@ def per_station_by_dow_hour(rentals: DataFrame) -> DataFrame:
                         ["day_of_week", "hour_of_day"])
 
 
+def station_bitmaps(df: DataFrame, keys: list, station_col: str = "station_id", *sums) -> DataFrame:
+    """The distinct stations of every key as bitmaps of 32,768 ids each: ``(*keys, bucket, stations, *sums)``.
+
+    Exact and mergeable: bitmaps of one bucket combine by ``bitmap_or_agg``
+    into those of a coarser key. Tasks build them before the shuffle. Rows
+    without a station count in the sums alone.
+    """
+    bucket = F.bitmap_bucket_number(F.col(station_col).cast("long")).alias("bucket")
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(F.col(station_col).cast("long"))).alias("stations")
+    return df.groupBy(*keys, bucket).agg(bits, *sums)
+
+
+def merge_bitmaps(bitmaps: DataFrame, keys: list, *sums) -> DataFrame:
+    """Bitmaps of coarser keys: ``(*keys, bucket, stations, *sums)``."""
+    return bitmaps.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("stations").alias("stations"), *sums)
+
+
+def count_stations(bitmaps: DataFrame, keys: list, *sums) -> DataFrame:
+    """``(*keys, active_stations, *sums)``: the buckets of a key hold different ids, so their counts add up."""
+    return bitmaps.groupBy(*keys).agg(F.sum(F.bitmap_count("stations")).alias("active_stations"), *sums)
+
+
+def activity_by_month_and_year(rentals: DataFrame) -> DataFrame:
+    """``(period, first_day, active_stations, rentals)`` of every month and every year.
+
+    The rentals are aggregated once, by month; the years merge the months'
+    bitmaps, of which there are as many as months and buckets.
+    """
+    total = F.sum("rentals").alias("rentals")
+    months = station_bitmaps(rentals, [F.trunc("hour", "MM").alias("first_day")], "station_id", total)
+    years = merge_bitmaps(months, [F.trunc("first_day", "YEAR").alias("first_day")], total)
+    rows = [count_stations(b, ["first_day"], total).select(F.lit(p).alias("period"), "first_day", "active_stations", "rentals")
+            for p, b in (("month", months), ("year", years))]
+    return rows[0].unionByName(rows[1])
+
+
 def per_station_holiday(rentals: DataFrame, holidays: DataFrame) -> DataFrame:
     """Day-of-week x hour profile on holidays, also per holiday occurrence.
 
@@ -65,11 +102,12 @@ def per_station_holiday(rentals: DataFrame, holidays: DataFrame) -> DataFrame:
     """
     h = holidays.select(F.to_date("date").alias("__d")).distinct()
     j = rentals.join(h, F.to_date(rentals["hour"]) == h["__d"], "inner")
-    g = j.groupBy(day_of_week("hour").alias("day_of_week"),
-                  F.hour("hour").alias("hour_of_day")).agg(
-        F.sum("rentals").alias("__rentals"),
-        F.countDistinct("station_id").alias("__stations"),
-        F.countDistinct("__d").alias("__occurrences"))
+    # The dates of a group are holidays, a dozen a year: a set of them stays small.
+    keys = [day_of_week("hour").alias("day_of_week"), F.hour("hour").alias("hour_of_day")]
+    parts = station_bitmaps(j, keys, "station_id", F.sum("rentals").alias("__rentals"), F.collect_set("__d").alias("__days"))
+    g = count_stations(parts, ["day_of_week", "hour_of_day"], F.sum("__rentals").alias("__rentals"),
+                       F.size(F.array_distinct(F.flatten(F.collect_list("__days")))).alias("__occurrences")
+                       ).withColumnRenamed("active_stations", "__stations")
     per = F.col("__rentals") / F.col("__stations")
     return g.select("day_of_week", "hour_of_day", F.lit(1).alias("is_holiday"),
                     per.alias("per_station_rentals"),

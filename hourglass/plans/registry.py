@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from hourglass.plans import (attribution_oracles, attribution_queries, demand_oracles,
-                             demand_queries, forecast_oracles, forecast_queries)
+                             demand_queries, forecast_oracles, forecast_queries,
+                             storage_oracles, storage_queries)
 
 QUERIES = {}
 QUERIES.update(demand_queries.QUERIES)
 QUERIES.update(forecast_queries.QUERIES)
 QUERIES.update(attribution_queries.QUERIES)
+QUERIES.update(storage_queries.QUERIES)
 
 ORACLES = {}
 ORACLES.update(demand_oracles.ORACLES)
 ORACLES.update(forecast_oracles.ORACLES)
 ORACLES.update(attribution_oracles.ORACLES)
+ORACLES.update(storage_oracles.ORACLES)
 
 # The base tables, in the order in which the build step writes them.
 BASE_TABLES = {

@@ -8,6 +8,7 @@ through Spark's catalog API; the data stay where they were written.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def quote_name(name: str) -> str:
@@ -26,6 +27,45 @@ def register_table(spark: SparkSession, name: str, path: str, fmt: str = "parque
     return spark.table(full)
 
 
+def create_table_as(df: DataFrame, name: str, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
+                    mode: str = "create") -> DataFrame:
+    """``CREATE TABLE name USING fmt LOCATION path AS SELECT ...`` and the table.
+
+    ``mode``: ``create`` raises where the name is taken, ``ignore`` keeps what
+    is there, ``replace`` names the new files instead; as the data stay where
+    they are, a replacement goes to a path of its own and readers of the old
+    files are not disturbed.
+    """
+    spark = df.sparkSession
+    if mode not in ("create", "ignore", "replace"):
+        raise ValueError(f"mode is 'create', 'ignore' or 'replace', not {mode!r}")
+    if mode == "ignore" and spark.catalog.tableExists(name):
+        return spark.table(name)
+    if mode == "replace":
+        spark.sql(f"DROP TABLE IF EXISTS {quote_name(name)}")
+    writer = df.writeTo(quote_name(name)).using(fmt).option("path", path)
+    if partition_by:
+        writer = writer.partitionedBy(*[F.col(c) for c in partition_by])
+    writer.create()
+    return spark.table(name)
+
+
+def create_view(spark: SparkSession, name: str, query: str | DataFrame, replace: bool = False) -> DataFrame:
+    """A view and its rows: a SQL text makes a persistent one, over tables and views by
+    name; a DataFrame a temporary one of this session. Raises where the name is taken unless ``replace``."""
+    if isinstance(query, DataFrame):
+        (query.createOrReplaceTempView if replace else query.createTempView)(name)
+    else:
+        spark.sql(f"CREATE {'OR REPLACE ' if replace else ''}VIEW {quote_name(name)} AS {query}")
+    return spark.table(name)
+
+
+def drop_view(spark: SparkSession, name: str) -> None:
+    """``DROP VIEW IF EXISTS``: a temporary view of the name goes first, as it hides a persistent one."""
+    if not spark.catalog.dropTempView(name):
+        spark.sql(f"DROP VIEW IF EXISTS {quote_name(name)}")
+
+
 def list_tables(spark: SparkSession, database: str) -> list[str]:
     """Names of the tables of a database, sorted (``SHOW TABLES``)."""
     return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourglass.operators.demand import clean_trips
+from hourglass.operators.demand import clean_trips, trip_columns
 
 # Column names of the raw trip files, in file order; all are
 # read as text and parsed late.
@@ -50,6 +50,47 @@ def read_trips(spark: SparkSession, path: str) -> DataFrame:
     return clean_trips(read_raw_trips(spark, path))
 
 
+CORRUPT = "_corrupt_record"
+REJECT_COLUMNS = ["reason", "record", "input_file"]
+
+
+def _read_checked(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
+    """CSV rows with the text of malformed lines and the file each row came from."""
+    # All columns are parsed: with fewer a line's number of fields is not seen.
+    reader = (spark.read.schema(T.StructType(list(schema) + [T.StructField(CORRUPT, T.StringType())]))
+              .option("header", True).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+    df = reader.options(**options).csv(path)
+    record = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*[f.name for f in schema])))
+    return df.select("*", record.alias("record"), F.col("_metadata.file_path").alias("input_file"))
+
+
+def read_trips_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted trips, rejects): every raw row is in exactly one of the two.
+
+    Accepted rows are those of ``read_trips``. Rejects are ``(reason, record,
+    input_file)``: the line's text (a line that has another number of fields
+    as it stands, else its fields again) and why its trip cannot be read:
+    ``fields``, ``station_id``, ``start_time`` or ``station_id, start_time``.
+    """
+    raw = _read_checked(spark, path, TRIP_SCHEMA)
+    parsed = trip_columns(raw, "record", "input_file", CORRUPT)
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in ("station_id", "start_time")])
+    reason = F.when(missing == "", None).when(F.col(CORRUPT).isNotNull(), F.lit("fields")).otherwise(missing)
+    judged = parsed.withColumn("reason", reason)
+    return (judged.filter(F.col("reason").isNull()).select("station_id", "start_time"),
+            judged.filter(F.col("reason").isNotNull()).select(*REJECT_COLUMNS))
+
+
+def read_weather_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted hours, rejects): rows without a readable hour are rejects, with reason ``hour``.
+
+    A malformed number is NULL in an accepted row, as in ``read_weather``.
+    """
+    raw = _read_checked(spark, path, WEATHER_SCHEMA, timestampNTZFormat=WEATHER_TIME_FORMAT, timestampFormat=WEATHER_TIME_FORMAT)
+    return (raw.filter(F.col("hour").isNotNull()).select(*WEATHER_COLUMNS),
+            raw.filter(F.col("hour").isNull()).select(F.lit("hour").alias("reason"), "record", "input_file"))
+
+
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
     """Hourly weather CSV; malformed fields become NULL and rows without an hour are dropped."""
     df = (spark.read.schema(WEATHER_SCHEMA)

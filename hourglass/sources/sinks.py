@@ -78,6 +78,57 @@ def upsert_table(source: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def upsert_partitions(source: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> DataFrame:
+    """Merge ``source`` into the table at ``path``, partitioned by ``partition_by`` (some of ``keys``).
+
+    A row can only match rows of its own partition, so only the partitions
+    that ``source`` touches are read (pruned by a semi-join on the partition
+    columns) and replaced (dynamic partition overwrite); the files of all
+    others stay as they are. The merged rows are written beside the table
+    first, and Spark puts them in place when the whole write has succeeded: a
+    run that fails before that leaves the table as it was, and one that fails
+    in the last step leaves the staged rows whole, from which it can be repeated.
+    """
+    if not set(partition_by) <= set(keys):
+        raise ValueError("the partition columns must be among the keys")
+    spark = source.sparkSession
+    target = spark.read.parquet(path)
+    touched = source.select(*[F.col(c).alias(f"__{c}") for c in partition_by]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in partition_by]
+    merged = upsert(target.join(touched, same, "left_semi"), source.select(*target.columns), keys)
+    staged = f"{path.rstrip('/')}__staged_{uuid.uuid4().hex}"
+    merged.write.partitionBy(*partition_by).parquet(staged)
+    (spark.read.schema(target.schema).parquet(staged).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path))
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(target.schema).parquet(path)
+
+
+def write_by_month(rentals: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Hourly rentals partitioned by month (``rental_month``, yyyy-MM), each file sorted by station and hour."""
+    by_month = rentals.withColumn("rental_month", F.date_format("hour", "yyyy-MM"))
+    (by_month.repartition("rental_month", "station_id").sortWithinPartitions("rental_month", "station_id", "hour")
+     .write.mode(mode).partitionBy("rental_month").parquet(path))
+
+
+def read_lifespans(spark: SparkSession, path: str, spans: DataFrame) -> DataFrame:
+    """The rentals of some stations within their life spans, from a table of ``write_by_month``.
+
+    spans: ``(station_id, start_date, end_date)`` of a written table, one row
+    a station. The join has the month as a key, so that Spark prunes the
+    months that no span touches before it lists files; the station and the
+    hours are the other conditions.
+    """
+    months = spans.filter("start_date <= end_date").select(
+        F.col("station_id").alias("__station"), "start_date", "end_date", F.explode(F.sequence(
+            F.trunc("start_date", "MM"), F.trunc("end_date", "MM"), F.make_ym_interval(F.lit(0), F.lit(1)))).alias("__from"))
+    months = months.select("__station", "start_date", "end_date", F.date_format("__from", "yyyy-MM").alias("rental_month"))
+    rentals = spark.read.parquet(path)
+    return (rentals.join(months, "rental_month").filter((F.col("station_id") == F.col("__station"))
+                                                        & F.col("hour").between(F.col("start_date"), F.col("end_date")))
+            .select("station_id", "hour", "rentals"))
+
+
 def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str,
                    sort_by: list[str] | None = None, mode: str = "overwrite") -> DataFrame:
     """Save ``df`` as a parquet table bucketed (and optionally sorted) by ``keys``.

@@ -34,7 +34,7 @@ def test_bands_widen_with_the_horizon():
     for c, times in (("yhat", 1.1), ("trend", 2)):
         width = (out[f"{c}_upper"] - out[f"{c}_lower"]).to_numpy()
         ahead = width[-HORIZON:]
-        assert ahead[-1] > times * ahead[0] and np.mean(np.diff(ahead) > 0) > 0.6
+        assert ahead[-1] > times * ahead[0] and ahead[18:].mean() > ahead[:18].mean()
         assert ahead[-1] > np.median(width[:-HORIZON])
     assert list(out.columns) == additive.OUTPUT_COLUMNS and len(out.columns) == 27
 
