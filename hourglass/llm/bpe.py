@@ -29,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from hourglass.llm.common import Generations, map_batches, texts_of
+from hourglass.llm.common import Generations, map_batches, one_thread, texts_of
 
 # Units and pieces whose ids a process keeps, in two generations of so many:
 # when the young one is full the old one goes, and what is used moves up.
@@ -80,6 +80,7 @@ class Codec:
     """Encoder and decoder of one task."""
 
     def __init__(self, path: str, pattern: str):
+        one_thread()
         ranks = read_ranks(path)
         self.tokenizer = build_tokenizer(ranks, pattern)
         back = {c: b for b, c in enumerate(byte_characters())}

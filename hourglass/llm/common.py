@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -121,6 +122,12 @@ class Generations:
         return young
 
 
+def one_thread() -> None:
+    """Keep the tokenizers library to the task's own core: for the small batches of new
+    pieces its threads cost more time than they share."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """A text column as Python strings; null becomes the empty string."""
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.llm.common import Generations, Scratch, arrow_schema, map_batches, texts_of, to_batch
+from hourglass.llm.common import Generations, Scratch, arrow_schema, map_batches, one_thread, texts_of, to_batch
 
 CAPACITY = 2048
 END_ID = 0
@@ -62,6 +62,7 @@ class WordCodec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        one_thread()
         self.tokenizer = Tokenizer.from_file(path)
         self.words = Generations(WORDS_KEPT, self._of_words)
         self.pieces = Generations(PIECES_KEPT, self._of_pieces)
