@@ -43,9 +43,8 @@ from hourglass.llm.common import Generations, Scratch, arrow_schema, map_batches
 
 CAPACITY = 2048
 END_ID = 0
-# Words and pieces of words whose ids a process keeps, in two generations of so
-# many: when the young one is full the old one goes, and what is used moves up.
-WORDS_KEPT = 100_000
+# Pieces of words whose ids a process keeps, in two generations of so many:
+# when the young one is full the old one goes, and what is used moves up.
 PIECES_KEPT = 200_000
 # The split of the tokenizer for plain lower-case text.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
@@ -57,14 +56,13 @@ _PLAIN = re.compile(r"[^\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]|<\|")
 
 
 class WordCodec:
-    """Ids of a word-level tokenizer; words between white space are encoded once each."""
+    """Ids of a word-level tokenizer; a slice's new pieces of words are encoded together, once each."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         one_thread()
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Generations(WORDS_KEPT, self._of_words)
         self.pieces = Generations(PIECES_KEPT, self._of_pieces)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -82,21 +80,11 @@ class WordCodec:
         raw, stop = ids.tobytes(), stop.tolist()
         return [raw[a:b] for a, b in zip([0] + stop, stop)]
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        split = [_PIECE.findall(w) for w in words]
-        known = self.pieces.fetch({p for s in split for p in s})
-        return [b"".join([known[p] for p in s]) for s in split]
-
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if _PLAIN.search(text):
-                out += self._of_texts([text])
-                continue
-            words = text.lower().split()
-            known = self.words.fetch(words)
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        split = [None if _PLAIN.search(t) else _PIECE.findall(t.lower()) for t in texts]
+        known = self.pieces.fetch({p for s in split if s for p in s}).__getitem__
+        whole = iter(self._of_texts([t for t, s in zip(texts, split) if s is None]))
+        return [next(whole) if s is None else b"".join(map(known, s)) for s in split]
 
 
 @lru_cache(maxsize=2)
@@ -127,7 +115,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
         return {id_col: batch.column(id_col).take(pa.array(rows, pa.int64())), "piece": piece, "start": start,
                 "length": length, "ids_crc32": crc, "ids": kept}
 
-    return map_batches(docs.select(id_col, text_col), run, ddl)
+    return map_batches(docs.select(id_col, text_col), run, ddl, rows=1500)
 
 
 # --- supersteps over runs -------------------------------------------------------
