@@ -51,6 +51,7 @@ def test_pii_validators_context_and_redaction():
     assert pii.score_span("card 4111111111111111", 5, 21, "card") > pii.score_span("order 4111111111111111", 6, 22, "card")
     assert pii.redact(text, 0.3) == "call phone [PHONE] or card [CARD], iban [IBAN]"
     assert pii.redact("version 1.2.3.4", 0.3) == "version 1.2.3.4" and pii.redact("at 1.2.3.4", 0.3) == "at [IP]"
+    assert pii.redact("the release runs at 10.1.2.3, version 1.2.3.4") == "the release runs at [IP], version [IP]"
 
 
 def test_pii_is_linear_in_hostile_texts():
@@ -250,3 +251,22 @@ def test_rank_files_are_read_as_given():
     with open(path, "rb") as f:
         token, rank = f.readline().split()
     assert ranks[base64.b64decode(token)] == int(rank) and len(ranks) == 50256
+
+
+def test_secrets_of_hard_rows_and_of_texts_with_many_matches(spark):
+    import random
+    import re
+
+    rnd = random.Random(11)
+    many = " ".join(rnd.choice(["%016x" % rnd.getrandbits(60), "%07x" % rnd.getrandbits(28), "x" * rnd.randint(0, 9)]) for _ in range(9000))
+    rows = HARD + [(30, many), (31, "token=abcdefghijklm " * 700), (32, "password: x " * 300 + "AKIA" + "Z" * 40)]
+    got = {}
+    for r in secrets.scan(docs_frame(spark, rows, extra=True)).select("id", "spans").collect():
+        got.setdefault(r.id, []).append([(s.start, s.kind_no, s.end) for s in r.spans])
+    for i, text in rows:
+        want = []
+        for k, kind in enumerate(secrets.KINDS):
+            pattern, group, least = secrets.PATTERNS[kind]
+            want += [(m.start(), k, m.end()) for m in re.finditer(pattern, text or "") if len(m[group]) >= least]
+        assert sorted(want) in got[i]
+    assert len(got[30][0]) > 2000 and len(got[31][0]) == 700 and len(got[None]) == 1
