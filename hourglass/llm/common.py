@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,10 +67,19 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
         for batch in batches:
             for part in slices_of(batch, rows):
                 yield to_batch(fn(part), target)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Give back what a finished task has freed: its worker process lives on, and counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def to_batch(columns: dict, target: pa.Schema) -> pa.RecordBatch:
     arrays = []
     for field in target:

@@ -287,7 +287,8 @@ def _cluster_links(members: DataFrame, scratch: Scratch, percent: int) -> DataFr
     """Links across components inside clusters; members: (cluster, cid, comp, n, shingles)."""
     totals = members.groupBy("cluster").agg(F.sum("n").alias("total"))
     dealt = members.join(totals.select("cluster", F.ceil(F.col("total") / BLOCK_TOKENS).cast("long").alias("blocks")), "cluster")
-    blocks = scratch.put(dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks"))
+    # Dealt anew: grouping the rows where the join left them would build all blocks of a cluster in one task.
+    blocks = scratch.put(dealt.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).repartition("cluster", "block")
                          .groupBy("cluster", "block").agg(F.max("blocks").alias("blocks"),
                                                           F.collect_list(F.struct("cid", "comp", "shingles")).alias("rows")), "blocks")
     first = blocks.select("cluster", F.col("block").alias("i"), F.col("rows").alias("rows_i"),

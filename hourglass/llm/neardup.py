@@ -187,7 +187,7 @@ def _block_links(pairs: DataFrame, members: DataFrame, scratch: Scratch, thresho
         "ball", F.ceil(F.col("size") / BLOCK_ROWS).cast("long").alias("chunks"))
     wanted = pairs.select(F.col("a").alias("ball")).unionByName(pairs.select(F.col("b").alias("ball"))).distinct()
     blocks = scratch.put(members.join(wanted, "ball", "left_semi").join(chunks, "ball")
-                         .withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks"))
+                         .withColumn("chunk", F.pmod(F.xxhash64("cls"), "chunks")).repartition("ball", "chunk")
                          .groupBy("ball", "chunk").agg(F.collect_list(F.struct("cls", "n", "vec")).alias("rows")), "blocks")
     target = arrow_schema("a long, b long, cls long, links long")
 

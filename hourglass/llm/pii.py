@@ -109,7 +109,7 @@ def score_span(text: str, start: int, end: int, kind: str) -> float:
     return round(min(1.0, max(0.0, score)), 4)
 
 
-def redact(text: str, threshold: float) -> str:
+def redact(text: str, threshold: float = 0.0) -> str:
     """The text with every span that scores at least the threshold replaced by its kind.
 
     Overlapping spans are replaced together, under the first one's kind.
@@ -136,10 +136,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return map_batches(docs.select(id_col, text_col), run, ddl)
 
 
-def redact_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.3, chars_col: str | None = None) -> DataFrame:
+def redact_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.0, chars_col: str | None = None) -> DataFrame:
     """The same rows and columns, texts redacted; null texts stay null.
 
-    ``threshold``: spans whose context speaks against them stay in the text.
+    ``threshold``: spans that score less stay in the text; by default every
+    confirmed span is replaced, whatever stands near it.
     ``chars_col``, if given, is set to the new length where a text changes.
     """
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

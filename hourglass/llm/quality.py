@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourglass.llm.common import map_batches, slices_of, texts_of
+from hourglass.llm.common import map_batches, release_memory, slices_of, texts_of
 from hourglass.llm.kernels import _hash_runs, byte_words, mix, slices
 
 TRAIN_ROWS = 6000
@@ -272,6 +272,7 @@ def keep_good(docs: DataFrame, model: dict, text_col: str = "text", threshold: f
         for batch in batches:
             for part in slices_of(batch):
                 yield part.filter(_mask(scores(part) >= threshold))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
