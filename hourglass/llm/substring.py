@@ -14,16 +14,20 @@ suffixes share a tree node at depth ``WIDTH``.
    share anchors, so about two in forty words are anchors. Anchor words that
    one document alone holds cannot start a shared node and go.
 3. Suffix groups. The windows of one anchor prefix form a group of bounded
-   size; a group builds its part of the tree by prefix doubling (names of
-   runs of 1, 2, 4, ... words up to ``WIDTH``) and keeps the nodes at that
-   depth whose suffixes start in several documents. A prefix with more than
-   ``GROUP_ANCHORS`` anchors is lengthened instead, twice. First to all the
-   windows of an anchor together (a unit, about twenty windows): where a
+   size, counted in places, not in documents; a task sorts the suffixes of
+   its groups by prefix doubling and takes the longest common prefixes of
+   neighbours, which is their suffix tree. An internal node ``WIDTH`` words
+   deep or deeper is a repeat; its smallest document marks the leaves of the
+   others, and runs of marked places are the maximal repeats. A prefix with
+   more than ``GROUP_ANCHORS`` places is lengthened instead, twice: a window
+   holds its anchor anywhere, so the prefix grows on both sides. First to all
+   the windows of an anchor together (a unit, about twenty windows): where a
    smaller document holds the same unit all of them are covered. Then, for
    the first holder of each unit alone, to the single window. (A window in a
    smaller document lies in a unit whose first holder is smaller still, so
-   first holders are enough.) Each time only the smallest id of equal
-   suffixes is needed, a minimum that combines on the map side.
+   first holders are enough.) Such a long prefix is a leaf's whole path: only
+   the smallest id of equal ones is needed, a minimum that combines on the
+   map side.
 4. The covered ranges of every document are merged and cut out of its text.
 
 Words are compared by 32-bit hashes, fifty in a row inside a group of equal
@@ -31,6 +35,8 @@ anchors, and by 64-bit hashes of whole windows in lengthened groups.
 
 Defined cases: words are runs without ASCII white space; null, empty and
 white-space texts have no words; texts shorter than a window lose nothing;
+very long texts are scanned whole, and a phrase that one repeats is counted in
+places, so it lengthens its prefix; ties in the order of suffixes do not occur;
 rows with equal ids do not act on each other, repeated rows get equal
 results; a row with a null id stays whole and acts on none; an empty table
 gives no rows; other columns are ignored by ``repeated_ranges`` and kept by
@@ -47,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.llm.common import Scratch, arrow_schema, map_batches, slices_of, texts_of, to_batch
-from hourglass.llm.kernels import combine, hash_texts, slices, windows
+from hourglass.llm.kernels import hash_texts, slices, windows
 
 WIDTH = 50
 PREFIX = 10
@@ -87,14 +93,16 @@ def anchor_runs(words: np.ndarray, width: int, prefix: int) -> tuple[np.ndarray,
 
 
 def scan_texts(docs: DataFrame, id_col: str, text_col: str, width: int, prefix: int) -> DataFrame:
-    """(doc_id, same, tag, n_words, whole_sha256, anchors) of every row.
+    """(doc_id, same, tag, n_words, whole_sha256, anchors, places) of every row.
 
-    ``same`` is the digest of the text, ``tag`` its first 8 bytes as a number.
+    ``same`` is the digest of the text, ``tag`` its first 8 bytes as a number,
+    ``places`` how often each anchor prefix is an anchor of the text.
     """
-    ddl = (f"doc_id {dict(docs.dtypes)[id_col]}, same binary, tag long, n_words long, whole_sha256 string, anchors array<long>")
+    ddl = (f"doc_id {dict(docs.dtypes)[id_col]}, same binary, tag long, n_words long, whole_sha256 string, "
+           "anchors array<long>, places array<int>")
 
     def run(batch):
-        out = {k: [] for k in ("same", "tag", "n_words", "whole_sha256", "anchors")}
+        out = {k: [] for k in ("same", "tag", "n_words", "whole_sha256", "anchors", "places")}
         texts = [t.encode("utf-8", "surrogatepass") for t in texts_of(batch, text_col)]
         for a, b in slices([len(t) for t in texts]):
             words, first = hash_texts(texts[a:b])
@@ -104,7 +112,9 @@ def scan_texts(docs: DataFrame, id_col: str, text_col: str, width: int, prefix:
                 out["tag"].append(int.from_bytes(digest[:8], "little", signed=True))
                 out["n_words"].append(j - i)
                 out["whole_sha256"].append(hashlib.sha256(b" ".join(text.split())).hexdigest())
-                out["anchors"].append(np.unique(anchor_runs(words[i:j], width, prefix)[0]).view(np.int64))
+                anchors, places = np.unique(anchor_runs(words[i:j], width, prefix)[0], return_counts=True)
+                out["anchors"].append(anchors.view(np.int64))
+                out["places"].append(places.astype(np.int32))
         return {"doc_id": batch.column(id_col), **out}
 
     return map_batches(docs.select(id_col, text_col), run, ddl)
@@ -113,29 +123,80 @@ def scan_texts(docs: DataFrame, id_col: str, text_col: str, width: int, prefix:
 # --- suffix groups -----------------------------------------------------------------------
 
 
-def shared_suffixes(words: list[np.ndarray], n_windows: np.ndarray, doc: np.ndarray, width: int) -> list[np.ndarray]:
+def suffix_order(symbols: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(places in the order of their suffixes, ranks of the runs of 1, 2, 4, ... symbols at every place).
+
+    Prefix doubling, exact. The last symbol must occur once, as must one
+    between any two texts: then no two suffixes are equal.
+    """
+    n = len(symbols)
+    levels, size, key = [], 1, symbols
+    while True:
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
+        levels.append(rank)
+        if n == 0 or rank[order[-1]] == n - 1:
+            return order, levels
+        ahead = np.zeros(n, np.int64)
+        ahead[:-size] = rank[size:] + 1
+        key, size = rank * (n + 1) + ahead, size * 2
+
+
+def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
+    """The longest common prefix of each suffix with the next one of ``order``, in symbols."""
+    left, right = order[:-1].copy(), order[1:].copy()
+    for level in range(len(levels) - 1, -1, -1):
+        ranks, size = levels[level], 1 << level
+        # Equal runs hold no separator, so a place never leaves the array.
+        step = np.where(ranks[left] == ranks[right], size, 0)
+        left, right = left + step, right + step
+    return left - order[:-1]
+
+
+def deep_nodes(common: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The topmost internal nodes of at least ``depth`` symbols, as [first, end) of leaves in suffix order."""
+    edge = np.flatnonzero(np.diff(np.r_[False, common >= depth, False].astype(np.int8)))
+    return edge[::2], edge[1::2] + 1
+
+
+def shared_suffixes(words: list[np.ndarray], n_windows: np.ndarray, doc: np.ndarray, width: int,
+                    group: np.ndarray | None = None) -> list[np.ndarray]:
     """For each context the flags of its windows that also start in a smaller document of the group.
 
-    The contexts lie end to end; names of runs of 1, 2, 4, ... words give each
-    suffix its node at depth ``width``; a node's smallest document marks the
-    suffixes of the others.
+    The contexts lie end to end, each closed by a symbol of its own; words of
+    different groups are different symbols. Sorted suffixes and their longest
+    common prefixes are the groups' suffix trees: an internal node ``width``
+    words deep or deeper is a repeat, its leaves are the places where it
+    starts, and its smallest document marks the leaves of the others. The runs
+    of marked places are the maximal repeats.
     """
-    sizes = np.array([len(w) for w in words])
+    sizes = np.array([len(w) for w in words]) + 1
     begin = np.cumsum(sizes) - sizes
-    flat = np.concatenate(words).astype(np.uint64)
-    node = windows(flat, width)
-    total = int(n_windows.sum())
-    first = np.cumsum(n_windows) - n_windows
-    context = np.repeat(np.arange(len(words)), n_windows)
-    start = np.arange(total) - np.repeat(first, n_windows) + np.repeat(begin, n_windows)
-    name, owner = node[start], doc[context]
-    order = np.lexsort((owner, name))
-    name, owner = name[order], owner[order]
-    head = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
-    smallest = np.repeat(owner[head], np.diff(np.r_[head, total]))
-    flags = np.empty(total, bool)
-    flags[order] = smallest < owner
-    return np.split(flags, first[1:])
+    group = np.zeros(len(words), np.uint64) if group is None else group.astype(np.uint64)
+    flat = np.zeros(int(sizes.sum()), np.uint64)
+    closing = begin + sizes - 1
+    inside = np.ones(len(flat), bool)
+    inside[closing] = False
+    flat[inside] = np.concatenate(words).astype(np.uint64) | (np.repeat(group, sizes - 1) << np.uint64(32))
+    symbols = np.zeros(len(flat), np.int64)
+    symbols[inside] = np.unique(flat[inside], return_inverse=True)[1]
+    symbols[closing] = len(flat) + np.arange(len(words))
+    order, levels = suffix_order(symbols)
+    # Leaves: the suffixes that start a window.
+    context = np.repeat(np.arange(len(words)), sizes)
+    leaf = np.arange(len(flat)) - begin[context] < n_windows[context]
+    order = order[leaf[order]]
+    first, end = deep_nodes(common_prefixes(order, levels), width)
+    marked = np.zeros(len(flat), bool)
+    if len(first):
+        owner = doc[context[order]]
+        node = np.repeat(np.arange(len(first)), end - first)
+        below = np.arange(int((end - first).sum())) - np.repeat(np.cumsum(end - first) - (end - first), end - first) + first[node]
+        smallest = np.minimum.reduceat(owner[below], np.cumsum(end - first) - (end - first))
+        marked[order[below]] = smallest[node] < owner[below]
+    return [marked[b:b + n] for b, n in zip(begin.tolist(), n_windows.tolist())]
 
 
 def _ranges(flags: np.ndarray, lo: int) -> list[tuple[int, int]]:
@@ -155,11 +216,10 @@ def _group_contexts(members: DataFrame, width: int, spread: int) -> DataFrame:
 
     def solve(rows: list[dict]) -> pa.RecordBatch:
         words = [np.frombuffer(r["words"], np.uint32) for r in rows]
-        # Words of different prefixes never meet: the prefix is mixed into them.
-        salted = [combine(np.full(len(w), np.int64(r["prefix"]), np.int64).view(np.uint64), w.astype(np.uint64))
-                  for w, r in zip(words, rows)]
         n = np.array([len(w) - width + 1 for w in words])
-        flags = shared_suffixes(salted, n, np.array([r["doc_id"] for r in rows], np.int64), width)
+        # Words of different prefixes never meet.
+        group = np.unique([r["prefix"] for r in rows], return_inverse=True)[1]
+        flags = shared_suffixes(words, n, np.array([r["doc_id"] for r in rows], np.int64), width, group)
         out = [(r["doc_id"], r["tag"], s, e) for r, f in zip(rows, flags) for s, e in _ranges(f, r["lo"])]
         return to_batch(dict(zip(target.names, zip(*out) if out else ([], [], [], []))), target)
 
@@ -188,12 +248,13 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     spark = docs.sparkSession
     scanned = scratch.put(scan_texts(docs, id_col, text_col, width, prefix), "scanned")
     smallest = scanned.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
-    rows = scratch.put(scanned.drop("anchors").join(smallest.select("same", "doc_id", F.lit(False).alias("copy")), ["same", "doc_id"], "left")
+    rows = scratch.put(scanned.drop("anchors", "places").join(smallest.select("same", "doc_id", F.lit(False).alias("copy")), ["same", "doc_id"], "left")
                        .withColumn("is_copy", F.coalesce("copy", F.col("doc_id").isNotNull())).drop("copy"), "rows")
     firsts = scanned.filter(F.size("anchors") > 0).join(smallest.select("same", "doc_id"), ["same", "doc_id"], "left_semi")
-    filed = firsts.select("doc_id", "tag", F.explode("anchors").alias("prefix")).distinct()
-    live = filed.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo < hi")
-    wanted = scratch.put(filed.join(live.select("prefix", (F.col("docs") > group_anchors).alias("long")), "prefix")
+    filed = (firsts.select("doc_id", "tag", F.explode(F.arrays_zip("anchors", "places")).alias("a"))
+             .select("doc_id", "tag", F.col("a.anchors").alias("prefix"), F.col("a.places").alias("places")).distinct())
+    live = filed.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("places").alias("places")).filter("lo < hi")
+    wanted = scratch.put(filed.drop("places").join(live.select("prefix", (F.col("places") > group_anchors).alias("long")), "prefix")
                          .groupBy("doc_id", "tag").agg(F.collect_list(F.struct("prefix", "long")).alias("prefixes")), "wanted")
     texts = docs.select(F.col(id_col).alias("doc_id"), text_col).filter(F.col(id_col).isNotNull()).select(
         "doc_id", F.coalesce(text_col, F.lit("")).alias("text"))
@@ -308,25 +369,20 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     it, is set to the new length where a text changes.
     """
     rows, ranges = repeated_ranges(docs, scratch, id_col, text_col, width)
-    cut = scratch.put(_cut(docs, ranges, id_col, text_col, with_text=True).select(
-        F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("kept").alias("__kept")), "cut")
-    lost = rows.filter(F.col("is_copy") & (F.col("n_words") >= width)).select(
-        F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.lit("").alias("__kept"))
-    changed = cut.unionByName(lost).dropDuplicates(["__id", "__tag"])
-    tagged = docs.withColumn("__digest", F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 16))
-    changed = changed.withColumn("__digest", _tag_hex(F.col("__tag")))
-    joined = tagged.join(changed.drop("__tag"), (tagged[id_col] == changed["__id"]) & (tagged["__digest"] == changed["__digest"]), "left").drop(changed["__digest"])
-    new_text = F.coalesce("__kept", text_col)
-    out = joined.filter(F.col("__kept").isNull() | (F.col("__kept") != ""))
-    cols = []
-    for c in docs.columns:
-        if c == text_col:
-            cols.append(new_text.alias(c))
-        elif chars_col and c == chars_col:
-            cols.append(F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
-        else:
-            cols.append(F.col(f"`{c}`"))
-    return out.select(*cols)
+    cut = scratch.put(_cut(docs, ranges, id_col, text_col, with_text=True).select("doc_id", "tag", "kept"), "cut")
+    lost = rows.filter(F.col("is_copy") & (F.col("n_words") >= width)).select("doc_id", "tag", F.lit("").alias("kept"))
+    changed = cut.unionByName(lost).dropDuplicates(["doc_id", "tag"]).select("doc_id", _tag_hex(F.col("tag")).alias("digest"), "kept")
+    # The table's own columns travel in a struct, so that none of their names can clash.
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 16).alias("digest"))
+    own = F.col("row").getField
+    joined = (tagged.withColumn("doc_id", own(id_col)).join(changed, ["doc_id", "digest"], "left")
+              .filter(F.col("kept").isNull() | (F.col("kept") != "")))
+    values = {c: own(c) for c in docs.columns}
+    values[text_col] = F.coalesce("kept", values[text_col])
+    if chars_col in values:
+        values[chars_col] = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(own(chars_col)).cast(docs.schema[chars_col].dataType)
+    return joined.select(*[v.alias(c) for c, v in values.items()])
 
 
 def _tag_hex(tag):

@@ -179,14 +179,49 @@ def test_substring_equals_brute_force(spark, scratch, group_anchors):
 
 def test_substring_removal_keeps_columns_and_drops_emptied(spark, scratch):
     rows = passages(12)
-    got = substring.remove_repeats(docs_frame(spark, rows, extra=True), scratch)
+    clash = docs_frame(spark, rows, extra=True)
+    for c in ("__digest", "__kept", "__id", "__tag", "digest", "kept", "tag"):
+        clash = clash.withColumn(c, F.lit("own"))
+    got = substring.remove_repeats(clash, scratch)
     want = {i: (kept if gone else dict(rows)[i]) for i, n, gone, _, kept in brute_kept(rows, 50) if not (gone and not kept)}
     assert {r.doc_id: r.text for r in got.collect()} == want
-    assert got.columns == docs_frame(spark, rows, extra=True).columns
-    assert all(r.n_chars == len(r.text) for r in got.collect())
+    assert got.columns == clash.columns
+    assert all(r.n_chars == len(r.text) and r.kept == r.digest == r["__digest"] == "own" for r in got.collect())
     assert substring.digest_kept(spark.createDataFrame([], DOCS), scratch).count() == 0
 
 
+def test_suffix_trees_equal_brute_force():
+    rnd = random.Random(5)
+    for _ in range(100):
+        words = [np.array([rnd.randint(0, 2) for _ in range(rnd.randint(5, 40))], np.uint32) for _ in range(rnd.randint(1, 9))]
+        doc, group = (np.array([rnd.randint(0, 4) for _ in words]) for _ in range(2))
+        flags = substring.shared_suffixes(words, np.array([len(w) - 4 for w in words]), doc, 5, group)
+        least = {}
+        for w, d, g in zip(words, doc, group):
+            for k in range(len(w) - 4):
+                key = (g, tuple(w[k:k + 5]))
+                least[key] = min(d, least.get(key, d))
+        for w, d, g, f in zip(words, doc, group, flags):
+            assert f.tolist() == [least[g, tuple(w[k:k + 5])] < d for k in range(len(w) - 4)]
+        flat = np.concatenate([np.r_[w, 100 + i] for i, w in enumerate(words)]).astype(np.int64)
+        order, levels = substring.suffix_order(flat)
+        assert order.tolist() == sorted(range(len(flat)), key=lambda i: flat[i:].tolist())
+        for i, j, n in zip(order[:-1], order[1:], substring.common_prefixes(order, levels)):
+            assert flat[i:i + n].tolist() == flat[j:j + n].tolist() and (flat[i + n:i + n + 1] != flat[j + n:j + n + 1]).all()
+
+
+def test_substring_long_unequal_texts_and_a_phrase_one_text_repeats(spark, scratch):
+    rnd = random.Random(6)
+    long = [f"w{i}" for i in range(30000)]
+    other = [*long[:9000], "x", *long[9000:20000], *[f"v{i}" for i in range(9000)]]
+    phrase = [f"p{i}" for i in range(60)]
+    many = [w for i in range(400) for w in [*phrase, f"n{rnd.random()}"]]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(many)), (4, " ".join(["a", *phrase, "b"]))]
+    rows += [(5, " ".join(reversed(long))), (6, " ".join(many[100:]))]
+    got = substring.digest_kept(docs_frame(spark, rows), scratch).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got} == {x[:4] for x in brute_kept(rows, 50)}
+
+
 def vectors(spark, seed, n=400, d=24):
     """Random vectors, a large tight group, pairs around the threshold, copies, and rows that take no part."""
     rng = np.random.default_rng(seed)
