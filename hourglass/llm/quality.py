@@ -12,7 +12,9 @@
    scores every document by its features alone.
 
 Defined cases: null, empty and white-space texts have no features and no
-votes, score ``EMPTY_SCORE`` and are rejected; repeated rows score alike; a
+votes, score ``EMPTY_SCORE`` and are rejected; short texts lean to being kept
+by a fixed share; very long texts count whole; repeated rows score alike; a
+score equal to the threshold keeps; ties of the sample's hash go by id; a
 null id stays null; an empty table gives no rows; other columns are ignored
 by ``score_quality`` and kept by ``keep_good``. Where no labeller votes both
 ways there is nothing to fit and every document with words is kept.
@@ -30,9 +32,11 @@ from hourglass.llm.kernels import _hash_runs, byte_words, mix, slices
 TRAIN_ROWS = 6000
 DIMENSIONS = 1024
 THRESHOLD = 0.5
-# A short text says little: its score is drawn to the corpus share of good
-# documents as if so many more words had been read.
+# A short text says little: its score is drawn towards keeping, as if so many
+# more words had been read of which this share speaks for it. Both are fixed,
+# so that a document's fate does not turn with the corpus share of good ones.
 PRIOR_WORDS = 8
+PRIOR_GOOD = 0.85
 EMPTY_SCORE = 0.0
 ABSTAIN = 2
 LABELLERS = ("shouting", "symbols", "repeats", "variety", "cells", "function_words", "sentences")
@@ -231,8 +235,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
 
 def _score_column(model: dict, text_col: str):
     weights, dimensions = model["weights"], model["dimensions"]
-    share = model["labellers"]["prior"] if model["labellers"] else 0.5
-    prior = float(np.log(share / (1 - share)))
+    prior = float(np.log(PRIOR_GOOD / (1 - PRIOR_GOOD)))
 
     def scores(batch) -> np.ndarray:
         texts = texts_of(batch, text_col)

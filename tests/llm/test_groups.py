@@ -265,14 +265,16 @@ def test_neardup_equals_brute_force(spark, scratch):
     assert neardup.near_duplicates(spark.createDataFrame([], frame.schema), scratch).count() == 0
 
 
-def test_neardup_hash_meets_pairs_at_the_threshold():
+@pytest.mark.parametrize("dimension, rows", [(64, 1500), (768, 400)])
+def test_neardup_hash_meets_pairs_at_the_threshold(dimension, rows):
     rng = np.random.default_rng(3)
-    a = rng.normal(size=(1500, 64))
+    a = rng.normal(size=(rows, dimension))
     a /= np.linalg.norm(a, axis=1)[:, None]
     b = rng.normal(size=a.shape)
     b -= (a * b).sum(axis=1)[:, None] * a
     b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1)[:, None]
-    k, probes, tables = neardup.parameters(50_000, 64)
+    k, probes, tables = neardup.parameters(50_000, dimension)
+    assert tables >= neardup.parameters(50_000, 64)[2]
     met = np.zeros(len(a), bool)
     for t in range(tables):
         x, y = neardup.bucket_ids(a, t, k, probes), neardup.bucket_ids(b, t, k, probes)

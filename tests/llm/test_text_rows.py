@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -164,6 +165,61 @@ def test_quality_em_finds_a_bad_labeller():
     assert accuracy[:3].min() > 0.8 and accuracy[3] < 0.7
 
 
+def test_quality_short_texts_do_not_turn_with_the_corpus(spark):
+    from hourglass.llm.common import read_table
+    sf = "/root/testdata/sf0.01"
+    docs, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    model = quality.train(docs)
+    few = {**model, "labellers": {**model["labellers"], "prior": 0.1}}
+    want = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    assert {r.doc_id: r.score for r in quality.score_quality(docs, few).collect()} == want
+    short = docs.filter("size(split(trim(text), '\\\\s+')) < 12 and length(trim(text)) > 0")
+    rows = quality.score_quality(short, model).join(labels, "doc_id").collect()
+    assert rows and all(r.keep for r in rows if r.quality == 1)
+
+
+def test_quality_scorer_equals_plain_gradient_descent():
+    rng = np.random.default_rng(8)
+    x = rng.random((40, 6)).astype(np.float32)
+    target = rng.random(40).astype(np.float32)
+    w, step = [0.0] * 7, [0.0] * 7
+    share = sum(target.tolist()) / 40
+    for _ in range(30):
+        slope = [1e-4 * v for v in w]
+        for row, t in zip(x.tolist(), target.tolist()):
+            row = row + [1.0]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(row, w))))
+            weight = t * 0.5 / share + (1 - t) * 0.5 / (1 - share)
+            for j in range(7):
+                slope[j] += weight * (p - t) * row[j] / 40
+        step = [0.9 * a - 0.4 * g for a, g in zip(step, slope)]
+        w = [a + b for a, b in zip(w, step)]
+    assert np.allclose(quality.fit_linear(x, target, rounds=30), w, atol=1e-3)
+
+
+def test_quality_em_equals_plain_loops():
+    counts = {"110": 30, "111": 50, "001": 20, "000": 15, "212": 9, "021": 4}
+    good = {p: 0.95 if "0" not in p else 0.6 if p.count("0") == 1 else 0.1 for p in counts}
+    for _ in range(100):
+        prior = (sum(good[p] * n for p, n in counts.items()) + 1) / (sum(counts.values()) + 2)
+        acc = {}
+        for j in range(3):
+            for k in (0, 1):
+                share = {p: (good[p] if k else 1 - good[p]) * n for p, n in counts.items() if p[j] != "2"}
+                right = sum(m for p, m in share.items() if p[j] == str(k))
+                acc[j, k] = min(max((right + 2) / (sum(share.values()) + 3), 0.005), 0.995)
+        for p in counts:
+            odds = [1 - prior, prior]
+            for j in range(3):
+                for k in (0, 1):
+                    if p[j] != "2":
+                        odds[k] *= acc[j, k] if p[j] == str(k) else 1 - acc[j, k]
+            good[p] = odds[1] / sum(odds)
+    fitted = quality.fit_labellers(counts, rounds=100)
+    assert all(abs(fitted["posterior"][p] - good[p]) < 1e-3 for p in counts)
+    assert all(abs(fitted["accuracy"][j, k] - acc[j, k]) < 1e-3 for j, k in acc)
+
+
 def test_quality_hard_rows(spark):
     df = docs_frame(spark, HARD, extra=True)
     model = quality.train(df)
