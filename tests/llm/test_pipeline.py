@@ -53,3 +53,24 @@ def test_run_is_registered_and_equals_its_stages(spark):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset"} <= set(rows[0].asDict())
+
+
+def test_stages_on_hard_rows_and_empty_tables(spark):
+    """Nulls, empty and long texts, repeated rows and clashing names: every stage keeps the columns and the clean rows."""
+    from .conftest import HARD, docs_frame
+    rows = HARD + [(20, "write to a@b.example or 10.1.2.3 today"), (20, "write to a@b.example or 10.1.2.3 today")]
+    for docs in (docs_frame(spark, rows, extra=True), docs_frame(spark, [], extra=True)):
+        empty = docs.isEmpty()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert (not got) if empty else any(r.doc_id == 20 for r in got), name
+            assert all(r.spans == r.id == r.score == r.row == "x" for r in got), name
+            if name == "near_duplicates" and not empty:
+                assert sorted(r.doc_id for r in got if r.doc_id in (7, 8)) == [7]
+            if name == "personal_data" and not empty:
+                assert all("a@b" not in (r.text or "") and "10.1.2.3" not in (r.text or "") for r in got)
+                assert all(r.n_chars == len(r.text) for r in got if r.text)
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert (not pieces) if empty else {r.doc_id for r in pieces} == {i for i, _ in rows}
