@@ -12,6 +12,12 @@ stage's ``docs``. All stages but the last return the columns of documents.
    words goes.
 4. ``personal_data``: confirmed spans become their kind in brackets.
 5. ``packing``: ids, cut at 2048, packed into sequences; one row per piece.
+
+Defined cases: ``quality`` rejects null, empty and white-space texts; a null
+id stays where the text is good (it links with nothing, loses no passage, is
+redacted and packed); of equal texts the smallest id stays, and rows that
+repeat an id stay or go together; very long texts are read whole; an empty
+table gives no rows; further columns keep their names and values.
 """
 
 from __future__ import annotations
