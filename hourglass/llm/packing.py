@@ -5,19 +5,15 @@
 2. The pieces are range-sorted by (length, id, piece); a piece's rank among
    the pieces of its length is its place in its partition plus the counts of
    the partitions before it.
-3. Supersteps, longest length first. The state is two lists of runs: open
-   sequences by gap, and the pieces of the superstep's length by rank. A
-   sweep finds each rank's successor (the smallest gap that still holds it);
-   ranks that want the same gap are served in rank order, as many as fit;
-   the gaps are updated; ranks without a successor open new sequences; the
-   next superstep follows. A run stands for any number of equal sequences,
-   so the state is bounded by the capacity (its lengths and gaps), not by
-   the data; it holds no ids of documents.
-4. Each superstep leaves placements (length, first rank, first sequence,
-   offset, pieces per sequence). The pieces look theirs up by (length, rank)
-   in one distributed pass.
-
-The result is that of sequential best-fit decreasing over all pieces.
+3. Successor sweeps match lengths with gaps, settle conflicts by rank, shrink
+   the gaps and repeat until all is placed (``sweeps``). They run on Spark
+   over runs of equal lengths and gaps, which hold no ids of documents.
+4. Each sweep leaves placements (length, first rank, first sequence, offset,
+   pieces per sequence). The pieces look theirs up by (length, rank) in one
+   distributed pass.
+
+The number of sequences is that of sequential best-fit decreasing or close to
+it (0.2 % more at most on the given tables; it can be fewer).
 
 Defined cases: null text is empty text (one piece: the end id alone);
 repeated rows and ids are packed each; ties of equal length go by (id,
@@ -30,7 +26,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourglass.llm import sweeps
 from hourglass.llm.common import Generations, Scratch, arrow_schema, map_batches, one_thread, texts_of, to_batch
 
 CAPACITY = 2048
@@ -118,58 +114,6 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_i
     return map_batches(docs.select(id_col, text_col), run, ddl, rows=1500)
 
 
-# --- supersteps over runs -------------------------------------------------------
-
-
-def place_runs(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Placements (length, first rank, first sequence, offset, per sequence) and the number of sequences.
-
-    ``counts``: pieces by length. One superstep per length, longest first.
-    """
-    gaps: list[int] = []                              # levels that have runs, ascending
-    runs: dict[int, list[tuple[int, int]]] = {}       # gap -> runs (first sequence, how many)
-    placed: list[tuple[int, int, int, int, int]] = []
-    n_seq = 0
-
-    def add(gap: int, first: int, many: int) -> None:
-        if gap > 0 and many > 0:
-            if gap not in runs:
-                runs[gap] = []
-                insort(gaps, gap)
-            runs[gap].append((first, many))
-
-    def serve(length: int, rank: int, left: int, gap: int, first: int, many: int) -> int:
-        """Ranks from ``rank`` on take the run's sequences, each as many as fit; returns how many ranks were served."""
-        fit = gap // length
-        full = min(many, left // fit)
-        rest = min(left - full * fit, fit - 1) if full < many else 0
-        if full:
-            placed.append((length, rank, first, capacity - gap, fit))
-            add(gap - fit * length, first, full)
-        if rest:
-            placed.append((length, rank + full * fit, first + full, capacity - gap, rest))
-            add(gap - rest * length, first + full, 1)
-        add(gap, first + full + bool(rest), many - full - bool(rest))
-        return full * fit + rest
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)            # the successor: the smallest gap that holds the length
-            if at < len(gaps):
-                gap = gaps[at]
-                first, many = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap]
-                    gaps.pop(at)
-            else:
-                gap, first, many = capacity, n_seq, -(-left // (capacity // length))
-                n_seq += many
-            done = serve(length, rank, left, gap, first, many)
-            rank, left = rank + done, left - done
-    return placed, n_seq
-
-
 # --- the distributed packing ----------------------------------------------------
 
 
@@ -210,7 +154,10 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, order: t
     for part, length, n in tally:
         before[part, length] = counts.get(length, 0)
         counts[length] = counts.get(length, 0) + n
-    placed, _ = place_runs(counts, capacity)
+    lengths = spark.createDataFrame(list(counts.items()), "size long, many long")      # one row per length
+    found, _ = sweeps.place_runs(lengths, scratch, capacity)
+    # The placements follow the lengths and the sweeps, not the documents.
+    placed = [tuple(r) for r in found.select("size", "first", "seq", "offset", "per").collect()]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     if not placed:
         return numbered.drop("part", "nth").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})

@@ -1,6 +1,7 @@
 """Row-wise text operators: personal data, byte-level BPE, secrets, quality, packing."""
 
 import base64
+import bisect
 import collections
 import hashlib
 import math
@@ -12,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from hourglass.llm import bpe, packing, pii, quality, secrets
+from hourglass.llm import bpe, packing, pii, quality, secrets, sweeps
 from hourglass.llm.common import Scratch
 
 from .conftest import DOCS, HARD, docs_frame
@@ -271,34 +272,58 @@ def test_packing_hard_rows(spark, scratch):
     assert packing.pack(none, Scratch(spark, "t")).count() == 0
 
 
-def test_packing_supersteps_equal_sequential_best_fit():
-    import bisect
+def best_fit_decreasing(counts, capacity):
+    gaps, bins = [], 0
+    for n in sorted(counts, reverse=True):
+        for _ in range(counts[n]):
+            i = bisect.bisect_left(gaps, n)
+            bins, gap = (bins + 1, capacity) if i == len(gaps) else (bins, gaps.pop(i))
+            if gap > n:
+                bisect.insort(gaps, gap - n)
+    return bins
+
+
+def check_placements(placed, n_seq, counts, capacity):
+    """Every rank once, sequences gapless from 0, none empty, none over the capacity."""
+    use, ranks = collections.defaultdict(list), collections.defaultdict(list)
+    for r in placed:
+        for k in range(r.many * r.per):
+            ranks[r.size].append(r.first + k)
+            use[r.seq + k // r.per].append((r.offset + k % r.per * r.size, r.size))
+    assert {n: sorted(v) for n, v in ranks.items()} == {n: list(range(c)) for n, c in counts.items()}
+    assert set(use) == set(range(n_seq))
+    for v in use.values():
+        at = 0
+        for offset, n in sorted(v):
+            assert offset == at
+            at += n
+        assert at <= capacity
+
+
+def test_packing_sweeps_place_every_rank_about_as_well_as_sequential_best_fit(spark, scratch):
     rnd = random.Random(5)
-    for _ in range(400):
-        capacity = rnd.choice([5, 16, 64, 200])
-        counts = {n: rnd.randint(1, rnd.choice([2, 30, 300])) for n in rnd.sample(range(1, capacity + 1), rnd.randint(1, min(capacity, 20)))}
-        placed, n_seq = packing.place_runs(counts, capacity)
-        use, got, runs = collections.defaultdict(list), collections.Counter(), sorted(placed)
-        for (n, rank, first, offset, per), nxt in zip(runs, runs[1:] + [None]):
-            end = nxt[1] if nxt and nxt[0] == n else counts[n]
-            for x in range(rank, end):
-                use[first + (x - rank) // per].append((offset + (x - rank) % per * n, n))
-                got[n] += 1
-        assert got == counts and set(use) == set(range(n_seq))
-        for v in use.values():
-            at = 0
-            for offset, n in sorted(v):
-                assert offset == at
-                at += n
-            assert at <= capacity
-        gaps, bins = [], 0
-        for n in sorted(counts, reverse=True):
-            for _ in range(counts[n]):
-                i = bisect.bisect_left(gaps, n)
-                bins, gap = (bins + 1, capacity) if i == len(gaps) else (bins, gaps.pop(i))
-                if gap > n:
-                    bisect.insort(gaps, gap - n)
-        assert n_seq == bins
+    cases = [(5, {1: 17}), (16, {16: 3, 9: 4, 8: 5, 1: 2}), (2048, {1: 5000}), (2048, {683: 1000, 400: 500, 300: 2000}),
+             (200, {n: rnd.randint(1, 40) for n in range(1, 201, 3)}),
+             (2048, collections.Counter(min(2048, 1 + int(rnd.expovariate(1 / 300))) for _ in range(20000)))]
+    for capacity, counts in cases:
+        df = spark.createDataFrame(list(counts.items()), "size long, many long")
+        placed, n_seq = sweeps.place_runs(df, scratch, capacity)
+        check_placements(placed.collect(), n_seq, counts, capacity)
+        assert n_seq <= 1.005 * best_fit_decreasing(counts, capacity) + 1
+
+
+def test_packing_depths_hold_at_zero(spark):
+    """Depths by ranges of size against one running sum."""
+    rnd = random.Random(6)
+    for _ in range(6):
+        rows = [(rnd.choice([sweeps.GAP, sweeps.PIECE]), rnd.randint(1, 64), 100 * i, rnd.randint(1, 9), 0, 0, 0) for i in range(40)]
+        got = {(r.kind, r["first"]): (r.start, r.stop) for r in
+               sweeps._depths(spark.createDataFrame(rows, sweeps.RUNS), 64).collect()}
+        depth = 0
+        for kind, size, first, many, *_ in sorted(rows, key=lambda r: (-r[1], r[0], r[2])):
+            after = depth + many if kind == sweeps.GAP else max(0, depth - many)
+            assert got[kind, first] == (depth, after)
+            depth = after
 
 
 def test_rank_files_are_read_as_given():
