@@ -20,8 +20,8 @@ One sweep:
 4. The gaps shrink, and the runs left over go on.
 
 At first as many sequences are open as the sum of all lengths needs. Lengths
-go in classes (down to ``CLASS`` of the longest left), so that short pieces
-do not take what long ones need; a class sweeps until it is placed, and where
+go in classes (down to ``CLASS`` of the longest left, at last all up to ``LAST``
+of the capacity), so that short pieces do not take what long ones need; a class sweeps until it is placed, and where
 no gap holds its lengths, sequences for their sum are opened. Each sweep's
 table is written, so lost executors repeat one sweep at most.
 """
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from hourglass.llm.common import Scratch
 
 CLASS = 0.5
+LAST = 0.25
 # Ranges of size, and of depth, that a sweep deals over tasks.
 RANGES = 64
 GAP, PIECE, PLACED = 0, 1, 2
@@ -59,7 +60,7 @@ def place_runs(counts: DataFrame, scratch: Scratch, capacity: int) -> tuple[Data
         longest = counts.filter(F.col("size") < upper).agg(F.max("size")).first()[0]
         if longest is None:
             break
-        lower = max(1, int(longest * CLASS))
+        lower = int(longest * CLASS) if longest > capacity * LAST else 1
         fresh = counts.filter(F.col("size").between(lower, upper - 1))
         state = gaps.unionByName(fresh.select(F.lit(PIECE).alias("kind"), "size", F.lit(0).cast("long").alias("first"), "many",
                                               *[F.lit(0).cast("long").alias(c) for c in ("seq", "offset", "per")]))
