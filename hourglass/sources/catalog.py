@@ -34,7 +34,9 @@ def create_table_as(df: DataFrame, name: str, path: str, fmt: str = "parquet", p
     ``mode``: ``create`` raises where the name is taken, ``ignore`` keeps what
     is there, ``replace`` names the new files instead; as the data stay where
     they are, a replacement goes to a path of its own and readers of the old
-    files are not disturbed.
+    files are not disturbed. Rows are brought together by ``partition_by``
+    before the write: a folder gets one file, or a few where it is large,
+    and not one from every task.
     """
     spark = df.sparkSession
     if mode not in ("create", "ignore", "replace"):
@@ -43,6 +45,8 @@ def create_table_as(df: DataFrame, name: str, path: str, fmt: str = "parquet", p
         return spark.table(name)
     if mode == "replace":
         spark.sql(f"DROP TABLE IF EXISTS {quote_name(name)}")
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.writeTo(quote_name(name)).using(fmt).option("path", path)
     if partition_by:
         writer = writer.partitionedBy(*[F.col(c) for c in partition_by])

@@ -65,6 +65,13 @@ def test_table_as_select_modes_and_views(spark, scratch_dir):
         catalog.create_table_as(rows, name, f"{scratch_dir}/x", mode="append")
 
 
+def test_table_as_select_gathers_partitions(spark, scratch_dir):
+    rows = spark.range(0, 4000, 1, 8).select(F.when(F.col("id") % 40 > 0, F.col("id") % 40).alias("k"), "id")
+    out = catalog.create_table_as(rows, f"t_{uuid.uuid4().hex}", f"{scratch_dir}/t", partition_by=["k"])
+    assert sorted(r.id for r in out.collect()) == list(range(4000)) and out.groupBy("k").count().filter("count = 100").count() == 40
+    assert len(_files(f"{scratch_dir}/t")) == 40                               # not one a task: a file for each key, null among them
+
+
 def _files(path):
     return {os.path.relpath(os.path.join(d, f), path) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
 
