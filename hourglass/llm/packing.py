@@ -43,10 +43,11 @@ END_ID = 0
 # when the young one is full the old one goes, and what is used moves up.
 PIECES_KEPT = 200_000
 # The split of the tokenizer for plain lower-case text.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
 # The rest goes through the library whole: white space, case and character
 # classes are then the library's own.
-_PLAIN = re.compile(r"[^\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]|<\|")
+_OTHER = re.compile(r"[^\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]")
+_MARK = "<|"
 
 # --- ids and pieces -----------------------------------------------------------
 
@@ -77,7 +78,7 @@ class WordCodec:
         return [raw[a:b] for a, b in zip([0] + stop, stop)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if _PLAIN.search(t) else _PIECE.findall(t.lower()) for t in texts]
+        split = [None if _MARK in t or _OTHER.search(t) else _PIECE.findall(t.lower()) for t in texts]
         known = self.pieces.fetch({p for s in split if s for p in s}).__getitem__
         whole = iter(self._of_texts([t for t, s in zip(texts, split) if s is None]))
         return [next(whole) if s is None else b"".join(map(known, s)) for s in split]

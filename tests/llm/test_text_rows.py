@@ -263,6 +263,18 @@ def test_packing_ids_are_those_of_the_plain_call():
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.WordCodec(path).encode_batch(texts)] == want
 
 
+def test_packing_ids_of_quotes_and_marks():
+    """The reordered split keeps the library's ids; only texts with a mark or other characters go whole."""
+    from tokenizers import Tokenizer
+    rnd = random.Random(8)
+    parts = ["'s", "'S", "'re", "'r", "'", "''ll", "!'ve", "'d'", "don't", "L'ÉTÉ", "ß'm", "<", "|", "<|", "|<|", "9", "42's", "\t", "\n", " ", "×", "日", "x"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(800)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    codec = packing.WordCodec(path)
+    assert [np.frombuffer(b, "<u4").tolist() for b in codec.encode_batch(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_hard_rows(spark, scratch):
     df = docs_frame(spark, HARD, extra=True)
     pieces = packing.tokenised_pieces(df, public_tokenizers.path("word_bpe_49k.json"))
