@@ -178,6 +178,24 @@ def test_suffix_merge_equals_brute_force(spark, scratch, length, most_kinds):
     assert collections.Counter((r[0], tuple(r[1:])) for r in got.collect()) == want
 
 
+def test_suffix_merge_planted_passages(spark, scratch):
+    """Passages of over 50 words in two documents each: 400 bytes decide, not words; ``n_bytes`` is the same either way."""
+    rnd = random.Random(13)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, size = [], {}
+    for k in range(40):
+        passage = " ".join(word(rnd.randint(2, 6) if k % 2 else rnd.randint(6, 10)) for _ in range(rnd.randint(51, 60)))
+        for i in (3 * k, 3 * k + 1):
+            size[i] = len(passage)
+            rows.append((i, f"{word(300)} {passage} {word(200)}"))
+        rows.append((3 * k + 2, " ".join(word(7) for _ in range(120))))
+    assert {size[i] >= 400 for i in size} == {True, False}
+    want = without_repeats([t.encode() for _, t in rows], 400)
+    got = {r[0]: tuple(r[1:]) for r in suffixes.remove_repeated_bytes(docs_frame(spark, rows), scratch).collect()}
+    assert got == {i: w for (i, _), w in zip(rows, want)}
+    assert all((got[i][1] >= 400) == (size.get(i, 0) + 2 >= 400) for i, _ in rows)         # with the spaces around it
+
+
 def test_suffix_merge_hard_rows(spark, scratch):
     rows = HARD + [(20, LONG[5000:5399]), (21, LONG[9000:9400]), (22, "z" + LONG[9001:9401]), (23, LONG[3:] + "end")]
     got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans) for r in suffixes.remove_repeated_bytes(docs_frame(spark, rows), scratch, keep_bytes=True).collect()}
