@@ -28,22 +28,25 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourglass.llm import sweeps
-from hourglass.llm.common import Generations, Scratch, arrow_schema, map_batches, one_thread, texts_of, to_batch
+from hourglass.llm.common import Scratch, arrow_schema, map_batches, one_thread, texts_of, to_batch
 
 CAPACITY = 2048
 END_ID = 0
-# Pieces of words whose ids a process keeps, in two generations of so many:
-# when the young one is full the old one goes, and what is used moves up.
+# Pieces of words whose ids a process keeps, in two tables of so many: when the
+# young one is full the old one goes, and what is used moves up.
 PIECES_KEPT = 200_000
-# The split of the tokenizer for plain lower-case text.
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9ß-öø-ÿ]+")
+# The split of the tokenizer for plain lower-case text: what is not a letter is
+# set apart by blanks, then white space parts the pieces.
+_APART = r"('(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9ß-öø-ÿ]+)"
 # The rest goes through the library whole: white space, case and character
 # classes are then the library's own.
 _OTHER = re.compile(r"[^\x20-\x7e\t\n\rÀ-ÖØ-öø-ÿ]")
@@ -52,6 +55,29 @@ _MARK = "<|"
 # --- ids and pieces -----------------------------------------------------------
 
 
+class PieceIds(NamedTuple):
+    """Pieces of words and their ids, one after the other."""
+
+    names: pa.Array
+    count: np.ndarray
+    ids: np.ndarray
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at these places, and where each one's end."""
+        count = self.count[places]
+        stop = np.cumsum(count)
+        first = np.cumsum(self.count) - self.count
+        return self.ids[np.repeat(first[places] - stop + count, count) + np.arange(count.sum())], stop
+
+    def with_more(self, names: pa.Array, count: np.ndarray, ids: np.ndarray) -> PieceIds:
+        return PieceIds(pa.concat_arrays([self.names, names]), np.concatenate([self.count, count]),
+                        np.concatenate([self.ids, ids]))
+
+
+# Splitting leaves empty pieces at a text's ends.
+_NO_IDS = PieceIds(pa.array([""], pa.large_string()), np.zeros(1, np.int64), np.zeros(0, "<u4"))
+
+
 class WordCodec:
     """Ids of a word-level tokenizer; a slice's new pieces of words are encoded together, once each."""
 
@@ -60,7 +86,7 @@ class WordCodec:
 
         one_thread()
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Generations(PIECES_KEPT, self._of_pieces)
+        self.young = self.old = _NO_IDS
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -68,20 +94,41 @@ class WordCodec:
     def _of_texts(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """All pieces as one text, cut where a word ends; one by one if that gives another number of words."""
-        ids = np.frombuffer(self._of_texts([" ".join(pieces)])[0], "<u4")
-        stop = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if len(stop) != len(pieces):
-            return self._of_texts(pieces)
-        raw, stop = ids.tobytes(), stop.tolist()
-        return [raw[a:b] for a, b in zip([0] + stop, stop)]
+    def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all ids: of the pieces as one text, cut where a word ends;
+        one by one if that gives another number of words."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), pa.scalar(" ", pieces.type))[0].as_py()
+        ids = np.frombuffer(self._of_texts([joined])[0], "<u4")
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) == len(pieces):
+            return np.diff(stop, prepend=0), ids[:stop[-1]]
+        each = self._of_texts(pieces.to_pylist())
+        return np.array([len(raw) // 4 for raw in each], np.int64), np.frombuffer(b"".join(each), "<u4")
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where distinct pieces stand in the young table, which gets those it lacks."""
+        if len(self.young.names) > PIECES_KEPT:
+            self.young, self.old = _NO_IDS, self.young
+        lacking = pieces.filter(pc.invert(pc.is_in(pieces, value_set=self.young.names)))
+        before = pc.index_in(lacking, value_set=self.old.names)
+        kept, new = lacking.filter(before.is_valid()), lacking.filter(before.is_null())
+        if len(kept):
+            places = before.drop_null().to_numpy()
+            self.young = self.young.with_more(kept, self.old.count[places], self.old.of(places)[0])
+        if len(new):
+            self.young = self.young.with_more(new, *self._of_pieces(new))
+        return pc.index_in(pieces, value_set=self.young.names).to_numpy()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        split = [None if _MARK in t or _OTHER.search(t) else _PIECE.findall(t.lower()) for t in texts]
-        known = self.pieces.fetch({p for s in split if s for p in s}).__getitem__
-        whole = iter(self._of_texts([t for t, s in zip(texts, split) if s is None]))
-        return [next(whole) if s is None else b"".join(map(known, s)) for s in split]
+        plain = [not (_MARK in t or _OTHER.search(t)) for t in texts]
+        lower = pa.array([t.lower() if p else "" for t, p in zip(texts, plain)], pa.large_string())
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, _APART, r" \1 "))
+        pieces = split.flatten().dictionary_encode()
+        places = self._places(pieces.dictionary)[pieces.indices.to_numpy()]
+        ids, stop = self.young.of(places)
+        raw, at = ids.tobytes(), (4 * np.r_[0, stop][split.offsets.to_numpy()]).tolist()
+        whole = iter(self._of_texts([t for t, p in zip(texts, plain) if not p]))
+        return [raw[a:b] if p else next(whole) for p, a, b in zip(plain, at, at[1:])]
 
 
 @lru_cache(maxsize=2)
