@@ -23,12 +23,13 @@ At first as many sequences are open as the sum of all lengths needs. Lengths
 go in classes (down to ``CLASS`` of the longest left, at last all up to ``LAST``
 of the capacity), so that short pieces do not take what long ones need; a class sweeps until it is placed, and where
 no gap holds its lengths, sequences for their sum are opened. Each sweep's
-table is written, so lost executors repeat one sweep at most.
+table is written, so lost executors repeat one sweep at most; the write also
+observes what the next sweep needs to know.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hourglass.llm.common import Scratch
@@ -37,6 +38,9 @@ CLASS = 0.5
 LAST = 0.25
 # Ranges of size, and of depth, that a sweep deals over tasks.
 RANGES = 64
+# Tasks of a sweep's stages: the runs follow the capacity, whatever the number
+# of shuffle partitions, and the driver keeps something of every task.
+TASKS = 8
 GAP, PIECE, PLACED = 0, 1, 2
 RUNS = "kind int, size long, first long, many long, seq long, offset long, per long"
 
@@ -64,15 +68,19 @@ def place_runs(counts: DataFrame, scratch: Scratch, capacity: int) -> tuple[Data
         fresh = counts.filter(F.col("size").between(lower, upper - 1))
         state = gaps.unionByName(fresh.select(F.lit(PIECE).alias("kind"), "size", F.lit(0).cast("long").alias("first"), "many",
                                               *[F.lit(0).cast("long").alias(c) for c in ("seq", "offset", "per")]))
-        while (left := _left(state))["shortest"] is not None:
+        # A table of bounded size: without a shuffle. After a sweep its write has seen what is left.
+        left = state.coalesce(1).agg(*_left(least)).first().asDict()
+        while left["shortest"] is not None:
             free = left["free"] or 0
             if (left["widest"] or 0) < left["shortest"]:
                 more = -(-left["ids"] // capacity)
                 state = state.unionByName(_run(spark, capacity, opened, more))
                 opened, free = opened + more, free + more
-            swept = scratch.put(_sweep(state, free, capacity), "sweep")
+            seen = Observation()
+            swept = scratch.put(_sweep(state, free, capacity).observe(seen, *_left(least)), "sweep")
             placed.append(swept.filter(F.col("kind") == PLACED))
             state = swept.filter((F.col("kind") == PIECE) | (F.col("kind") == GAP) & (F.col("size") >= least))
+            left = seen.get
         gaps, upper = state.filter(F.col("kind") == GAP), lower
     out = placed[0]
     for df in placed[1:]:
@@ -84,22 +92,24 @@ def _run(spark, size: int, first: int, many: int) -> DataFrame:
     return spark.createDataFrame([(GAP, size, first, many, 0, 0, 0)], RUNS)
 
 
-def _left(state: DataFrame):
-    piece, gap = F.col("kind") == PIECE, F.col("kind") == GAP
-    return state.agg(F.min(F.when(piece, F.col("size"))).alias("shortest"), F.max(F.when(gap, F.col("size"))).alias("widest"),
-                     F.sum(F.when(gap, F.col("many"))).alias("free"),
-                     F.sum(F.when(piece, F.col("size") * F.col("many"))).alias("ids")).first()
+def _left(least: int) -> list:
+    """Aggregates over a state: the shortest piece, the widest gap that can hold any, how many such gaps, the pieces' ids."""
+    piece, gap = F.col("kind") == PIECE, (F.col("kind") == GAP) & (F.col("size") >= least)
+    return [F.min(F.when(piece, F.col("size"))).alias("shortest"), F.max(F.when(gap, F.col("size"))).alias("widest"),
+            F.sum(F.when(gap, F.col("many"))).alias("free"),
+            F.sum(F.when(piece, F.col("size") * F.col("many"))).alias("ids")]
 
 
 def _depths(state: DataFrame, capacity: int) -> DataFrame:
     """Each run's depth before it (``start``) and after it (``stop``), from large to small, gaps first."""
     order = [F.col("size").desc(), F.col("kind"), F.col("first")]
     here = Window.partitionBy("reach").orderBy(*order)
-    runs = (state.withColumn("reach", F.floor(F.col("size") * RANGES / (capacity + 1)))
-            .withColumn("n", F.when(F.col("kind") == GAP, F.col("many")).otherwise(-F.col("many")))
+    # ``many`` is the size of ``n``: the sums by range and the runs then share one shuffle.
+    runs = (state.select("size", "kind", "first", F.floor(F.col("size") * RANGES / (capacity + 1)).alias("reach"),
+                         F.when(F.col("kind") == GAP, F.col("many")).otherwise(-F.col("many")).alias("n"))
             .withColumn("inner", F.sum("n").over(here.rowsBetween(Window.unboundedPreceding, 0))))
     # One row per range of size, RANGES at most.
-    each = runs.groupBy("reach").agg(F.sum("n").alias("n"), F.min("inner").alias("low"))
+    each = runs.groupBy("reach").agg(F.sum("n").alias("n"), F.min("inner").alias("low")).coalesce(TASKS)
     down = Window.orderBy(F.col("reach").desc()).rowsBetween(Window.unboundedPreceding, -1)
     each = each.select("reach", "low", F.coalesce(F.sum("n").over(down), F.lit(0)).alias("base"))
     each = each.select("reach", "base", F.min(F.col("base") + F.col("low")).over(down).alias("floor"))
@@ -108,7 +118,7 @@ def _depths(state: DataFrame, capacity: int) -> DataFrame:
     # The sum of all before, lifted by the lengths that found no place.
     sunk = F.least(F.lit(0), F.col("floor"), F.col("base") + F.col("low"))
     before = F.col("base") + F.col("inner") - F.col("n")
-    return (runs.withColumn("start", before - sunk)
+    return (runs.withColumn("many", F.abs("n")).withColumn("start", before - sunk)
             .withColumn("stop", F.greatest(F.col("start") + F.col("n"), F.lit(0))))
 
 
@@ -128,7 +138,7 @@ def _sweep(state: DataFrame, free: int, capacity: int) -> DataFrame:
                 if(kind = {PIECE} and many > took * stride, array(named_struct(
                     'span', -1L, 'lo', 0L, 'hi', 0L, 'at', first + took * stride, 'many', many - took * stride)), array()))"""))
             .select("size", "kind", "stride", "first", F.explode("parts").alias("p"))
-            .select("size", "kind", "stride", "first", "p.*"))
+            .select("size", "kind", "stride", "first", "p.*").coalesce(TASKS))
 
     def match(pdf):
         import pandas as pd
@@ -158,4 +168,4 @@ def _sweep(state: DataFrame, free: int, capacity: int) -> DataFrame:
             rows += [(GAP, gap, seq, top - bottom, 0, 0, 0) for gap, seq, bottom, top in open_]
         return pd.DataFrame(rows, columns=["kind", "size", "first", "many", "seq", "offset", "per"])
 
-    return runs.groupBy("span").applyInPandas(match, RUNS).coalesce(8)
+    return runs.groupBy("span").applyInPandas(match, RUNS).coalesce(TASKS)

@@ -359,6 +359,27 @@ def test_packing_sweeps_place_every_rank_about_as_well_as_sequential_best_fit(sp
         assert n_seq <= 1.005 * best_fit_decreasing(counts, capacity) + 1
 
 
+def test_packing_sweeps_run_as_many_tasks_whatever_the_shuffle_partitions(spark, scratch):
+    """The driver keeps something of every task, and with many partitions a sweep of a few runs had hundreds."""
+    conf, counts = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.coalescePartitions.enabled": "false"}, {9: 5, 5: 8, 3: 4}
+    before = {k: spark.conf.get(k) for k in conf}
+    tracker, tasks = spark.sparkContext.statusTracker(), {}
+    try:
+        for parts in (10, 40):
+            for k, v in conf.items():
+                spark.conf.set(k, v or parts)
+            spark.sparkContext.setJobGroup(group := f"sweeps-{parts}-{scratch.path[-8:]}", "")
+            placed, n_seq = sweeps.place_runs(spark.createDataFrame(list(counts.items()), "size long, many long"), scratch, 16)
+            jobs = tracker.getJobIdsForGroup(group)
+            tasks[parts] = sum(tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds)
+            check_placements(placed.collect(), n_seq, counts, 16)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert 0 < tasks[10] == tasks[40]
+
+
 def test_packing_depths_hold_at_zero(spark):
     """Depths by ranges of size against one running sum."""
     rnd = random.Random(6)
