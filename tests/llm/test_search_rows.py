@@ -125,6 +125,44 @@ def test_hard_negatives_equal_brute_force(spark, scratch):
     assert hardneg.mine(df, F.lit(False), scratch).count() == 0
 
 
+class SeenScratch(hardneg.Scratch):
+    """Keeps the column types that the planned broadcasts of written frames send through the driver, by the frame's name."""
+
+    def put(self, df, name="t"):
+        plan = df._jdf.queryExecution().executedPlan()
+        nodes = [plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+        for node in nodes:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName().startswith("BroadcastExchange"):
+                types = [node.output().apply(i).dataType().catalogString() for i in range(node.output().size())]
+                self.seen.setdefault(name, []).append(types)
+        return super().put(df, name)
+
+
+def test_hard_negatives_send_no_vectors_through_the_driver(spark, monkeypatch):
+    """Blocks and packs meet without a broadcast of rows: packs repeated for every block are planned by their size on disk."""
+    monkeypatch.setattr(hardneg, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(hardneg, "PACK_ROWS", 7)
+    monkeypatch.setattr(hardneg, "TILE_ROWS", 5, raising=False)
+    rnd = np.random.default_rng(7)
+    vectors = [(i, rnd.normal(size=9 if i % 3 else 20).tolist(), int(rnd.integers(0, 3))) for i in range(300)]
+    vectors += [(400 + i, vectors[10][1], int(i % 3)) for i in range(40)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int")
+    scratch = SeenScratch(spark, "test")
+    scratch.seen = {}
+    got = hardneg.mine(df, F.col("vec_id") % 10 == 0, scratch)
+    assert {tuple(r) for r in got.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect()} == mined(vectors)
+    sent = [t for types in scratch.seen.get("found", []) for t in types]
+    assert not [t for t in sent if t == "binary" or t.startswith("array")]
+
+
+def test_hard_negatives_sample_holds_the_smallest_hashes(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("vec_id"), F.lit(1).alias("label"), F.lit(b"").alias("q"))
+    got = [r["vec_id"] for r in hardneg._sampled(rows, 30_000)]
+    want = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(hardneg.SAMPLE_ROWS).collect()
+    assert got == [r["vec_id"] for r in want]
+
+
 def test_threshold_join_loses_no_pair_and_leaves_dimensions_out():
     rnd = np.random.default_rng(6)
     x = (rnd.normal(size=(300, 37)) * np.linspace(90, 1, 37)).astype(np.int64)
