@@ -137,7 +137,8 @@ def _join(left: tuple, right: tuple, least: np.ndarray, asked: Callable[[np.ndar
         n = int(np.searchsorted(-listed[rows], -g))           # rows whose list holds the group come first
         if not n:
             break
-        start, g = g, min(g + step, int(listed[rows[n - 1]]))
+        start, g = g, min(g + step, last)
+        listed[rows[:n]] = np.maximum(listed[rows[:n]], g)    # a list that ends on the way goes on to the next look
         dims = slice(cuts[start], cuts[g])
         part[:n] += np.matmul(b[:n, dims], a[:, dims].T, out=room[:n])
         if g == last:
